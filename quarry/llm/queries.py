@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, licenses, near_duplicates, packing, quality_rules, secrets, suffix_array_dedup, suffix_tree_dedup
+from quarry.llm import decontaminate, licenses, near_duplicates, packing, quality_rules, secrets, suffix_array_dedup, suffix_tree_dedup, token_counts, training_order
 from quarry.llm.shared import table
 from quarry.llm.tokens import word_bpe
 
@@ -17,6 +17,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise_order(table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_training_order": op3_training_order,
+    "op4_token_counts": op4_token_counts,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_secret_scan": op7_secret_scan,

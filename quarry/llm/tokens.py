@@ -15,13 +15,15 @@ class Encoder:
     """ids(texts): each text's ids as little-endian unsigned 32-bit bytes.
 
     A text is cut at its spaces and line feeds; each different word is encoded once and remembered.
+    plain: strings of special tokens in a text are ordinary text, so that no text holds a special id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.known: dict[bytes, bytes] = {b"": b""}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
@@ -48,9 +50,9 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One for each worker and file, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, plain)
 
 
 def word_bpe() -> str:
