@@ -1,4 +1,590 @@
-"""The queries of this library and their SQL."""
+"""The queries of this library over the driver's tables, and the same in DuckDB's SQL.
 
-QUERIES: dict = {}
+Each name has a query; where SQL can say it, also its SQL.  Doubles are rounded on both sides: sums
+may be taken in another order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import quality as quality_rules
+from quarry.functions import schedule
+from quarry.functions.hashing import digest, key, seeded, split_for
+from quarry.functions.normalize import normalize
+from quarry.operators import packing, runs, sampling, sampling_math, sweep
+from quarry.operators.dedup import mark_first
+from quarry.plans import clean
+from quarry.sources import records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# --- SQL that several oracles share -------------------------------------------------------------
+
+RAW = """raw AS (SELECT doc_id AS seq, source || ':' || lpad(doc_id::VARCHAR, 8, '0') AS id, source, lang AS domain, (doc_id % 16)::INTEGER AS shard,
+  NULL::VARCHAR AS url, text, strlen(text)::BIGINT AS n_bytes, sha256(text) AS sha256 FROM documents)"""
+RAW_PAGES = """raw AS (SELECT page_id AS seq, 'pages:' || lpad(page_id::VARCHAR, 8, '0') AS id, 'pages' AS source, 'general_web' AS domain, (page_id % 16)::INTEGER AS shard,
+  url, html AS text, strlen(html)::BIGINT AS n_bytes, sha256(html) AS sha256 FROM pages)"""
+
+_S, _N = r"[\s\x0B\x1C-\x1F\x{85}]", r"[^\s\x0B\x1C-\x1F\x{85}]"
+
+
+def _emphasis() -> str:
+    inner = rf"({_N}(?s:.{{0,400}}?){_N}|{_N})"
+    return "|".join(f"{m}{inner}{m}" for c in (r"\*", "_", "`") for m in (c * 3, c * 2, c))
+
+
+def norm_ctes(source: str, columns: str) -> str:
+    """CTEs n1 to n6 from `source` (with text): columns and t, the normalised text."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    r = lambda t, p, by, opts="g": f"regexp_replace({t}, {q(p)}, {q(by)}, '{opts}')"
+    script = r"<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
+    markup = r(r(r("t", script, " ", "gis"), "<!--.*?-->", " ", "gs"), "<[^>]{1,1000}[^>]{0,1000}>", " ")
+    links = r(r("t", r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), rf"\[{_S}*(?:\d{{1,4}}|citation needed|nb{_S}*\d{{1,3}}|edit){_S}*\]", " ", "gi")
+    urls = r("t", rf"https?://{_N}+|www\.{_N}+", " ")
+    heads = r("t", rf"(?m)^{_S}{{0,3}}#{{1,6}}{_S}+", "")
+    marks = r(r("t", rf"(?m)^{_S}{{0,3}}(?:[-*_]{_S}*){{3,}}$", ""), _emphasis(), r"\1\2\3\4\5\6\7\8\9")
+    last = "lower(t)"
+    control = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]"
+    last = r(last, control, " ")
+    last = r(last, r"[ \t\r\f\x0B]+", " ")
+    last = f"regexp_replace({last}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    last = r(r(last, r"(?m)^[ ]+|[ ]+$", ""), r"^\s+|\s+$", "")
+    has = lambda *w: " OR ".join(f"contains(t, {q(x)})" for x in w)
+    steps = [(has("<"), markup), (has("["), links), (has("://", "www."), urls), (has("#"), heads), (has("*", "_", "`"), marks)]
+    out = [f"n0 AS (SELECT {columns}, nfc_normalize(text) AS t FROM {source})"]
+    out += [f"n{k + 1} AS (SELECT {columns}, CASE WHEN {g} THEN {e} ELSE t END AS t FROM n{k})" for k, (g, e) in enumerate(steps)]
+    return ",\n".join([*out, f"n6 AS (SELECT {columns}, {last} AS t FROM n5)"])
+
+
+WORDS = "regexp_extract_all(t, '[a-z0-9]+(?:[''’-][a-z0-9]+)*')"
+STATS = """stats AS (SELECT *, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t)::BIGINT AS n_chars,
+  coalesce(list_max(map_values(list_histogram(w))), 0)::BIGINT AS max_freq FROM (SELECT *, WORDS AS w FROM SOURCE))""".replace("list_histogram(w)", "list_aggregate(w, 'histogram')")
+VERDICT = """CASE WHEN n_words < 50 OR n_words = 0 THEN 'short' WHEN word_chars / n_words < 2.0 OR word_chars / n_words > 15.0 THEN 'word_length'
+  WHEN word_chars / n_chars < 0.60 THEN 'symbol_ratio' WHEN max_freq / n_words > 0.30 THEN 'repetitive' END"""
+
+
+def stats_cte(source: str) -> str:
+    return STATS.replace("WORDS", WORDS).replace("SOURCE", source)
+
+
+def judged_ctes(raw: str = RAW) -> str:
+    """... judged: seq, id, source, n_bytes, t, verdict."""
+    return f"""WITH {raw},
+a AS (SELECT *, row_number() OVER (PARTITION BY substr(sha256, 1, 16) ORDER BY seq) = 1 AS first_raw FROM raw),
+b AS (SELECT * FROM a WHERE first_raw),
+{norm_ctes("b", "seq, id, source, domain, url, n_bytes")},
+c AS (SELECT *, row_number() OVER (PARTITION BY sha256(t) ORDER BY seq) = 1 AS first_norm FROM n6),
+{stats_cte("c")},
+judged AS (SELECT seq, id, source, domain, url, n_bytes, t, CASE WHEN t = '' THEN 'empty' WHEN NOT first_norm THEN 'dup_normalized' ELSE {VERDICT} END AS verdict FROM stats
+  UNION ALL SELECT seq, id, source, domain, url, n_bytes, NULL, 'dup_raw' FROM a WHERE NOT first_raw)"""
+
+
+VERDICT_ROWS = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(quality_rules.VERDICTS)) + ") AS v(ordinal, verdict)"
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {RAW} SELECT seq, id, source, domain, shard, sha256, n_bytes FROM raw")
+def raw_records(spark, sf_dir):
+    return records.documents(spark, sf_dir).select("seq", "id", "source", "domain", "shard", "sha256", "n_bytes")
+
+
+@query(f"WITH {RAW}, {norm_ctes('raw', 'seq')} SELECT seq, t AS clean FROM n6")
+def normalize_documents(spark, sf_dir):
+    return normalize(records.documents(spark, sf_dir).select("seq", "text"), "text", "clean").select("seq", "clean")
+
+
+@query(f"WITH {RAW_PAGES}, {norm_ctes('raw', 'seq')} SELECT seq, t AS clean FROM n6")
+def normalize_pages(spark, sf_dir):
+    return normalize(records.pages(spark, sf_dir).select("seq", "text"), "text", "clean").select("seq", "clean")
+
+
+@query(f"WITH {RAW}, {norm_ctes('raw', 'seq')}, {stats_cte('n6')} SELECT seq, n_words, word_chars, n_chars, n_words > 0 AND max_freq > (3 * n_words) // 10 AS too_repetitive FROM stats")
+def word_stats(spark, sf_dir):
+    df = normalize(records.documents(spark, sf_dir).select("seq", "text"), "text", "clean")
+    return quality_rules.with_word_stats(df, "clean").select("seq", "n_words", "word_chars", "n_chars", "too_repetitive")
+
+
+@query(f"WITH {RAW}, {norm_ctes('raw', 'seq')}, {stats_cte('n6')} SELECT seq, max_freq FROM stats")
+def max_term_frequency(spark, sf_dir):
+    df = normalize(records.documents(spark, sf_dir).select("seq", "text"), "text", "clean")
+    each = df.select("seq", F.explode_outer(quality_rules.words(F.col("clean"))).alias("w"))
+    return each.groupBy("seq", "w").agg(F.count("w").alias("n")).groupBy("seq").agg(F.max("n").alias("max_freq"))
+
+
+@query(f"WITH {RAW_PAGES}, {norm_ctes('raw', 'seq')}, {stats_cte('n6')} SELECT seq, coalesce({VERDICT}, 'kept') AS verdict FROM stats")
+def quality_verdicts(spark, sf_dir):
+    df = quality_rules.with_word_stats(normalize(records.pages(spark, sf_dir).select("seq", "text"), "text", "clean"), "clean")
+    return df.select("seq", F.coalesce(quality_rules.verdict(), F.lit("kept")).alias("verdict"))
+
+
+@query(f"WITH {RAW} SELECT seq, substr(sha256, 1, 16) AS raw_key, row_number() OVER (PARTITION BY substr(sha256, 1, 16) ORDER BY seq) = 1 AS is_first FROM raw")
+def dedup_raw(spark, sf_dir):
+    df = records.documents(spark, sf_dir).select("seq", key(F.col("sha256")).alias("raw_key"))
+    return mark_first(df, "raw_key", "seq", "is_first")
+
+
+@query(f"{judged_ctes()} SELECT seq FROM judged WHERE verdict IS DISTINCT FROM 'dup_raw' AND verdict IS DISTINCT FROM 'dup_normalized' AND verdict IS DISTINCT FROM 'empty'")
+def dedup_normalized(spark, sf_dir):
+    judged = clean.judged(records.documents(spark, sf_dir))
+    return judged.where("coalesce(verdict, '') NOT IN ('dup_raw', 'dup_normalized', 'empty')").select("seq")
+
+
+@query(f"{judged_ctes()} SELECT id, source, domain, strlen(t)::BIGINT AS n_bytes, t AS text FROM judged WHERE verdict IS NULL")
+def clean_documents(spark, sf_dir):
+    return clean.kept(clean.judged(records.documents(spark, sf_dir))).select("id", "source", "domain", "n_bytes", "text")
+
+
+FUNNEL = f"SELECT v.verdict, v.ordinal::INTEGER AS ordinal, count(j.seq)::BIGINT AS docs, coalesce(sum(j.n_bytes), 0)::BIGINT AS bytes FROM {VERDICT_ROWS} LEFT JOIN judged j USING (verdict) GROUP BY ALL"
+
+
+@query(f"{judged_ctes()} {FUNNEL}")
+def clean_funnel(spark, sf_dir):
+    return clean.funnel(clean.judged(records.documents(spark, sf_dir)))
+
+
+@query(f"{judged_ctes(RAW_PAGES)} {FUNNEL}")
+def clean_funnel_pages(spark, sf_dir):
+    return clean.funnel(clean.judged(records.pages(spark, sf_dir)))
+
+
+RAW_CONVERSATIONS = """raw AS (SELECT conv_id * 1000 + turn AS seq, 'conversations:' || lpad((conv_id * 1000 + turn)::VARCHAR, 8, '0') AS id, 'conversations' AS source, role AS domain, 0 AS shard,
+  NULL::VARCHAR AS url, text, strlen(text)::BIGINT AS n_bytes, sha256(text) AS sha256 FROM conversations)"""
+
+
+@query(f"{judged_ctes(RAW_CONVERSATIONS)} {FUNNEL}")
+def clean_funnel_conversations(spark, sf_dir):
+    return clean.funnel(clean.judged(records.conversations(spark, sf_dir)))
+
+
+@query(f"""{judged_ctes()}, f AS ({FUNNEL}), total AS (SELECT count(*) AS docs, sum(n_bytes) AS bytes FROM judged)
+SELECT verdict, round(coalesce(100.0 * f.docs / nullif(total.docs, 0), 0), 6) AS pct_docs, round(coalesce(100.0 * f.bytes / nullif(total.bytes, 0), 0), 6) AS pct_bytes FROM f, total""")
+def funnel_pct(spark, sf_dir):
+    judged = clean.judged(records.documents(spark, sf_dir))
+    total = records.documents(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))  # one row
+    pct = lambda part, whole: F.round(F.coalesce(F.try_divide(100.0 * F.col(part), F.col(whole).cast("double")), F.lit(0.0)), 6)
+    return clean.funnel(judged).crossJoin(F.broadcast(total)).select("verdict", pct("docs", "n").alias("pct_docs"), pct("bytes", "b").alias("pct_bytes"))
+
+
+@query(f"{judged_ctes()} SELECT source, count(*)::BIGINT AS docs_in, count(*) FILTER (verdict IS NULL)::BIGINT AS docs_out, coalesce(sum(strlen(t)) FILTER (verdict IS NULL), 0)::BIGINT AS bytes_out FROM judged GROUP BY source")
+def per_source_stats(spark, sf_dir):
+    judged = clean.judged(records.documents(spark, sf_dir))
+    kept = F.col("verdict").isNull()
+    return judged.groupBy("source").agg(F.count("*").alias("docs_in"), F.count_if(kept).alias("docs_out"), F.sum(F.when(kept, F.octet_length("clean_text")).otherwise(0)).alias("bytes_out")).orderBy("source")
+
+
+@query(f"{judged_ctes()} SELECT count(*)::BIGINT AS docs_in, sum(n_bytes)::BIGINT AS bytes_in, count(*) FILTER (verdict IS NULL)::BIGINT AS docs_out, coalesce(sum(strlen(t)) FILTER (verdict IS NULL), 0)::BIGINT AS bytes_out FROM judged")
+def clean_totals(spark, sf_dir):
+    judged, kept = clean.judged(records.documents(spark, sf_dir)), F.col("verdict").isNull()
+    return judged.agg(F.count("*").alias("docs_in"), F.sum("n_bytes").alias("bytes_in"), F.count_if(kept).alias("docs_out"), F.coalesce(F.sum(F.when(kept, F.octet_length("clean_text"))), F.lit(0)).cast("bigint").alias("bytes_out"))
+
+
+@query(f"""{judged_ctes()}, g AS (SELECT coalesce(verdict, 'kept') AS verdict, source, n_bytes, CASE WHEN verdict IS NULL THEN strlen(t) ELSE 0 END AS n_out FROM judged)
+SELECT CASE grouping(verdict, source) WHEN 1 THEN 'verdict' WHEN 2 THEN 'source' ELSE 'total' END AS what, coalesce(verdict, source, 'all') AS name, count(*)::BIGINT AS docs_in,
+  sum((n_out > 0)::INT)::BIGINT AS docs_out, sum(n_bytes)::BIGINT AS bytes_in, sum(n_out)::BIGINT AS bytes_out FROM g GROUP BY GROUPING SETS ((verdict), (source), ())""")
+def clean_manifest_grouping_sets(spark, sf_dir):
+    return clean.totals(clean.judged(records.documents(spark, sf_dir)))
+
+
+# --- collection ---------------------------------------------------------------------------------
+
+
+@query("""WITH r(name, w) AS (VALUES ('wikipedia', 1.0::DOUBLE / 3), ('cc_news', 1.0::DOUBLE / 3), ('fineweb', 1.0::DOUBLE / 3))
+SELECT name, floor(1500000000.0::DOUBLE * (w / sum(w) OVER ()))::BIGINT AS target FROM r""")
+def source_budgets(spark, sf_dir):
+    return sampling.budgets(records.registry(spark).where(F.col("name").isin(*records.DEFAULT)), 1_500_000_000)
+
+
+@query("WITH r(name, license) AS (VALUES " + ", ".join(f"('{n}', '{l}')" for n, _, l, _ in records.REGISTRY) + ") SELECT name, split_part(license, ';', 1) AS license FROM r")
+def source_licenses(spark, sf_dir):
+    return records.registry(spark).select("name", F.split_part("license", F.lit(";"), F.lit(1)).alias("license"))
+
+
+@query(r"SELECT source, count(*) FILTER (regexp_matches(coalesce(text, ''), '^[\s\x0B\x1C-\x1F\x{85}]*$'))::BIGINT AS blank, count(*)::BIGINT AS n FROM documents GROUP BY source")
+def empty_filter(spark, sf_dir):
+    return records.documents(spark, sf_dir).groupBy("source").agg(F.count_if(sampling.is_blank()).alias("blank"), F.count("*").alias("n"))
+
+
+def _targets(raw: DataFrame) -> DataFrame:
+    """A third of each source's bytes."""
+    return raw.groupBy(F.col("source").alias("name")).agg(F.expr("sum(n_bytes) DIV 3").alias("target"))
+
+
+@query()
+def stratified_sample(spark, sf_dir):
+    raw = records.documents(spark, sf_dir)
+    return sampling.stratified(raw, _targets(raw), 20260918, per_shard=20_000).select("seq", "id", "source", "shard", "pos", "n_bytes")
+
+
+@query("SELECT source, shard, (row_number() OVER (PARTITION BY source ORDER BY sha256('20260918:' || source || '/' || shard), shard) - 1)::INTEGER AS pos FROM (SELECT DISTINCT source, (doc_id % 16)::INTEGER AS shard FROM documents)")
+def shard_permutation(spark, sf_dir):
+    return sampling.shard_order(records.documents(spark, sf_dir), 20260918)
+
+
+@query("""SELECT source, count(*)::BIGINT AS documents, sum(strlen(text))::BIGINT AS text_bytes, count(*) FILTER (trim(coalesce(text, '')) = '')::BIGINT AS empty_skipped, count(DISTINCT doc_id % 16)::BIGINT AS shards_used,
+  round(avg(strlen(text)), 6) AS mean_bytes, round(sum(strlen(text)) / greatest(sum(n_chars), 1), 6) AS ratio FROM documents GROUP BY source""")
+def collection_stats(spark, sf_dir):
+    raw = records.documents(spark, sf_dir).withColumn("n_chars", F.length("text"))
+    df = raw.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_bytes").alias("text_bytes"), F.count_if(sampling.is_blank()).alias("empty_skipped"), F.countDistinct("shard").alias("shards_used"), F.avg("n_bytes").alias("mean_bytes"), (F.sum("n_bytes") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("ratio"))
+    return rounded(df, "mean_bytes", "ratio")
+
+
+@query(f"WITH {RAW} SELECT id, source, n_bytes FROM raw UNION ALL SELECT * FROM (WITH {RAW_PAGES} SELECT id, source, n_bytes FROM raw)")
+def union_sources(spark, sf_dir):
+    return records.documents(spark, sf_dir).unionByName(records.pages(spark, sf_dir)).select("id", "source", "n_bytes")
+
+
+@query(f"WITH {RAW} SELECT seq, id FROM raw ORDER BY seq LIMIT 1")
+def limit_first_n(spark, sf_dir):
+    return sampling.first_rows(records.documents(spark, sf_dir).select("seq", "id"), "seq", 0)
+
+
+@query()
+def collection_manifest(spark, sf_dir):
+    return records.manifest(collection_stats(spark, sf_dir))
+
+
+@query()
+def cleaning_manifest(spark, sf_dir):
+    return records.manifest(clean_manifest_grouping_sets(spark, sf_dir))
+
+
+# --- tokens -------------------------------------------------------------------------------------
+
+TOKENS = r"""tok AS (SELECT doc_id AS seq, id, source, split, strlen(text)::BIGINT AS n_bytes, list_append(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'), lambda w: ('0x' || substr(sha256(w), 1, 4))::INTEGER), 65536) AS tokens
+  FROM (SELECT *, CASE WHEN ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 100 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, source || ':' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents)))"""
+FLAT = """flat AS (SELECT split, seq, pos, token, (row_number() OVER (PARTITION BY split ORDER BY seq, pos) - 1) AS n FROM (SELECT split, seq, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM tok))"""
+BLOCKS = """blocks AS (SELECT split, (n // 1024)::BIGINT AS block_id, list(token ORDER BY n) AS tokens FROM flat GROUP BY ALL HAVING count(*) = 1024)"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with split (a tenth val) and stand-in tokens that SQL can make too."""
+    df = records.documents(spark, sf_dir)
+    return df.select("seq", "id", "source", "n_bytes", split_for(F.col("id"), 100).alias("split"), packing.word_tokens(quality_rules.words(F.lower("text"))).alias("tokens"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_tokens(spark, sf_dir))
+
+
+def _said(*columns: str) -> list:
+    return [F.md5(F.array_join(c, ",")).alias(c) for c in columns]
+
+
+@query("SELECT doc_id AS seq, CASE WHEN ('0x' || substr(sha256(source || ':' || lpad(doc_id::VARCHAR, 8, '0')), 1, 8))::BIGINT % 1000 < 5 THEN 'val' ELSE 'train' END AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return records.documents(spark, sf_dir).select("seq", split_for(F.col("id")).alias("split"))
+
+
+@query(f"WITH {TOKENS} SELECT split, count(*)::BIGINT AS documents, sum(len(tokens))::BIGINT AS tokens, (sum(len(tokens)) // 1024)::BIGINT AS blocks, ((sum(len(tokens)) // 1024) * 1024)::BIGINT AS packed, (sum(len(tokens)) % 1024)::BIGINT AS dropped FROM tok GROUP BY split")
+def split_counts(spark, sf_dir):
+    n = _tokens(spark, sf_dir).groupBy("split").agg(F.count("*").alias("documents"), F.sum(F.size("tokens")).alias("tokens"))
+    return n.select("split", "documents", "tokens", F.expr("tokens DIV 1024").alias("blocks"), F.expr("(tokens DIV 1024) * 1024").alias("packed"), F.expr("tokens % 1024").alias("dropped"))
+
+
+@query(f"""WITH {TOKENS}, n AS (SELECT len(tokens) AS n FROM tok) SELECT count(*)::BIGINT AS n_docs, round(coalesce(avg(n), 0), 6) AS mean, coalesce(min(n), 0)::BIGINT AS least, round(coalesce(quantile_cont(n::DOUBLE, 0.5), 0), 6) AS p50,
+  round(coalesce(quantile_cont(n::DOUBLE, 0.9), 0), 6) AS p90, round(coalesce(quantile_cont(n::DOUBLE, 0.99), 0), 6) AS p99, coalesce(max(n), 0)::BIGINT AS most, count(*) FILTER (n > 1024)::BIGINT AS over_block FROM n""")
+def doc_length_distribution(spark, sf_dir):
+    n = _tokens(spark, sf_dir).select(F.size("tokens").cast("bigint").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    p = lambda q: zero(F.percentile("n", F.lit(q))).cast("double")
+    df = n.agg(F.count("*").alias("n_docs"), zero(F.avg("n")).cast("double").alias("mean"), zero(F.min("n")).alias("least"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), zero(F.max("n")).alias("most"), F.count_if(F.col("n") > 1024).alias("over_block"))
+    return rounded(df, "mean", "p50", "p90", "p99")
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT source, sum(len(tokens))::BIGINT AS n_tokens FROM tok GROUP BY source) SELECT source, n_tokens, round(n_tokens / sum(n_tokens) OVER (), 9) AS share FROM n")
+def tokens_per_source(spark, sf_dir):
+    n = _tokens(spark, sf_dir).groupBy("source").agg(F.sum(F.size("tokens")).alias("n_tokens"))
+    share = F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))  # a row for each source
+    return n.select("source", "n_tokens", F.round(share, 9).alias("share")).orderBy(F.desc("n_tokens"))
+
+
+@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT split, block_id, md5(array_to_string(tokens, ',')) AS tokens FROM blocks")
+def pack_blocks(spark, sf_dir):
+    return _blocks(spark, sf_dir).select("split", "block_id", *_said("tokens"))
+
+
+@query(f"""WITH {TOKENS}, {FLAT}, {BLOCKS}, p AS (SELECT b.split, b.block_id, b.tokens AS input, list_append(b.tokens[2:], a.tokens[1]) AS label FROM blocks b JOIN blocks a ON a.split = b.split AND a.block_id = b.block_id + 1)
+SELECT split, block_id, md5(array_to_string(input, ',')) AS input, md5(array_to_string(label, ',')) AS label, input[2:] = label[:-2] AS shifted FROM p""")
+def next_token_pairs(spark, sf_dir):
+    p = packing.pairs(_blocks(spark, sf_dir))
+    shifted = F.slice("input", 2, packing.BLOCK - 1) == F.slice("label", 1, packing.BLOCK - 1)
+    return p.select("split", "block_id", *_said("input", "label"), shifted.alias("shifted"))
+
+
+@query(f"""WITH {TOKENS}, {FLAT}, {BLOCKS}, p AS (SELECT b.split, b.block_id, list_append(b.tokens, a.tokens[1]) AS t, unnest(range(8)) AS w FROM blocks b JOIN blocks a ON a.split = b.split AND a.block_id = b.block_id + 1)
+SELECT split, block_id AS page_id, w::INTEGER AS window_id, md5(array_to_string(t[w * 128 + 1:w * 128 + 128], ',')) AS input, md5(array_to_string(t[w * 128 + 2:w * 128 + 129], ',')) AS label FROM p""")
+def page_windows(spark, sf_dir):
+    w = packing.windows(_blocks(spark, sf_dir), 128)
+    return w.select("split", "page_id", "window_id", *_said("input", "label"))
+
+
+@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT block_id AS page_id, md5(array_to_string(tokens, ',')) AS tokens FROM (SELECT * FROM blocks WHERE split = 'train' ORDER BY sha256('1337:' || block_id), block_id LIMIT 16)")
+def page_sample(spark, sf_dir):
+    pages = _blocks(spark, sf_dir).where("split = 'train'").select(F.col("block_id").alias("page_id"), "tokens")
+    return sampling.exact_sample(pages, "page_id", max(1, 16_384 // packing.PAGE), 1337).select("page_id", *_said("tokens"))
+
+
+@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT epoch, block_id, (row_number() OVER (PARTITION BY epoch ORDER BY sha256((1337 + epoch) || ':' || block_id), block_id) - 1)::BIGINT AS place FROM blocks, (VALUES (0), (1)) AS e(epoch) WHERE split = 'train'")
+def epoch_shuffle(spark, sf_dir):
+    ids = _blocks(spark, sf_dir).where("split = 'train'").select("block_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+    place = F.row_number().over(Window.partitionBy("epoch").orderBy(seeded(F.col("block_id"), F.col("epoch") + 1337), "block_id")) - 1
+    return ids.select("epoch", "block_id", place.cast("bigint").alias("place"))
+
+
+@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT block_id % 4 AS worker, count(*)::BIGINT AS n_blocks, min(block_id) AS first_block FROM blocks WHERE split = 'train' GROUP BY 1")
+def worker_stride(spark, sf_dir):
+    return packing.worker_share(_blocks(spark, sf_dir).where("split = 'train'"), 4).groupBy("worker").agg(F.count("*").alias("n_blocks"), F.min("block_id").alias("first_block"))
+
+
+@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS}, b AS (SELECT block_id // 8 AS batch_id, block_id FROM blocks WHERE split = 'train') SELECT batch_id, block_id FROM b WHERE batch_id IN (SELECT batch_id FROM b GROUP BY batch_id HAVING count(*) = 8)")
+def batch_drop_last(spark, sf_dir):
+    ids = _blocks(spark, sf_dir).where("split = 'train'").select("block_id")
+    return packing.batch_ids(ids, ["block_id"], 8, drop_last=True, rank="block_id")
+
+
+PADDED = f"""WITH {TOKENS}, d AS (SELECT seq, seq // 8 AS batch_id, tokens[1:256] AS t FROM tok), w AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_id) AS w FROM d)"""
+
+
+@query(f"""{PADDED} SELECT seq, batch_id, md5(array_to_string(list_concat(t, list_transform(range(w - len(t)), lambda x: 65536)), ',')) AS input_ids,
+  md5(array_to_string(list_concat(list_transform(t, lambda x: 1), list_transform(range(w - len(t)), lambda x: 0)), ',')) AS attention_mask, md5(array_to_string(list_concat(t, list_transform(range(w - len(t)), lambda x: -100)), ',')) AS labels FROM w""")
+def pad_batches(spark, sf_dir):
+    docs = packing.batch_ids(_tokens(spark, sf_dir), ["seq"], 8, drop_last=False, rank="seq")
+    return packing.padded(docs, 256).select("seq", "batch_id", *_said("input_ids", "attention_mask", "labels"))
+
+
+@query(f"{PADDED} SELECT batch_id, round(1 - sum(len(t)) / (count(*) * max(len(t))), 9) AS pad_fraction FROM d GROUP BY batch_id")
+def pad_waste(spark, sf_dir):
+    docs = packing.batch_ids(_tokens(spark, sf_dir), ["seq"], 8, drop_last=False, rank="seq")
+    return rounded(packing.pad_waste(docs, 256), "pad_fraction", digits=9)
+
+
+@query(f"{PADDED} SELECT seq, len(t)::INTEGER AS n, md5(array_to_string(t, ',')) AS tokens FROM d")
+def truncate_documents(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("seq", F.slice("tokens", 1, 256).alias("tokens")).select("seq", F.size("tokens").alias("n"), *_said("tokens"))
+
+
+@query()
+def token_manifest(spark, sf_dir):
+    return records.manifest(split_counts(spark, sf_dir))
+
+
+# --- run logs: events stand in for a log, a run for each tenth of users --------------------------
+
+LOG = """log AS (SELECT (user_id % 10)::BIGINT AS run, CASE event_type WHEN 'signup' THEN 'eval' WHEN 'error' THEN 'epoch' ELSE 'step' END AS kind,
+  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id)::BIGINT AS step, value AS loss FROM events)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = records.table(spark, sf_dir, "events")
+    step = F.row_number().over(Window.partitionBy("run").orderBy("ts", "event_id")).cast("bigint")
+    kind = F.when(F.col("event_type") == "signup", "eval").when(F.col("event_type") == "error", "epoch").otherwise("step")
+    df = events.withColumn("run", F.col("user_id") % 10).select("run", kind.alias("kind"), step.alias("step"), F.col("value").alias("loss"))
+    return df.withColumn("tokens", F.col("step") * 4096)
+
+
+@query(f"WITH {LOG} SELECT run, kind, count(*)::BIGINT AS n, max(step)::BIGINT AS last_step FROM log GROUP BY ALL")
+def log_split_kind(spark, sf_dir):
+    return _log(spark, sf_dir).groupBy("run", "kind").agg(F.count("*").alias("n"), F.max("step").alias("last_step"))
+
+
+WINDOWS = """w AS (SELECT run, (step - 1) // 384 + 1 AS epoch, step, loss, CASE WHEN step % 7 = 0 THEN 'inf'::DOUBLE ELSE loss END AS norm, (ceil(step / 10) * 10)::BIGINT AS stop, max(step) OVER (PARTITION BY run) AS total FROM log)"""
+
+
+@query(f"""WITH {LOG}, {WINDOWS} SELECT run, epoch, max(step)::BIGINT AS step, round(avg(loss), 6) AS loss, round(avg(norm) FILTER (isfinite(norm)), 6) AS grad_norm, count(*)::BIGINT AS n_steps FROM w
+GROUP BY run, epoch, stop HAVING max(step) = stop OR max(step) = max(total)""")
+def log_windows(spark, sf_dir):
+    steps = _log(spark, sf_dir).withColumn("grad_norm", F.when(F.col("step") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("loss")))
+    return rounded(runs.log_windows(steps, 10, 384), "loss", "grad_norm")
+
+
+@query(f"WITH {LOG}, {WINDOWS} SELECT run, epoch, round(avg(loss), 6) AS train_loss, round(exp(avg(loss) / 100), 6) AS train_ppl, max(step)::BIGINT AS last_step FROM w GROUP BY ALL")
+def epoch_means(spark, sf_dir):
+    df = _log(spark, sf_dir).withColumn("epoch", F.expr("(step - 1) DIV 384 + 1")).groupBy("run", "epoch").agg(F.avg("loss").alias("train_loss"), F.max("step").alias("last_step"))
+    return rounded(df.withColumn("train_ppl", schedule.perplexity(F.col("train_loss") / 100)), "train_loss", "train_ppl")
+
+
+@query("""WITH l AS (SELECT (l_suppkey % 10)::BIGINT AS run, l_discount * 50 AS loss, l_quantity::BIGINT AS n FROM lineitem)
+SELECT run, round(sum(loss * n) / greatest(1, sum(n)), 6) AS mean_loss, round(exp(sum(loss * n) / greatest(1, sum(n))), 6) AS ppl, sum(n)::BIGINT AS n_tokens FROM l GROUP BY run""")
+def weighted_perplexity(spark, sf_dir):
+    losses = records.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("run"), (F.col("l_discount") * 50).alias("loss"), F.col("l_quantity").cast("bigint").alias("n"))
+    return rounded(runs.weighted_perplexity(losses, ["run"]), "mean_loss", "ppl")
+
+
+@query(f"""WITH {LOG} SELECT run, max(step)::BIGINT AS steps, max(step * 4096)::BIGINT AS tokens_seen, min(loss) FILTER (kind = 'eval') AS best_val_loss, round(median(loss) FILTER (kind = 'step'), 6) AS median_rate,
+  arg_max(loss, step) FILTER (kind = 'eval') AS last_val_loss, count(*) FILTER (kind = 'epoch')::BIGINT AS epochs FROM log GROUP BY run""")
+def run_summary(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumns({"val_loss": F.col("loss"), "tokens_per_sec": F.col("loss")})
+    return rounded(runs.summaries(log), "median_rate")
+
+
+@query(f"""WITH {LOG}, e AS (SELECT run, step, loss, row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS k FROM log WHERE kind = 'eval')
+SELECT a.run, a.step, a.loss, round(sum(b.loss * CASE WHEN b.k = 0 THEN pow(0.9, a.k) ELSE 0.1 * pow(0.9, a.k - b.k) END), 6) AS ema FROM e a JOIN e b ON a.run = b.run AND b.k <= a.k GROUP BY ALL""")
+def ema_loss(spark, sf_dir):
+    return rounded(runs.ema(runs.of_kind(_log(spark, sf_dir), "eval"), ["run"], "step", "loss"), "ema")
+
+
+@query(f"WITH {LOG} SELECT run, step, loss FROM (SELECT *, max(step) OVER (PARTITION BY run) AS last FROM log WHERE kind = 'eval') WHERE step > 0.1 * last")
+def tail_filter(spark, sf_dir):
+    return runs.past(runs.of_kind(_log(spark, sf_dir), "eval")).select("run", "step", "loss")
+
+
+@query(f"WITH {LOG} SELECT round(min(loss) - 0.06 * CASE WHEN max(loss) > min(loss) THEN max(loss) - min(loss) ELSE 1 END, 6) AS lo, round(max(loss) + 0.06 * CASE WHEN max(loss) > min(loss) THEN max(loss) - min(loss) ELSE 1 END, 6) AS hi FROM log WHERE kind = 'eval'")
+def axis_bounds(spark, sf_dir):
+    return rounded(runs.axis(runs.of_kind(_log(spark, sf_dir), "eval"), "loss"), "lo", "hi")
+
+
+@query(f"WITH {LOG} SELECT run, kind, step FROM log WHERE run >= 5 OR step <= 100 * (run + 1)")
+def resume_truncate(spark, sf_dir):
+    at = spark.range(5).select(F.col("id").alias("run"), (100 * (F.col("id") + 1)).alias("checkpoint"))
+    return runs.resumed(_log(spark, sf_dir), at).select("run", "kind", "step")
+
+
+@query("""SELECT step, round(CASE WHEN step < 38 THEN 1e-3 * (step + 1) / 38 ELSE 1e-4 + 0.5 * 9e-4 * (1 + cos(pi() * least(1.0, (step - 38) / 730))) END, 12) AS lr FROM (SELECT unnest(range(768)) AS step)""")
+def lr_schedule(spark, sf_dir):
+    return spark.range(768).select(F.col("id").alias("step"), F.round(schedule.lr_at(F.col("id"), 768, 1e-3), 12).alias("lr"))
+
+
+@query("SELECT e AS epoch, i, (e * 390 + round_even(i * 390.0 / 4, 0))::BIGINT AS step FROM (SELECT unnest(range(2)) AS e), (SELECT unnest(range(1, 5)) AS i)")
+def eval_points(spark, sf_dir):
+    grid = spark.range(2).select(F.col("id").alias("epoch"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("i"))
+    return grid.select("epoch", "i", schedule.eval_step(F.col("epoch"), F.col("i"), 390, 4).alias("step"))
+
+
+# --- sweep --------------------------------------------------------------------------------------
+
+
+def _sql_value(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+
+
+SWEEP = "r(ord, " + ", ".join(sweep.COLUMNS) + ") AS (VALUES " + ", ".join("(" + ", ".join(map(_sql_value, (k, *r))) + ")" for k, r in enumerate(sweep.RUNS)) + ")"
+FACTORS = "f(factor, factor_key, setting) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in sweep.BASELINE) + ")"
+PANELS = f"""WITH {SWEEP}, {FACTORS}, p AS (SELECT f.factor, name, f.setting, val_loss, val_ppl, TRUE AS is_base FROM f, r WHERE name = 'baseline' UNION ALL SELECT factor, name, setting, val_loss, val_ppl, FALSE FROM r WHERE name <> 'baseline')"""
+
+
+@query(f"WITH {SWEEP} SELECT name, val_loss, val_ppl, row_number() OVER (ORDER BY val_loss, ord)::BIGINT AS place, row_number() OVER (ORDER BY val_loss, ord) = 1 AS is_best FROM r")
+def sweep_ranking(spark, sf_dir):
+    return sweep.ranking(sweep.runs(spark))
+
+
+@query(f"WITH {SWEEP} SELECT name, val_loss FROM r ORDER BY val_loss, ord LIMIT 1")
+def best_run(spark, sf_dir):
+    return sweep.best(sweep.runs(spark))
+
+
+@query(f"WITH {SWEEP} SELECT r.name, r.val_ppl, round((r.val_ppl / b.val_ppl - 1) * 100, 6) AS change FROM r, r AS b WHERE b.name = 'baseline'")
+def vs_baseline(spark, sf_dir):
+    return rounded(sweep.against_baseline(sweep.runs(spark)), "change")
+
+
+@query(f"{PANELS} SELECT factor, name, setting, (row_number() OVER (PARTITION BY factor ORDER BY is_base DESC, setting) - 1)::BIGINT AS slot FROM p")
+def factor_panels(spark, sf_dir):
+    return sweep.panels(sweep.runs(spark), sweep.factors(spark)).select("factor", "name", "setting", "slot")
+
+
+@query(f"{PANELS} SELECT factor, arg_min(name, val_loss) AS best, round((arg_max(val_ppl, val_loss) / arg_min(val_ppl, val_loss) - 1) * 100, 6) AS spread FROM p GROUP BY factor")
+def factor_spread(spark, sf_dir):
+    return rounded(sweep.spread(sweep.panels(sweep.runs(spark), sweep.factors(spark))), "spread")
+
+
+@query("""WITH p(component, n) AS (VALUES ('token_embedding', 50257 * 128), ('position_embedding', 128 * 128), ('transformer_blocks', 2 * (12 * 128 * 128 + 13 * 128)), ('final_layernorm', 256))
+SELECT component, n::BIGINT AS n, round(n / sum(n) OVER (), 9) AS share FROM p""")
+def param_shares(spark, sf_dir):
+    return rounded(sweep.parameter_shares(spark), "share", digits=9)
+
+
+@query(f"WITH {SWEEP} SELECT sum(steps * 4096)::BIGINT AS n_tokens, count(*)::BIGINT AS n_runs FROM r WHERE factor = 'baseline' OR factor = 'learning rate'")
+def sweep_tokens(spark, sf_dir):
+    return sweep.runs(spark).where(F.col("factor").isin("baseline", "learning rate")).agg(F.sum(F.col("steps") * 4096).alias("n_tokens"), F.count("*").alias("n_runs"))
+
+
+@query(f"WITH {SWEEP} SELECT name FROM r WHERE val_loss >= 6.2")
+def unfinished_runs(spark, sf_dir):
+    all_runs = sweep.runs(spark)
+    return sweep.unfinished(all_runs.select("name"), all_runs.where("val_loss < 6.2").select("name"))
+
+
+@query(f"WITH {SWEEP} SELECT name FROM r WHERE name IN ('batch_16', 'seq_64')")
+def selected_runs(spark, sf_dir):
+    wanted = spark.createDataFrame([("batch_16",), ("seq_64",)], "name string")
+    return sweep.runs(spark).join(wanted, "name", "left_semi").select("name")
+
+
+@query("SELECT 'no_such_run' AS name")
+def unknown_names(spark, sf_dir):
+    wanted = spark.createDataFrame([("batch_16",), ("no_such_run",)], "name string")
+    return sweep.unknown(wanted, sweep.runs(spark))
+
+
+@query(f"""WITH {SWEEP} SELECT name, CASE factor_key WHEN 'lr' THEN CASE name WHEN 'lr_5e-4' THEN 'lr 5e-4' ELSE 'lr 3e-3' END WHEN 'batch_size' THEN 'batch ' || setting::INT WHEN 'n_layer' THEN setting::INT || ' layer' || CASE WHEN setting <> 1 THEN 's' ELSE '' END
+  WHEN 'n_embd' THEN 'd = ' || setting::INT WHEN 'seq_len' THEN 'T = ' || setting::INT END AS label, printf('%.2f', parameters / 1e6) || 'M' AS size, (parameters / 1e6)::DECIMAL(9, 0)::INT || 'M' AS axis FROM r""")
+def format_labels(spark, sf_dir):
+    r = sweep.runs(spark)
+    return r.select("name", schedule.setting_label(F.col("factor_key"), F.col("setting")).alias("label"), schedule.short_number(F.col("parameters")).alias("size"), schedule.axis_number(F.col("parameters")).alias("axis"))
+
+
+@query(r"SELECT doc_id AS seq, rtrim(regexp_replace(replace(text, '�', ''), '[\s\x0B\x1C-\x1F\x{85}]+', ' ', 'g')) AS line FROM documents")
+def printable_text(spark, sf_dir):
+    return records.documents(spark, sf_dir).select("seq", schedule.printable(F.col("text")).alias("line"))
+
+
+# --- sampling math: embeddings stand in for logits ----------------------------------------------
+
+LOGITS = "logits AS (SELECT vec_id AS row, unnest(range(64)) AS token, round(unnest(embedding)::DOUBLE, 2) AS logit FROM embeddings)"
+
+
+def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = records.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("token", "logit"))
+    return e.select("row", F.col("token").cast("bigint").alias("token"), F.round(F.col("logit").cast("double"), 2).alias("logit"))
+
+
+@query(f"WITH {LOGITS} SELECT row, token, logit, rank FROM (SELECT *, rank() OVER (PARTITION BY row ORDER BY logit DESC)::BIGINT AS rank FROM logits) WHERE rank <= 8")
+def topk_logits(spark, sf_dir):
+    return sampling_math.top_k(_logits(spark, sf_dir), 8)
+
+
+SOFTMAX = f"WITH {LOGITS}, e AS (SELECT *, exp(logit / 0.8 - max(logit / 0.8) OVER (PARTITION BY row)) AS x FROM logits), p AS (SELECT row, token, x / sum(x) OVER (PARTITION BY row) AS p FROM e)"
+
+
+@query(f"{SOFTMAX} SELECT row, token, round(p, 9) AS p FROM p")
+def softmax(spark, sf_dir):
+    return rounded(sampling_math.softmax(_logits(spark, sf_dir), 0.8), "p", digits=9).select("row", "token", "p")
+
+
+@query(f"""{SOFTMAX}, c AS (SELECT row, token, sum(p) OVER (PARTITION BY row ORDER BY token) AS cum, ('0x' || substr(sha256('0:' || row), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p)
+SELECT row, coalesce(min(token) FILTER (cum > u), max(token))::BIGINT AS token, max(u) AS u FROM c GROUP BY row""")
+def softmax_sample(spark, sf_dir):
+    return sampling_math.draw(sampling_math.softmax(_logits(spark, sf_dir), 0.8), 0)
+
+
+@query("SELECT doc_id AS seq, sha256(text) AS sha256, substr(sha256(text), 1, 16) AS key FROM documents")
+def content_keys(spark, sf_dir):
+    return records.documents(spark, sf_dir).select("seq", digest(F.col("text")).alias("sha256"), key(digest(F.col("text"))).alias("key"))
+
+
+@query()
+def input_digests(spark, sf_dir):
+    """SHA-256 and bytes of the documents' files."""
+    return records.digests(spark, f"{sf_dir}/documents.parquet")
