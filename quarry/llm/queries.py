@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, licenses, near_duplicates, packing, quality_rules, secrets, suffix_array_dedup, suffix_tree_dedup, token_counts, training_order
+from quarry.llm import decontaminate, licenses, near_duplicates, oracles, packing, quality_rules, secrets, suffix_array_dedup, suffix_tree_dedup, token_counts, training_order
 from quarry.llm.shared import table
 from quarry.llm.tokens import word_bpe
 
@@ -38,7 +38,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,11 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op5_suffix_array_dedup": oracles.OP5,
+    "op6_ngram_jaccard_join": oracles.OP6,
+    "op7_secret_scan": oracles.OP7,
+    "op8_benchmark_decontamination": oracles.OP8,
+    "op10_quality_rules": oracles.OP10,
+}
