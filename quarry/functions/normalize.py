@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space and its opposite as the rules mean them: U+001C to U+001F count too.
 S = r"[\s\x1C-\x1F]"
@@ -29,7 +30,7 @@ LINE_ENDS = r"(?mdU)^[\s&&[^\n]]+|[\s&&[^\n]]+$"
 TEXT_ENDS = r"(?dU)\A\s+|\s+\z"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -15,7 +15,7 @@ from quarry.functions import quality as quality_rules
 from quarry.functions import schedule
 from quarry.functions.hashing import digest, key, seeded, split_for
 from quarry.functions.normalize import normalize
-from quarry.operators import packing, runs, sampling, sampling_math, sweep
+from quarry.operators import bpe, packing, runs, sampling, sampling_math, sweep
 from quarry.operators.dedup import mark_first
 from quarry.plans import clean
 from quarry.sources import records
@@ -385,6 +385,30 @@ def truncate_documents(spark, sf_dir):
     return _tokens(spark, sf_dir).select("seq", F.slice("tokens", 1, 256).alias("tokens")).select("seq", F.size("tokens").alias("n"), *_said("tokens"))
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def bpe_tokens(spark, sf_dir):
+    """Ids of each document's normalised text by the byte-level vocabulary."""
+    docs = clean.kept(clean.judged(records.documents(spark, sf_dir)))
+    return docs.select("seq", "id", split_for(F.col("id")).alias("split"), bpe.encode(F.col("text"), _vocabulary(), "<|endoftext|>").alias("tokens"))
+
+
+@query()
+def bpe_blocks(spark, sf_dir):
+    return packing.pack(bpe_tokens(spark, sf_dir))
+
+
+@query("SELECT doc_id AS seq, text FROM documents")
+def bpe_round_trip(spark, sf_dir):
+    docs = records.documents(spark, sf_dir)
+    return docs.select("seq", bpe.decode(bpe.encode(F.col("text"), _vocabulary(), "<|endoftext|>"), _vocabulary()).alias("text"))
+
+
 @query()
 def token_manifest(spark, sf_dir):
     return records.manifest(split_counts(spark, sf_dir))
