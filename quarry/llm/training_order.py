@@ -29,6 +29,8 @@ from quarry.llm.shared import materialise
 STRIDE = 2048
 SHARD = 1024
 ROUNDS = 6
+#: Range partitions; beyond so many shards, several go to one.
+MOST_PARTITIONS = 100_000
 
 
 def _keys(key: int) -> np.ndarray:
@@ -75,9 +77,10 @@ def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stri
 
     placed = rows.mapInArrow(place, "slot bigint, file bigint, block bigint, n_tokens bigint, tokens_crc32 bigint, doc_ids array<bigint>, tokens binary")
     placed = placed.withColumn("shard", F.expr(f"slot DIV {shard}")).withColumn("byte_offset", F.expr(f"(slot % {shard}) * {2 * stride}"))
-    # slots are evenly spread, so the bounds of the ranges are known and nothing needs to be sampled
-    n = max(1, min(-(-total // shard), 4096))
-    dealt = placed.repartition(n, "shard") if n > 1 else placed.coalesce(1)
+    # slots are 0 to total - 1, so the bounds of the ranges are known and nothing needs to be sampled; a partition is a whole shard or more
+    n_shards = max(1, -(-total // shard))
+    n = min(n_shards, MOST_PARTITIONS)
+    dealt = placed.repartitionById(n, F.expr(f"CAST(shard * {n} DIV {n_shards} AS INT)"))
     return dealt.sortWithinPartitions("slot").select("slot", "shard", "byte_offset", *names[1:])
 
 
