@@ -110,3 +110,18 @@ def test_packing(messy, nothing, size):
     if not size:
         assert len(bins) <= -(-sum(r.length for r in got) // capacity) + 1
     assert packing.pack(nothing, word_bpe(), **size).count() == 0
+
+
+def test_quick_way_gives_the_same_ids():
+    import random
+
+    rng = random.Random(11)
+    quick, slow = Encoder(word_bpe()), Encoder(word_bpe(), quick=False)
+    assert quick.quick
+    chars = "abcdefghijklmnopqrstuvwxyz" * 4 + "ABCXYZ0123456789.,;:!?*#&-_/()[]{}<>|\"'`~^@%$=+\\" + "éèêëñäöüßçÀÉÖØÞþÿŒœŠšŽžıŁłªµº²³¼¾×÷¡¿£¥€§©®°" + "漢字ΣςαБжé́ ​­\x7f\x1c\t"
+    words = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 14))) for _ in range(40_000)]
+    words += ["".join(rng.choice(["and", "the", "tion", "ción", "que", "sch", "ß", "eau", "é", "ly", "ing"]) for _ in range(rng.randint(1, 6))) + rng.choice(["", ",", ".", "!!", "***"]) for _ in range(20_000)]
+    words += [chr(c) * 2 + "a" for c in range(0x21, 0x260)] + ["İx", "<|ENDOFTEXT|>", "ab" * 600, "I'LL", "x'd"]
+    texts = [w.encode() for w in words if " " not in w and "\n" not in w]
+    a, b = quick.ids(texts), slow.ids(texts)
+    assert [t for t, x, y in zip(texts, a, b, strict=True) if x != y] == []
