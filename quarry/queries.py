@@ -15,10 +15,10 @@ from quarry.functions import quality as quality_rules
 from quarry.functions import schedule
 from quarry.functions.hashing import digest, key, seeded, split_for
 from quarry.functions.normalize import normalize
-from quarry.operators import bpe, packing, runs, sampling, sampling_math, sweep
+from quarry.operators import bpe, loader, packing, runs, sampling, sampling_math, sweep
 from quarry.operators.dedup import mark_first
 from quarry.plans import clean
-from quarry.sources import records
+from quarry.sources import manifests, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -409,6 +409,31 @@ def bpe_round_trip(spark, sf_dir):
     return docs.select("seq", bpe.decode(bpe.encode(F.col("text"), _vocabulary(), "<|endoftext|>"), _vocabulary()).alias("text"))
 
 
+BATCHES = f"""WITH {TOKENS}, {FLAT}, {BLOCKS}, o AS (SELECT block_id, row_number() OVER (ORDER BY sha256('1338:' || block_id), block_id) - 1 AS place, count(*) OVER () // 8 * 8 AS n FROM blocks WHERE split = 'train'),
+b AS (SELECT block_id, (place // 8)::BIGINT AS batch_id, (place % 8)::BIGINT AS slot FROM o WHERE place < n)"""
+
+
+@query(f"{BATCHES} SELECT block_id, batch_id, slot FROM b")
+def loader_batches(spark, sf_dir):
+    ids = _blocks(spark, sf_dir).where("split = 'train'").select("block_id")
+    return loader.batches(ids, "block_id", 8, 1337, epoch=1)
+
+
+@query(f"{BATCHES} SELECT block_id, batch_id, (slot // 3)::BIGINT AS micro_id, round(count(*) OVER (PARTITION BY batch_id, slot // 3) / count(*) OVER (PARTITION BY batch_id), 9) AS share FROM b")
+def micro_batches(spark, sf_dir):
+    return rounded(loader.micro_batches(loader_batches(spark, sf_dir), 3), "share", digits=9).select("block_id", "batch_id", "micro_id", "share")
+
+
+@query("SELECT doc_id AS seq FROM documents WHERE doc_id % 16 = 3 ORDER BY doc_id OFFSET 5")
+def resume_shard(spark, sf_dir):
+    return loader.resume_shard(records.documents(spark, sf_dir).select("seq", "shard"), 3, 5).select("seq")
+
+
+@query("SELECT page_id AS seq, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def escaped_pages(spark, sf_dir):
+    return records.pages(spark, sf_dir).select("seq", manifests.escaped(F.col("text")).alias("escaped"))
+
+
 @query()
 def token_manifest(spark, sf_dir):
     return records.manifest(split_counts(spark, sf_dir))
