@@ -72,8 +72,9 @@ def index(docs: DataFrame, id: str, text: str) -> DataFrame:
     """_block, _gram, _docs: the ids, once each, of the documents of the block that hold the trigram."""
     grams = sorted({g for r in RULES for part in query(r.regex) for s in part for g in trigrams(s)})
     n_blocks = max(8, -(-docs.count() // BLOCK))
-    held = docs.select(F.coalesce(id, F.lit(NULL_ID)).alias("_k"), F.lower(text).alias("_low"))
-    held = held.select("_k", F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains("_low", g)).alias("_grams"))
+    # the one-element array makes the lower-cased text once, not once for each trigram
+    held = F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(low, g)))[0]
+    held = docs.select(F.coalesce(id, F.lit(NULL_ID)).alias("_k"), held.alias("_grams"))
     held = held.select("_k", F.pmod(F.xxhash64("_k"), F.lit(n_blocks)).alias("_block"), F.explode("_grams").alias("_gram"))
     return held.groupBy("_block", "_gram").agg(F.collect_set("_k").alias("_docs"))
 
