@@ -11,8 +11,9 @@ from array import array
 
 import numpy as np
 
-#: Entries of a worker's cache of words; beyond this it starts anew.
-CACHE_WORDS = 400_000
+#: Entries of a worker's caches of words and of words' parts (about 200 bytes each); beyond this a cache starts anew.
+CACHE_WORDS = 1_000_000
+CACHE_PARTS = 400_000
 #: Longer words aren't cached, bytes.
 CACHE_BYTES = 64
 
@@ -77,13 +78,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.quick = _quick(path) if quick else None
         self.known: dict[bytes, bytes] = {b"": b""}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
-            ids = self.quick(part.encode() + b"\xff")
+            ids = _bytes(self.quick(part.encode() + b"\xff"))
             if len(part) <= CACHE_BYTES:
-                if len(self.parts) >= CACHE_WORDS:
+                if len(self.parts) >= CACHE_PARTS:
                     self.parts = {}
                 self.parts[part] = ids
         return ids
@@ -95,8 +96,7 @@ class Encoder:
             t = w.decode("utf-8", "replace")
             if self.quick and len(t) <= 1024 and _PLAIN.fullmatch(t):
                 t = t.lower()
-                ids = self._part(t) if t.isalpha() else [i for p in _PARTS.findall(t) for i in self._part(p)]
-                out[k] = _bytes(ids)
+                out[k] = self._part(t) if t.isalpha() else b"".join(map(self._part, _PARTS.findall(t)))
             else:
                 rest.append((k, t))
         for a in range(0, len(rest), 4096):
