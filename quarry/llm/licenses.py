@@ -66,17 +66,15 @@ def rules() -> tuple[tuple[int, float, str, bytes, re.Pattern[bytes]], ...]:
     return tuple(sorted(made, key=lambda r: r[0]))
 
 
-#: Any way to name a license has one of these.
+#: Any way to name a license has one of these, once white space is single.
 GATES = (b"licen", b"under ", b"per ")
 
 
 def detections(text: bytes) -> list[tuple[int, int, int, float, str]]:
     """Start, end (in the lower-cased text with white space made single), priority, confidence, label of what stays after suppression."""
-    low = text.lower()
-    gates = [g for g in GATES if g in low]
-    if not gates:
+    low = b" ".join(text.lower().split())
+    if not any(g in low for g in GATES):
         return []
-    low = b" ".join(low.split())
     has: dict[bytes, bool] = {}
     found = []
     for p, c, label, key, regex in rules():

@@ -113,3 +113,33 @@ def test_licenses(spark, messy, nothing):
 def test_suppression():
     found = licenses.detections(b"Licensed under the Apache License, version 2.0")
     assert all(not (a[0] <= b[0] and b[1] <= a[1]) for a in found for b in found if a != b)
+
+
+def ungated(text):
+    """All rules over the text with white space made single, and plain suppression; of the gates only the keywords, part of the rules."""
+    low = b" ".join(text.lower().split())
+    found = [(m.start(), m.end(), p, c, label) for p, c, label, key, regex in licenses.rules() if key in low for m in regex.finditer(low)]
+    kept = []
+    for d in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0])):
+        if not any(x[0] <= d[0] and d[1] <= x[1] for x in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+PLAIN = ["released under gnu gpl v3", "Distributed under the terms of the MPL 2.0", "available under the BSD", "use it per the Unlicense", "under the Creative Commons Attribution Share-Alike", "SPDX-License-Identifier: MIT", "The MIT License", "Apache License, Version 2.0", "licence: isc", "License = the zlib", "under", "per", "no terms"]
+
+
+def test_wrapped_notices():
+    for phrase in PLAIN:
+        want = ungated(phrase.encode())
+        assert want or phrase in ("under", "per", "no terms"), phrase
+        gaps = [m.start() for m in re.finditer(" ", phrase)]
+        for white in ("\n", "\t", "\r\n", "\n\n  ", "\x0b", "\x0c"):
+            wrapped = [phrase.replace(" ", white)] + [phrase[:g] + white + phrase[g + 1 :] for g in gaps] + [f"{white}{phrase}{white}"]
+            for t in wrapped:
+                assert sorted(licenses.detections(t.encode())) == ungated(t.encode()) == want, t
+
+
+def test_wrapped_notice_in_scan(spark):
+    got = licenses.scan(spark.createDataFrame([(1, "Released under\nGNU GPL v3")], "doc_id bigint, text string")).first()
+    assert (got.labels, got.score) == ("gpl", 0.95)
