@@ -34,7 +34,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens packed into sequences: a row for each piece."""
+    """The documents' tokens packed into sequences: a row for each piece, with its ids and its place."""
     return packing.pack(docs, word_bpe())
 
 

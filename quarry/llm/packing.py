@@ -7,18 +7,22 @@ up the tree to a single group, where what is left is done as it is.  A group pas
 bins at most (the fuller ones are done, as they are), so that no group grows with the corpus; nothing
 is dropped.
 
+The pieces' ids are written once, to the shared folder, by the partition that made them.  Those of bins done there
+stay as they are; the tree moves lengths and places alone, and the ids of pieces that went up it are joined
+to their last places at the end.
+
 Defined results: a null text is an empty one, and an empty text is the end-of-document id alone.  Each row is
 packed, whether repeated or with a null id.  Other columns aren't read.
 """
 
 from __future__ import annotations
 
-import zlib
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import materialise
@@ -30,10 +34,17 @@ SLACK = 8
 FAN = 8
 CARRY = 4096
 
-#: used: tokens in the bin; place: where in the bin the piece begins; part, bin: which bin.
-SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, bin bigint, place bigint, used bigint, done boolean"
+#: home, row: which piece (the partition that made it, its number there); used: tokens in the bin; place: where in the
+#: bin the piece begins; part, bin: which bin.
+SCHEMA = "home bigint, row bigint, part bigint, bin bigint, place bigint, used bigint, done boolean"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 7, pa.bool_()]
+TYPES = [*[pa.int64()] * 6, pa.bool_()]
+#: What stays at home; ids: little-endian unsigned 32-bit.
+OWN = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
+OWN_NAMES = [x.split()[0] for x in OWN.split(", ")]
+OWN_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+#: Rows of a batch: 16 MB of ids at CAPACITY.
+ROWS = 1024
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int]], list[int]]:
@@ -72,7 +83,7 @@ def _done(used: list[int], last: bool, capacity: int, slack: int, carry: int) ->
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, carry: int = CARRY) -> DataFrame:
-    """Each partition's pieces in its own bins."""
+    """Each partition's pieces, with their ids, in its own bins."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids
@@ -84,14 +95,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int
                 for doc, ids in zip(b.column(0).slice(k, 256).to_pylist(), encode([t or b"" for t in texts]), strict=True):
                     ids += EOD.to_bytes(4, "little")
                     n = len(ids) // 4
-                    rows += [(doc, i, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for i, s in enumerate(range(0, n, capacity))]
+                    rows += [(doc, i, s, min(capacity, n - s), ids[4 * s : 4 * (s + capacity)]) for i, s in enumerate(range(0, n, capacity))]
         places, used = best_fit([r[3] for r in rows], capacity)
         done = _done(used, False, capacity, slack, carry)
-        for k in range(0, len(rows), 100_000):
-            some = [(*r, part, p[0], p[1], used[p[0]], done[p[0]]) for r, p in zip(rows[k : k + 100_000], places[k : k + 100_000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), TYPES, strict=True)], names=NAMES)
+        for k in range(0, len(rows), ROWS):
+            some = [(*r, part, k + j, part, p[0], p[1], used[p[0]], done[p[0]]) for j, (r, p) in enumerate(zip(rows[k : k + ROWS], places[k : k + ROWS], strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), OWN_TYPES + TYPES, strict=True)], names=OWN_NAMES + NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(work, f"{OWN}, {SCHEMA}")
 
 
 def _merge(level: int, last: bool, capacity: int, slack: int, carry: int):
@@ -114,18 +125,29 @@ def _merge(level: int, last: bool, capacity: int, slack: int, carry: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, carry: int = CARRY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    table = materialise(pieces(docs, tokenizer, capacity, slack, carry))
-    parts = (table.agg(F.max("part").alias("n")).first()["n"] or 0) + 1
-    level, out = 0, []
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
+    own = materialise(pieces(docs, tokenizer, capacity, slack, carry))
+    parts = (own.agg(F.max("part").alias("n")).first()["n"] or 0) + 1
+
+    def said(level: int) -> list[Column]:
+        return [(F.lit(level << 56) + F.col("part") * (1 << 28) + F.col("bin")).alias("sequence_id"), F.col("place").alias("offset")]
+
+    table, level, moved = own.select(NAMES), 0, []
     while True:
-        out.append(table.where("done").select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(level << 56) + F.col("part") * (1 << 28) + F.col("bin")).alias("sequence_id"), F.col("place").alias("offset")))
-        if level and parts == 1:
-            break
+        if level:
+            moved.append(table.where("done").select("home", "row", *said(level)))
+            if parts == 1:
+                break
         level, parts = level + 1, -(-parts // fan)
         groups = table.where("NOT done").withColumn("_group", F.expr(f"part DIV {fan}")).groupBy("_group")
         table = materialise(groups.applyInArrow(_merge(level, parts == 1, capacity, slack, carry), SCHEMA))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.union(x)
-    return whole
+    far = own.where("NOT done").select(*OWN_NAMES, "home", "row").join(functools.reduce(DataFrame.union, moved), ["home", "row"])
+    whole = own.where("done").select(*OWN_NAMES, *said(0)).union(far.select(*OWN_NAMES, "sequence_id", "offset"))
+    return whole.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row for each packed sequence: sequence_id, length, ids of its pieces one after the other."""
+    whole = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("of"), F.sum("length").alias("length"))
+    ids = F.aggregate("of", F.lit(b""), lambda so_far, x: F.concat(so_far, x["ids"]))
+    return whole.select("sequence_id", "length", ids.alias("ids"))

@@ -14,7 +14,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe()).drop("ids")
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

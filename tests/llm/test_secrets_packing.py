@@ -125,3 +125,27 @@ def test_quick_way_gives_the_same_ids():
     texts = [w.encode() for w in words if " " not in w and "\n" not in w]
     a, b = quick.ids(texts), slow.ids(texts)
     assert [t for t, x, y in zip(texts, a, b, strict=True) if x != y] == []
+
+
+@pytest.mark.parametrize("size", [{}, {"capacity": 64, "slack": 1, "fan": 2, "carry": 3}])
+def test_packed_ids(messy, nothing, size):
+    """The ids that pack() gives are the documents', and its sequences are their pieces end to end."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(word_bpe())
+    packed = packing.pack(messy.repartition(7), word_bpe(), **size)
+    rows = packed.collect()
+    docs, bins = {}, {}
+    for r in rows:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        docs.setdefault(r.doc_id, []).append((r.piece, bytes(r.ids)))
+        bins.setdefault(r.sequence_id, []).append((r.offset, bytes(r.ids)))
+    want = Counter((r.doc_id, np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in messy.collect())
+    once = [d for d, n in Counter(d for d, _ in want.elements()).items() if n == 1]
+    assert set(docs) == {d for d, _ in want} and len(once) > 20
+    assert all(want[(d, b"".join(x for _, x in sorted(docs[d])))] == 1 for d in once)
+    assert sum(len(x) for p in docs.values() for _, x in p) == sum(len(x) for _, x in want.elements())
+    whole = packing.sequences(packed).collect()
+    assert {r.sequence_id: bytes(r.ids) for r in whole} == {s: b"".join(x for _, x in sorted(p)) for s, p in bins.items()}
+    assert len(whole) == len(bins) and all(len(r.ids) == 4 * r.length for r in whole)
+    assert packing.sequences(packing.pack(nothing, word_bpe(), **size)).count() == 0
