@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import BYTE, batches, grams, grams16, least_in, range_hashes, spans_of, word_hashes
@@ -388,6 +388,20 @@ def marks(plan: Plan, chunk_blob: bytes, back: list[tuple[int, bytes]]) -> Itera
         yield a, u, covered, b, ids
 
 
+#: What is left of a document, and the runs of its units that are removed.
+KEPT = [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+
+
+def spans_in(covered: np.ndarray) -> list[dict[str, int]]:
+    """Start and end of each run of covered units."""
+    cuts = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).tolist()
+    return [{"start": a, "end": b} for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+
+
+def n_removed() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed")
+
+
 def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, names: list[tuple[str, pa.DataType]], chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """finish(units, covered, first text, ids of these texts) -> rows, for each run of texts; one row for each document."""
     table = materialise(chunks(docs, chunk))

@@ -13,13 +13,12 @@ each other's source.  Each row of documents gets one row; other columns aren't r
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.llm.repeats import NULL_ID, Plan, Units, find
+from quarry.llm.repeats import KEPT, NULL_ID, Plan, Units, find, n_removed, spans_in
 
 WINDOW = 50
 Q = 8
@@ -55,14 +54,16 @@ def _finish(u: Units, covered: np.ndarray, ids: np.ndarray) -> list[tuple]:
     left = u.buf[~covered].tobytes()
     sums = np.concatenate(([0], np.cumsum(~covered)))
     for i, a, b in zip(ids.tolist(), u.starts.tolist(), u.ends.tolist(), strict=True):
-        kept = left[sums[a] : sums[b]]
-        c = covered[a:b]
-        spans = int(np.count_nonzero(c[1:] & ~c[:-1])) + int(c[0]) if b > a and len(kept) < b - a else 0
-        rows.append((None if i == NULL_ID else i, b - a, b - a - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+        rows.append((None if i == NULL_ID else i, b - a, left[sums[a] : sums[b]], spans_in(covered[a:b]) if sums[b] - sums[a] < b - a else []))
     return rows
 
 
+def kept(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, kept (the bytes left; cuts may be within characters), spans (start and end of each run of bytes removed)."""
+    names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), *KEPT]
+    return find(docs, Plan(window, 16, False, False, refine), _finish, "doc_id bigint, n_bytes bigint, kept binary, spans array<struct<start: bigint, end: bigint>>", names, **sizes)
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    return find(docs, Plan(window, 16, False, False, refine), _finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", names, **sizes)
+    """One row for each document, from what is kept: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return kept(docs, window, **sizes).select("doc_id", "n_bytes", n_removed(), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -15,13 +15,12 @@ gets one row; other columns aren't read.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.llm.repeats import NULL_ID, Plan, Units, find
+from quarry.llm.repeats import KEPT, NULL_ID, Plan, Units, find, n_removed, spans_in
 
 WINDOW = 20
 
@@ -47,22 +46,27 @@ def grow(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -
 def _finish(u: Units, covered: np.ndarray, ids: np.ndarray) -> list[tuple]:
     # bytes of kept words, each with the one after it, which becomes a space
     edge = np.zeros(len(u.buf) + 2, np.int8)
-    kept = ~covered
-    edge[u.first[kept]] += 1
-    edge[u.last[kept] + 1] -= 1
+    stay = ~covered
+    edge[u.first[stay]] += 1
+    edge[u.last[stay] + 1] -= 1
     mask = np.cumsum(edge[: len(u.buf) + 1], dtype=np.int8) > 0
     text = np.append(u.buf, np.uint8(32))
     text[(text == 32) | ((text >= 9) & (text <= 13))] = 32
     left = text[mask].tobytes()
-    sums = np.concatenate(([0], np.cumsum((u.last - u.first + 1) * kept)))
-    removed = np.concatenate(([0], np.cumsum(covered)))
+    sums = np.concatenate(([0], np.cumsum((u.last - u.first + 1) * stay)))
     rows = []
     for i, a, b in zip(ids.tolist(), u.starts.tolist(), u.ends.tolist(), strict=True):
-        rows.append((None if i == NULL_ID else i, b - a, int(removed[b] - removed[a]), hashlib.sha256(left[sums[a] : max(sums[a], sums[b] - 1)]).hexdigest()))
+        rows.append((None if i == NULL_ID else i, b - a, left[sums[a] : max(sums[a], sums[b] - 1)], spans_in(covered[a:b])))
     return rows
 
 
+def kept(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
+    """One row for each document: doc_id, n_words, kept (the words left, a space between them), spans (start and end of each run of words removed, in words)."""
+    names = [("doc_id", pa.int64()), ("n_words", pa.int64()), *KEPT]
+    found = find(docs, Plan(window, 6, True, True, grow), _finish, "doc_id bigint, n_words bigint, kept binary, spans array<struct<start: bigint, end: bigint>>", names, **sizes)
+    return found.withColumn("kept", F.col("kept").cast("string"))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_sha256."""
-    names = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    return find(docs, Plan(window, 6, True, True, grow), _finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", names, **sizes)
+    """One row for each document, from what is kept: doc_id, n_words, n_removed, kept_sha256."""
+    return kept(docs, window, **sizes).select("doc_id", "n_words", n_removed(), F.sha2("kept", 256).alias("kept_sha256"))

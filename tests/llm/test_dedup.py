@@ -141,3 +141,36 @@ def test_one_of_each_class(spark, messy):
     got = kept.collect()
     assert sum(1 for r in got if not shingles(r.text)) == blank
     assert sorted(key(r) for r in got if shingles(r.text)) == sorted(classes)
+
+
+def by_row(rows, columns):
+    return Counter((r.doc_id, *[bytes(r[c]) if isinstance(r[c], bytearray) else r[c] for c in columns], tuple(map(tuple, r.spans))) for r in rows)
+
+
+def runs_of(cov):
+    at = [k for k in range(len(cov) + 1) if (k < len(cov) and cov[k]) != (k > 0 and cov[k - 1])]
+    return tuple(zip(at[::2], at[1::2]))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 3000, "hot": 3}])
+def test_what_is_kept(messy, sizes):
+    """Texts and spans by brute force, for both operators."""
+    docs = messy.collect()
+    for op, w, split, join, within in ((suffix_tree_dedup, 20, lambda t: re.findall(WORD, t), " ".join, True), (suffix_array_dedup, 50, lambda t: [bytes([b]) for b in t.encode()], b"".join, False)):
+        least = {}
+        for r in docs:
+            t = split(r.text or "")
+            for k in range(len(t) - w + 1):
+                least[tuple(t[k : k + w])] = min(least.get(tuple(t[k : k + w]), (NULL_ID + 1, 0)), (key(r), k))
+        want = Counter()
+        for r in docs:
+            t = split(r.text or "")
+            cov = [False] * len(t)
+            for k in range(len(t) - w + 1):
+                first = least[tuple(t[k : k + w])]
+                if first < (key(r), k) if within else first[0] < key(r):
+                    cov[k : k + w] = [True] * w
+            want[(r.doc_id, len(t), join([x for x, c in zip(t, cov) if not c]), runs_of(cov))] += 1
+        got = op.kept(messy, **sizes)
+        assert by_row(got.collect(), [got.columns[1], "kept"]) == want
+        assert any(spans for *_, spans in want)
