@@ -16,8 +16,9 @@ def key(digest: Column) -> Column:
 
 
 def record_id(source: Column, n: Column) -> Column:
-    """source:00000007"""
-    return F.concat(source, F.lit(":"), F.lpad(n.cast("string"), 8, "0"))
+    """source:00000007; numbers of nine digits and more keep them all."""
+    digits = n.cast("string")
+    return F.concat(source, F.lit(":"), F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits))
 
 
 def bucket(text: Column, n: int) -> Column:

@@ -134,3 +134,11 @@ def test_jsonl_round_trip(spark, tmp_path):
         records.write_jsonl(df.drop("seq"), path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         records.read_jsonl(spark, str(tmp_path / "none")).count()
+
+
+def test_record_ids_of_any_length(spark):
+    from quarry.functions.hashing import record_id
+
+    ns = [0, 7, 99_999_999, *range(100_000_000, 100_000_010), 12_345_678_901]
+    got = spark.createDataFrame([("a", n) for n in ns], "source string, n bigint").select("n", record_id(F.col("source"), F.col("n")).alias("id")).collect()
+    assert {r.n: r.id for r in got} == {n: f"a:{n:08d}" for n in ns}
