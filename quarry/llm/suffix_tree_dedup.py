@@ -1,9 +1,10 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by windows of 20 words, refined word by word as the top of a suffix tree is.
 
 Suffixes are dealt into memory-sized groups (repeats.py): those that begin with the same 20 words always
-meet, and a group that would be too large gets a longer prefix.  In each group the suffix tree is grown
-top down, one word deeper at a time, from the suffixes still in a node with others; a suffix alone is
-a leaf and isn't followed.  Internal nodes 20 words deep are the maximal repeats.
+meet, by a gram sampled in those words, or by all 20 where that gram is very frequent.  In each group windows are
+numbered top down, one word deeper at a time, while in a node with others; a window alone is a leaf
+and isn't followed.  Nodes 20 words deep are the windows that occur more than once; nothing is grown beyond,
+and a longer repeat is known only as a run of such windows.
 
 A word is removed if a window of 20 words over it also starts earlier: in a document with a smaller
 id, or before it in the same one.
