@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, licenses, near_duplicates, oracles, packing, quality_rules, secrets, suffix_array_dedup, suffix_tree_dedup, token_counts, training_order
-from quarry.llm.shared import table
+from quarry.llm.shared import shared_folder, table
 from quarry.llm.tokens import word_bpe
 
 
@@ -18,7 +20,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.materialise_order(table(spark, sf_dir, "documents"), word_bpe())
+    ordered = training_order.materialise_order(table(spark, sf_dir, "documents"), word_bpe())
+    return training_order.with_shards(ordered, f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

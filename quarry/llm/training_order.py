@@ -13,12 +13,15 @@ no sequences.
 
 from __future__ import annotations
 
+import itertools
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +68,7 @@ def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stri
     base = F.coalesce(F.sum("blocks").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = files.select("file", base.alias("base"))  # a row for each file
     total = flat.count()
-    rows = flat.join(bases, "file").select((F.col("base") + F.col("block")).alias("number"), "file", "block", "n", F.col("starts").alias("doc_ids"), "tokens")
+    rows = flat.join(F.broadcast(bases), "file").select((F.col("base") + F.col("block")).alias("number"), "file", "block", "n", F.col("starts").alias("doc_ids"), "tokens")
     names = ["slot", "file", "block", "n_tokens", "tokens_crc32", "doc_ids", "tokens"]
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +110,37 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     return ordered.select("shard", "tokens").mapInArrow(work, "shard bigint, path string, n_bytes bigint")
 
 
+def with_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """The rows of ordered as they are; the tasks that give them also write the files of write_shards to a folder (a URI or a path).
+
+    Rows of a shard follow each other, so that a task has one file open.  A file is complete or absent.
+    """
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(top)
+        now, at, part, f = None, "", "", None
+
+        def close() -> None:
+            if f:
+                f.close()
+                fs.move(part, at)
+
+        for b in it:
+            shards, tokens = b.column("shard").to_pylist(), b.column("tokens").to_pylist()
+            for shard, some in itertools.groupby(zip(shards, tokens, strict=True), key=lambda x: x[0]):
+                if shard != now:
+                    close()
+                    now, at = shard, f"{top}/shard-{shard:08d}.bin"
+                    part = f"{at}.{uuid.uuid4().hex}.part"
+                    f = fs.open_output_stream(part)
+                f.write(b"".join(t for _, t in some))
+            yield b
+        close()
+
+    return ordered.mapInArrow(work, ordered.schema)
+
+
 def read_from(folder: str, slot: int, stride: int = STRIDE, shard: int = SHARD) -> Iterator[np.ndarray]:
     """The sequences from a slot on, read one after the other."""
     k, at = divmod(slot, shard)

@@ -73,3 +73,20 @@ def test_training_order(messy, nothing, ids, tmp_path):
     by = {r.slot: r.tokens for r in rows}
     for slot in (0, 9, n - 1):
         assert [x.tobytes() for x in training_order.read_from(str(tmp_path), slot, 16, 8)] == [by[k] for k in range(slot, n)]
+
+
+def test_query_writes_the_shards(spark, messy, tmp_path, monkeypatch):
+    from quarry.llm import queries
+
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: f"file:{tmp_path}/shared")
+    messy.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.op3_training_order(spark, str(tmp_path)).collect(), key=lambda r: r.slot)
+    (folder,) = (tmp_path / "shared").iterdir()
+    assert [x.tobytes() for x in training_order.read_from(str(folder), 0)] == [bytes(r.tokens) for r in rows]
+    assert len(rows) == len({r.slot for r in rows}) > 1 and not list(folder.glob("*.part"))
+
+
+def test_shards_in_passing(messy, tmp_path):
+    rows = training_order.with_shards(training_order.materialise_order(messy, word_bpe(), stride=16, shard=8), f"{tmp_path}/x").collect()
+    by = {r.slot: bytes(r.tokens) for r in rows}
+    assert [x.tobytes() for x in training_order.read_from(f"{tmp_path}/x", 9, 16, 8)] == [by[k] for k in range(9, len(by))]
