@@ -1,12 +1,13 @@
 """The same results in DuckDB's SQL, by plain means, where SQL can say them.
 
 None for op2, op3, op4 and the pipeline (SQL has no byte-pair encoding) and op9 (hundreds of rules with
-suppression): tests hold those against brute force.
+suppression): tests hold those against brute force.  Nothing here is taken from the operators: their rules and
+thresholds are said again.
 """
 
 from __future__ import annotations
 
-from quarry.llm import quality_rules, secrets
+
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FOLDED = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -38,19 +39,39 @@ c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a), l AS (SELECT a
 SELECT doc_id, class_id, coalesce(l.n, 0)::BIGINT AS n_links FROM c LEFT JOIN l USING (doc_id)"""
 
 
+#: kind, regex, group, least code points of the group; the first three are the contract's.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*(?:-[^-]+){0,16}-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\\\r\n]*)", 0, 1),
+    ("github", "gh[oprsu]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("google", "AIza[A-Za-z0-9_-]{35,}", 0, 1),
+    ("stripe", "(?:rk|sk)_live_[A-Za-z0-9]{16,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("bearer", "(?i:bearer) {1,4}[A-Za-z0-9._~+/-]{20,}=*", 0, 1),
+    ("npm", "npm_[A-Za-z0-9]{36,}", 0, 1),
+    ("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", 0, 1),
+    ("login_url", r"://[A-Za-z0-9._%+-]*:[^\x00-\x20/@]+@", 0, 1),
+    ("gitlab", "glpat-[A-Za-z0-9_-]{20,}", 0, 1),
+    ("shop", "shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32,}", 0, 1),
+)
+
+
 def _op7() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     found = []
-    for k, r in enumerate(secrets.RULES):
-        p = q(secrets.FASTER.get(r.kind, r.regex))
-        parts = f"SELECT doc_id, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {r.group}) AS v FROM d WHERE regexp_matches(t, {p})"
+    for k, (_, regex, group, least) in enumerate(_SECRETS):
+        p = q(regex)
+        parts = f"SELECT doc_id, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v FROM d WHERE regexp_matches(t, {p})"
         at = f"SELECT doc_id, {k} AS k, m[i] AS m, length(v[i]) AS n, coalesce(list_sum(list_transform(g[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({parts}))"
-        found.append(f"SELECT doc_id, k, s, s + length(m) AS e FROM ({at}) WHERE n >= {r.least}")
-    kinds = "[" + ", ".join(q(r.kind) for r in secrets.RULES) + "]"
+        found.append(f"SELECT doc_id, k, s, s + length(m) AS e FROM ({at}) WHERE n >= {least}")
+    kinds = "[" + ", ".join(q(x[0]) for x in _SECRETS) + "]"
     said = f"{kinds}[k + 1] || ':' || s::BIGINT || ':' || e::BIGINT"
-    counts = ", ".join(f"coalesce(count(*) FILTER (k = {k}), 0)::BIGINT AS n_{r.kind}" for k, r in enumerate(secrets.BASE))
+    counts = ", ".join(f"coalesce(count(*) FILTER (k = {k}), 0)::BIGINT AS n_{_SECRETS[k][0]}" for k in range(3))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(found)})
-SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({said}, ',' ORDER BY s, k) FILTER (k < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg({said}, ',' ORDER BY s, k), '') AS spans
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({said}, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg({said}, ',' ORDER BY s, k), '') AS spans
 FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
@@ -66,12 +87,13 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ite
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-_FAILED = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END)" for r in quality_rules.RULES)
 OP10 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM x) WHERE n > 1),
 c AS (SELECT doc_id, sum(n) AS n_repeat_words FROM (SELECT doc_id, least(5, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -5)) AS n FROM r) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
-f AS (SELECT *, ({_FAILED})::BIGINT AS failed FROM m)
-SELECT *, failed & {quality_rules.mask_of("base/1")} <> 0 AS base_failed, failed & {quality_rules.mask_of("standard/1") | quality_rules.mask_of("base/1")} = 0 AS kept FROM f"""
+b AS (SELECT *, n_words < 10 AS few, 100 * n_repeat_words > 20 * n_words AS again, n_symbols > 0.3 * word_chars AS symbols, word_chars > 40 * n_words AS long, word_chars < 1.5 * n_words AS short FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (1 * few::INT + 2 * again::INT + 4 * symbols::INT + 8 * long::INT + 16 * short::INT + 32 * (n_symbols > 0.1 * word_chars)::INT + 64 * (word_chars > 15 * n_words)::INT + 128 * (n_dup_lines > 0)::INT)::BIGINT AS failed,
+  few OR again AS base_failed, NOT (few OR again OR symbols OR long OR short) AS kept FROM b"""

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-
 #: Lower-cases A-Z; whatever parts words becomes a space.  Bytes of non-ASCII characters are word bytes.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -38,9 +34,3 @@ def chars_at(text: bytes, places: list[int]) -> list[int]:
         done = p
         out.append(chars)
     return out
-
-
-def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes | None], pa.RecordBatch]]:
-    """(first column as a list, second column, a text, as bytes, the batch) of each batch."""
-    for b in batches:
-        yield b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b
