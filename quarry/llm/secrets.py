@@ -7,7 +7,9 @@ the query says, and the regex runs over the candidates only.  A rule without man
 of hexadecimal digits) scans every text.
 
 The trigrams of the index are those that the rules ask for, taken from lower-cased text, so that a
-query may admit too much, never too little; the regex decides.
+query may admit too much, never too little; the regex decides.  For each mandatory string they are a
+cover, not all that it has: each costs a search of every text.  Texts are searched where they are; what
+moves are posting lists and, to the texts, the candidates' ids (broadcast up to BROADCAST of them).
 
 Defined results: null texts have no spans.  Texts of any length are scanned whole; spans of a text are
 summed in chunks of CHUNK, so that their time doesn't grow with the square of their number.  Documents with equal ids (null counts as one id) are each
@@ -22,11 +24,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import NULL_ID
+from quarry.llm.shared import NULL_ID, materialise
 from quarry.llm.trigrams import query, trigrams
 
 BLOCK = 4096
 CHUNK = 256
+#: Candidates (16 bytes each) up to this number are broadcast; more are joined by a shuffle.
+BROADCAST = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -132,7 +136,9 @@ def _spans(k: int, rule: Rule, text: str) -> list[tuple[str, Column]]:
 
 def _found(rows: DataFrame, text: str) -> DataFrame:
     """rows (with _k) and _spans: array of (s, k, e, v) by start, then kind."""
-    wanted = candidates(index(rows, "_k", text)).hint("shuffle_hash")
+    wanted = materialise(candidates(index(rows, "_k", text)))
+    if wanted.count() <= BROADCAST:  # else a join that can spill, and that Spark may split
+        wanted = F.broadcast(wanted)
     df = rows.join(wanted, "_k", "left").withColumn("_rules", F.coalesce("_rules", F.lit(0).cast("bigint")))
     steps = [_spans(k, r, text) for k, r in enumerate(RULES)]
     for at in zip(*steps, strict=True):

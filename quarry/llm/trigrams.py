@@ -15,7 +15,9 @@ Query = list[frozenset[str]]
 
 def _flush(out: Query, strings: set[str]) -> None:
     if strings and all(len(s) >= 3 for s in strings):
-        out.append(frozenset(s.lower() for s in strings))
+        low = {s.lower() for s in strings}
+        # where a string is there, so is one that it holds: the longer asks nothing more
+        out.append(frozenset(s for s in low if not any(t in s for t in low - {s})))
 
 
 def _literals(item) -> set[str] | None:
@@ -82,6 +84,5 @@ def _inner(items) -> Query:
 
 
 def trigrams(s: str) -> list[str]:
-    return list(dict.fromkeys(s[i : i + 3] for i, _ in enumerate(s[2:])))
-
-
+    """Trigrams that together cover the string: end to end, the last one as far back as it must be."""
+    return list(dict.fromkeys(s[i : i + 3] for i in [*range(0, len(s) - 2, 3), len(s) - 3]))

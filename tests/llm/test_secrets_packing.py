@@ -82,6 +82,18 @@ def test_nothing_of_a_key_stays(spark):
     assert got[n] == "a [SECRET]" and got[n + 1] == "It starts with [SECRET] and then comes the key."
 
 
+def test_both_ways_to_join_candidates(spark, leaky, monkeypatch):
+    want = Counter(tuple(r) for r in secrets.scan(leaky).collect())
+    monkeypatch.setattr(secrets, "BROADCAST", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = secrets.scan(leaky)
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert Counter(tuple(r) for r in got.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_queries_are_mandatory():
     samples = {"assign": "Password: x", "access": "AKIA0", "private_key": "-----BEGIN PRIVATE KEY-----", "stripe": "rk_live_" + "a" * 16, "login_url": "://a:b@", "bearer": "BEARER  " + "a" * 20}
     for r in secrets.RULES:
