@@ -1,11 +1,13 @@
 """License scan by ordered signature rules.
 
-Hundreds of regexes, made from a list of licenses and a list of ways to name one, are each gated by a
-keyword.  Every detection has the priority of its rule; one that lies within a detection of the same
-or higher priority is suppressed.  Besides, four fixed phrases are counted wherever their words stand
-one after the other; no rule suppresses those.
-
-Defined results: null or empty texts have no words, no labels and score 0.  One row for each row of
+Over two hundred regexes, written one by one (license_rules.py): sentences of license bodies and headers,
+identifiers and full names, notices, mentions.  Each is gated by a keyword; one automaton finds the
+keywords that a text has.  Every detection has the priority of its rule; one that lies within a
+detection of the same or higher priority is suppressed.  Besides, four fixed phrases are counted
+wherever their words stand one after the other; no rule suppresses those.
+
+Defined results: null or empty texts have no words, no labels and score 0.  Any white space counts as one
+space, so that a wrapped notice is found as a single line is.  Texts of any length are scanned whole.  One row for each row of
 documents, also for repeated or null ids; other columns aren't read.
 """
 
@@ -17,71 +19,40 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm.license_rules import KINDS
 from quarry.llm.words import folded_words, spaced
 
 #: Fixed values of the contract: phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Label, keyword (in lower case) that a text must have for the rules to run, name as a regex over lower-cased text.
-LICENSES = (
-    ("agpl-3.0", "agpl", r"agpl(?:[ -]?v?3(?:\.0)?)?"), ("agpl-3.0", "affero", r"(?:gnu )?affero general public"),
-    ("lgpl", "lgpl", r"lgpl(?:[ -]?v?[23](?:\.[01])?)?"), ("lgpl", "lesser general", r"(?:gnu )?lesser general public"),
-    ("lgpl", "library general", r"(?:gnu )?library general public"), ("gpl-3.0", "gpl", r"gpl[ -]?v?3(?:\.0)?"),
-    ("gpl-2.0", "gpl", r"gpl[ -]?v?2(?:\.0)?"), ("gpl", "gnu", r"gnu g(?:eneral )?p(?:ublic )?l?"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation"), ("apache-2.0", "apache", r"apache(?:[ -]2(?:\.0)?)?"),
-    ("mit", "mit", r"(?:the )?mit"), ("x11", "x11", r"x11"), ("bsd-2-clause", "bsd", r"(?:bsd[ -]2|2|two)[ -]clause(?: bsd)?"),
-    ("bsd-3-clause", "bsd", r"(?:bsd[ -]3|3|three)[ -]clause(?: bsd)?"), ("bsd", "bsd", r"(?:new |modified |simplified )?bsd"),
-    ("isc", "isc", r"isc"), ("mpl-1.1", "mpl", r"mpl[ -]?v?1\.1"), ("mpl-2.0", "mpl", r"mpl[ -]?v?2(?:\.0)?"),
-    ("mpl", "mozilla", r"mozilla public"), ("epl-1.0", "epl", r"epl[ -]?v?1(?:\.0)?"), ("epl-2.0", "epl", r"epl[ -]?v?2(?:\.0)?"),
-    ("epl", "eclipse", r"eclipse public"), ("cddl", "cddl", r"cddl(?:[ -]1\.[01])?"), ("cddl", "common development", r"common development and distribution"),
-    ("eupl", "eupl", r"eupl(?:[ -]1\.[12])?"), ("eupl", "european union", r"european union public"), ("artistic", "artistic", r"artistic(?:[ -][12](?:\.0)?)?"),
-    ("zlib", "zlib", r"zlib(?:/libpng)?"), ("boost", "boost", r"boost software"), ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"), ("ofl-1.1", "open font", r"(?:sil )?open font"), ("odbl", "open database", r"open database"),
-    ("odbl", "odbl", r"odbl(?:[ -]1\.0)?"), ("pddl", "pddl", r"pddl"), ("python-2.0", "python", r"python(?: software foundation)?"),
-    ("postgresql", "postgresql", r"postgresql"), ("openssl", "openssl", r"openssl"), ("php", "php", r"php(?:[ -]3\.01)?"), ("ruby", "ruby", r"ruby"),
-    ("cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?"), ("cc-by-nc-nd", "nc", r"cc[ -]by[ -]nc[ -]nd(?:[ -][1-4]\.[05])?"), ("cc-by-nc-sa", "nc", r"cc[ -]by[ -]nc[ -]sa(?:[ -][1-4]\.[05])?"),
-    ("cc-by-nc", "nc", r"cc[ -]by[ -]nc(?:[ -][1-4]\.[05])?"), ("cc-by-nd", "nd", r"cc[ -]by[ -]nd(?:[ -][1-4]\.[05])?"), ("cc-by-sa", "sa", r"cc[ -]by[ -]sa(?:[ -][1-4]\.[05])?"),
-    ("cc-by", "cc", r"cc[ -]by(?:[ -][1-4]\.[05])?"), ("cc-by-nc", "attribution", r"creative commons attribution[ -]non-?commercial"),
-    ("cc-by-sa", "attribution", r"creative commons attribution[ -]share-?alike"), ("cc-by", "attribution", r"creative commons attribution"),
-)
-
-#: Priority (1 is highest), confidence, the way to name a license; the name stands at {}.
-WAYS = (
-    (1, 1.0, r"spdx-license-identifier:[ \t]*(?:{})(?![a-z0-9])"),
-    (2, 0.95, r"\b(?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:{})(?![a-z0-9])"),
-    (2, 0.95, r"\b(?:{}) licen[cs]e,? v(?:ersion)?\.? ?[0-9](?:\.[0-9])*"),
-    (3, 0.9, r"\b(?:{}) (?:public )?licen[cs]es?\b"),
-    (3, 0.85, r"\blicen[cs]e(?:s|d)?[ \t]*[:=][ \t]*[\"']?(?:the )?(?:{})(?![a-z0-9])"),
-    (4, 0.7, r"\b(?:under|per) (?:the )?(?:{})(?![a-z0-9])"),
-)
-
 
 @functools.cache
-def rules() -> tuple[tuple[int, float, str, bytes, re.Pattern[bytes]], ...]:
+def rules() -> tuple[tuple[int, float, str, str, re.Pattern[bytes]], ...]:
     """Priority, confidence, label, keyword, regex; in the order of priority, then of the list."""
-    made = [(p, c, label, key.encode(), re.compile(way.replace("{}", name).encode())) for p, c, way in WAYS for label, key, name in LICENSES]
-    return tuple(sorted(made, key=lambda r: r[0]))
+    return tuple((p, c, label, key, re.compile(regex.encode())) for p, c, some in KINDS for label, key, regex in some)
 
 
-#: Any way to name a license has one of these, once white space is single.
-GATES = (b"licen", b"under ", b"per ")
+@functools.cache
+def _gate() -> ahocorasick.Automaton:
+    """Finds, in one pass over a text, which keywords it has."""
+    a = ahocorasick.Automaton()
+    for _, _, _, key, _ in rules():
+        a.add_word(key, key)
+    a.make_automaton()
+    return a
 
 
 def detections(text: bytes) -> list[tuple[int, int, int, float, str]]:
     """Start, end (in the lower-cased text with white space made single), priority, confidence, label of what stays after suppression."""
     low = b" ".join(text.lower().split())
-    if not any(g in low for g in GATES):
+    has = {key for _, key in _gate().iter(low.decode("latin-1"))}
+    if not has:
         return []
-    has: dict[bytes, bool] = {}
-    found = []
-    for p, c, label, key, regex in rules():
-        if key not in has:
-            has[key] = key in low
-        if has[key]:
-            found += [(m.start(), m.end(), p, c, label) for m in regex.finditer(low)]
+    found = [(m.start(), m.end(), p, c, label) for p, c, label, key, regex in rules() if key in has for m in regex.finditer(low)]
     found.sort(key=lambda d: (d[2], d[0] - d[1], d[0]))
     kept: list[tuple[int, int, int, float, str]] = []  # by start
     longest = 0
