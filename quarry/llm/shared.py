@@ -60,6 +60,12 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def small_side(table: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """A materialised table, to be the hashed side of a join if a partition's share of it surely fits in memory; else Spark sorts, and can spill."""
+    share = table.count() * row_bytes / int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.hint("shuffle_hash") if share <= most else table
+
+
 def groups_for(n_bytes: int, each: int, least: int = 8) -> int:
     """How many groups of about `each` bytes hold n_bytes."""
     return max(least, -(-n_bytes // each))

@@ -132,6 +132,37 @@ def test_near_duplicates(spark, messy, nothing, small, monkeypatch):
     assert near_duplicates.classes(nothing).count() == 0
 
 
+def test_runs_for_a_recall():
+    assert near_duplicates.runs_for(0.9) < near_duplicates.runs_for(0.99) < near_duplicates.runs_for(0.9999) <= 12
+    for recall in (0.9, 0.99, near_duplicates.RECALL):
+        for depth in (1, 2, near_duplicates.DEPTH):
+            assert 1 - (1 - near_duplicates.together(0.8, depth)) ** near_duplicates.runs_for(recall) >= recall
+
+
+def test_measured_recall(spark, monkeypatch):
+    """Pairs of similarity just above 0.8, all buckets split to the greatest depth: with one run, links are missed as the formula says; with those of the target, none."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(300):
+        a = [f"v{x}" for x in rng.integers(0, 10**9, 200)]
+        b = [*a[:100], f"y{k}", *a[101:160], f"z{k}", *a[161:190], f"x{k}", *a[191:]]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = sum(n for *_, n in near(docs.collect()).elements())
+    assert pairs == 600
+    monkeypatch.setattr(near_duplicates, "BUCKET", 1)
+    found = lambda recall: sum(r.n_links for r in near_duplicates.classes(docs, recall).collect()) / pairs
+    one = found(0.5)
+    s = near_duplicates.together(0.8)
+    assert near_duplicates.runs_for(0.5) == 1 and s - 0.1 <= one < 1
+    assert found(near_duplicates.RECALL) == 1
+
+
+def test_odd_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, None, 9)], "doc_id bigint, text string, `a-b c.d` int")
+    assert sorted(r[2] for r in near_duplicates.distinct_documents(docs).collect()) == [7, 9]
+
+
 def test_one_of_each_class(spark, messy):
     kept = near_duplicates.distinct_documents(messy)
     assert kept.columns == messy.columns
