@@ -20,8 +20,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = training_order.materialise_order(table(spark, sf_dir, "documents"), word_bpe())
-    return training_order.with_shards(ordered, f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}")
+    return training_order.materialise_order(table(spark, sf_dir, "documents"), word_bpe(), folder=f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ task's work, says for each block how many documents ended before it and how many
 it takes over.
 
 Defined results: an empty document counts 0 tokens.  Tokens after the last separator of a file are a document that
-isn't complete.  Null ids of documents stay null.
+isn't complete.  Null ids of documents stay null; repeated rows are counted one by one.  A document of any length
+may go on through any number of blocks.
 """
 
 from __future__ import annotations
@@ -67,7 +68,10 @@ def count(blocks: DataFrame, block: int, separator: int = flat_tokens.SEPARATOR,
 
 
 def count_documents(docs: DataFrame, tokenizer: str, block: int = BLOCK, span: int = SPAN) -> DataFrame:
-    """doc_id, file, nth, n_tokens of each document, counted in the flat files written from them."""
+    """doc_id, nth (its place among all documents, in the stable order of flat_tokens.py), n_tokens of each document, counted in the flat files written from them."""
+    separator = flat_tokens.separator_of(tokenizer)
     flat = materialise(flat_tokens.write(docs, tokenizer, block))
+    bases = materialise(flat_tokens.bases(flat))  # a row for each split of the input
     names = flat.select("file", "block", F.posexplode("ends").alias("i", "doc_id"))
-    return count(flat, block, span=span).join(names, ["file", "block", "i"], "left").select("doc_id", "file", "nth", "n_tokens")
+    counted = count(flat, block, separator, span).join(F.broadcast(bases), "file").select("file", "block", "i", (F.col("docs0") + F.col("nth")).alias("nth"), "n_tokens")
+    return counted.join(names, ["file", "block", "i"], "left").select("doc_id", "nth", "n_tokens")

@@ -1,20 +1,20 @@
 """Token-id output in training order: every sequence has a slot by a keyed Feistel permutation.
 
-Documents become flat token files cut into sequences of STRIDE tokens.  Sequences are numbered from 0 to
-N - 1 (by file and place in it).  A balanced Feistel network permutes the numbers under the least even power of 2
+Documents become flat token files (flat_tokens.py), whose stream is cut into sequences of STRIDE tokens,
+numbered from 0 to N - 1 in the stream's order: the same numbers however the input is partitioned.  A balanced Feistel network permutes the numbers under the least even power of 2
 that holds N; a number that comes out at N or more is permuted again until it doesn't (cycle-walking), so
 that the slots are a permutation of 0 to N - 1 that anyone with the key can compute and invert, without
 a table.  Slots are range-partitioned into shards of SHARD sequences of the same number of bytes: slot s is at byte
 (s mod SHARD) * 2 * STRIDE of shard s div SHARD, so reading on from any slot is a seek.
 
-Defined results: null texts are empty; the last sequence of a file is filled up with separators.  No documents give
-no sequences.
+Defined results: null texts are empty; the last sequence is filled up with separators.  Repeated rows and
+null ids are documents like others; a text of any length goes on through as many sequences as it takes.  No
+documents give no sequences.
 """
 
 from __future__ import annotations
 
 import itertools
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import flat_tokens
@@ -32,6 +32,8 @@ from quarry.llm.shared import materialise
 STRIDE = 2048
 SHARD = 1024
 ROUNDS = 6
+#: Tokens of a block of a flat file.
+BLOCK = 1 << 16
 #: Range partitions; beyond so many shards, several go to one.
 MOST_PARTITIONS = 100_000
 
@@ -58,94 +60,106 @@ def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
     return out
 
 
-def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stride: int = STRIDE, shard: int = SHARD) -> DataFrame:
-    """slot, shard, byte_offset, file, block, n_tokens (without filling), tokens_crc32, doc_ids (of documents that start in it), tokens.
+def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stride: int = STRIDE, shard: int = SHARD, block: int = BLOCK, folder: str | None = None) -> DataFrame:
+    """slot, shard, byte_offset, number (of the sequence), n_tokens (without filling), tokens_crc32, doc_ids (of documents that start in it), tokens.
 
-    Partitions are runs of shards, in the order of slots.
+    Partitions are runs of shards, in the order of slots.  With a folder (a URI or a path), the tasks that give the rows also
+    write its files shard-NNNNNNNN.bin.  A file is complete or absent: it is written under another name first, and
+    a task that runs again writes the same bytes.
     """
-    flat = materialise(flat_tokens.write(docs, tokenizer, stride))
-    files = flat.groupBy("file").agg((F.max("block") + 1).alias("blocks"))
-    base = F.coalesce(F.sum("blocks").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = files.select("file", base.alias("base"))  # a row for each file
-    total = flat.count()
-    rows = flat.join(F.broadcast(bases), "file").select((F.col("base") + F.col("block")).alias("number"), "file", "block", "n", F.col("starts").alias("doc_ids"), "tokens")
-    names = ["slot", "file", "block", "n_tokens", "tokens_crc32", "doc_ids", "tokens"]
+    flat = materialise(flat_tokens.write(docs, tokenizer, block))
+    separator = flat_tokens.separator_of(tokenizer)
+    bases = materialise(flat_tokens.bases(flat))  # a row for each split of the input
+    n_tokens = flat.agg(F.sum("n").alias("n")).first()["n"] or 0
+    total = -(-n_tokens // stride)
+    n_shards = max(1, -(-total // shard))
+    rows = flat.join(F.broadcast(bases), "file").select((F.col("tokens0") + F.col("block") * block).alias("from"), "tokens", "starts", "at")
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fill = flat_tokens.SEPARATOR.to_bytes(2, "little")
+        """Each block cut where sequences end."""
         for b in it:
-            slot = permute(b.column(0).to_numpy(), total, key).astype(np.int64)
-            tokens = [t + fill * (stride - len(t) // 2) for t in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(slot), b.column(1), b.column(2), b.column(3), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), b.column(4), pa.array(tokens, pa.binary())], names=names)
-
-    placed = rows.mapInArrow(place, "slot bigint, file bigint, block bigint, n_tokens bigint, tokens_crc32 bigint, doc_ids array<bigint>, tokens binary")
-    placed = placed.withColumn("shard", F.expr(f"slot DIV {shard}")).withColumn("byte_offset", F.expr(f"(slot % {shard}) * {2 * stride}"))
+            for start, tokens, docs, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n = len(tokens) // 2
+                number = np.arange(start // stride, (start + n - 1) // stride + 1)
+                edges = np.concatenate(([start], number[1:] * stride, [start + n])) - start
+                slot = permute(number.astype(np.uint64), total, key).astype(np.int64)
+                whose = np.searchsorted(at, edges)
+                parts = [tokens[2 * x : 2 * y] for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+                ids = [docs[x:y] for x, y in zip(whose.tolist(), whose.tolist()[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(number), pa.array((start + edges[:-1]) % stride), pa.array(ids, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["slot", "number", "place", "doc_ids", "tokens"])
+
+    pieces = rows.mapInArrow(place, "slot bigint, number bigint, place bigint, doc_ids array<bigint>, tokens binary")
     # slots are 0 to total - 1, so the bounds of the ranges are known and nothing needs to be sampled; a partition is a whole shard or more
-    n_shards = max(1, -(-total // shard))
     n = min(n_shards, MOST_PARTITIONS)
-    dealt = placed.repartitionById(n, F.expr(f"CAST(shard * {n} DIV {n_shards} AS INT)"))
-    return dealt.sortWithinPartitions("slot").select("slot", "shard", "byte_offset", *names[1:])
-
-
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write shard-NNNNNNNN.bin files to a folder that all executors share; shard, path, n_bytes of each.
-
-    A file is complete or absent: it is written under another name first, and a task that runs again writes the
-    same bytes.
-    """
-
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, tuple] = {}
+    dealt = pieces.repartitionById(n, F.expr(f"CAST((slot DIV {shard}) * {n} DIV {n_shards} AS INT)")).sortWithinPartitions("slot", "place")
+    fill = separator.to_bytes(2, "little")
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of a sequence, which follow each other, as one row; the rows of a shard to its file."""
+        write = _Shards(folder) if folder else None
+
+        def rows_of(some: list[tuple]) -> pa.RecordBatch:
+            slot, number, doc_ids, tokens = zip(*some, strict=True)
+            n = [len(t) // 2 for t in tokens]
+            full = [t + fill * (stride - k) for t, k in zip(tokens, n, strict=True)]
+            if write:
+                for k, of in itertools.groupby(zip(slot, full, strict=True), key=lambda x: x[0] // shard):
+                    write(k, b"".join(t for _, t in of))
+            slot = np.array(slot)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(slot // shard), pa.array(slot % shard * 2 * stride), pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array([zlib.crc32(t) for t in full], pa.int64()), pa.array(doc_ids, pa.list_(pa.int64())), pa.array(full, pa.binary())], names=_NAMES
+            )
+
+        open_: list[tuple] = []
         for b in it:
-            for shard, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if shard not in open_:
-                    at = f"{folder}/shard-{shard:08d}.bin"
-                    open_[shard] = (at, part := f"{at}.{os.getpid()}.part", open(part, "wb"))
-                open_[shard][2].write(tokens)
-        for shard, (at, part, f) in open_.items():
-            f.close()
-            os.replace(part, at)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([at]), pa.array([os.path.getsize(at)])], names=["shard", "path", "n_bytes"])
+            for slot, number, _, ids, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if open_ and open_[-1][0] == slot:
+                    open_[-1] = (slot, number, open_[-1][2] + ids, open_[-1][3] + tokens)
+                else:
+                    open_.append((slot, number, ids, tokens))
+            if len(open_) > 1:
+                yield rows_of(open_[:-1])
+                open_ = open_[-1:]
+        if open_:
+            yield rows_of(open_)
+        if write:
+            write.close()
 
-    return ordered.select("shard", "tokens").mapInArrow(work, "shard bigint, path string, n_bytes bigint")
+    return dealt.mapInArrow(whole, "slot bigint, shard bigint, byte_offset bigint, number bigint, n_tokens bigint, tokens_crc32 bigint, doc_ids array<bigint>, tokens binary")
 
 
-def with_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """The rows of ordered as they are; the tasks that give them also write the files of write_shards to a folder (a URI or a path).
+_NAMES = ["slot", "shard", "byte_offset", "number", "n_tokens", "tokens_crc32", "doc_ids", "tokens"]
 
-    Rows of a shard follow each other, so that a task has one file open.  A file is complete or absent.
-    """
 
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(top)
-        now, at, part, f = None, "", "", None
+class _Shards:
+    """Writes shard files to a folder, one open at a time."""
 
-        def close() -> None:
-            if f:
-                f.close()
-                fs.move(part, at)
+    def __init__(self, folder: str):
+        self.fs, self.top = pyarrow.fs.FileSystem.from_uri(folder)
+        self.fs.create_dir(self.top)
+        self.now, self.at, self.part, self.file = None, "", "", None
 
-        for b in it:
-            shards, tokens = b.column("shard").to_pylist(), b.column("tokens").to_pylist()
-            for shard, some in itertools.groupby(zip(shards, tokens, strict=True), key=lambda x: x[0]):
-                if shard != now:
-                    close()
-                    now, at = shard, f"{top}/shard-{shard:08d}.bin"
-                    part = f"{at}.{uuid.uuid4().hex}.part"
-                    f = fs.open_output_stream(part)
-                f.write(b"".join(t for _, t in some))
-            yield b
-        close()
+    def __call__(self, shard: int, content: bytes) -> None:
+        if shard != self.now:
+            self.close()
+            self.now, self.at = shard, f"{self.top}/shard-{shard:08d}.bin"
+            self.part = f"{self.at}.{uuid.uuid4().hex}.part"
+            self.file = self.fs.open_output_stream(self.part)
+        self.file.write(content)
 
-    return ordered.mapInArrow(work, ordered.schema)
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+            self.fs.move(self.part, self.at)
+            self.file = None
 
 
 def read_from(folder: str, slot: int, stride: int = STRIDE, shard: int = SHARD) -> Iterator[np.ndarray]:
     """The sequences from a slot on, read one after the other."""
+    fs, top = pyarrow.fs.FileSystem.from_uri(folder)
     k, at = divmod(slot, shard)
-    while os.path.exists(path := f"{folder}/shard-{k:08d}.bin"):
-        with open(path, "rb") as f:
+    while fs.get_file_info(path := f"{top}/shard-{k:08d}.bin").type == pyarrow.fs.FileType.File:
+        with fs.open_input_file(path) as f:
             f.seek(at * 2 * stride)
             while raw := f.read(2 * stride):
                 yield np.frombuffer(raw, "<u2")

@@ -23,7 +23,7 @@ def test_counts(messy, nothing, ids, block, span):
     docs = messy if block > 1 else messy.where("length(text) < 200")
     got = token_counts.count_documents(docs, word_bpe(), block, span).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((r.doc_id, len(ids(r.text))) for r in docs.collect())
-    assert len({(r.file, r.nth) for r in got}) == len(got)
+    assert sorted(r.nth for r in got) == list(range(len(got)))
     assert token_counts.count_documents(nothing, word_bpe(), block, span).count() == 0
 
 
@@ -47,32 +47,72 @@ def test_permutation(n):
     assert n < 5 or (y != x).any() and (training_order.permute(x, n, 43) != y).any()
 
 
-def test_training_order(messy, nothing, ids, tmp_path):
-    got = training_order.materialise_order(messy, word_bpe(), stride=16, shard=8)
-    rows = got.collect()
+def stream(rows):
+    """The tokens of the sequences in the order of their numbers, without filling."""
+    return [t for r in sorted(rows, key=lambda r: r.number) for t in np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist()]
+
+
+def in_stable_order(docs, ids):
+    """What the stream must be for documents that aren't read from files: by id; ties are copies or told apart by the test."""
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    return [[*ids(r.text), flat_tokens.SEPARATOR] for r in rows]
+
+
+@pytest.mark.parametrize("size", [{"stride": 16, "shard": 8, "block": 50}, {"stride": 64, "shard": 3, "block": 16}, {"stride": 16, "shard": 8}])
+def test_training_order(spark, messy, nothing, ids, tmp_path, size):
+    stride, shard = size["stride"], size["shard"]
+    rows = training_order.materialise_order(messy, word_bpe(), **size, folder=str(tmp_path / "s")).collect()
     n = len(rows)
-    assert sorted(r.slot for r in rows) == list(range(n))
-    assert all(len(r.tokens) == 32 and r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 32 for r in rows)
-    # unpermuted, the sequences are the flat files
-    files = {}
-    for r in sorted(rows, key=lambda r: (r.file, r.block)):
-        files.setdefault(r.file, []).extend(np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist())
-    docs, now = Counter(), []
-    for f in files.values():
-        for t in f:
-            if t == flat_tokens.SEPARATOR:
-                docs[tuple(now)] += 1
-                now = []
-            else:
-                now.append(t)
-    assert not now and docs == Counter(tuple(ids(r.text)) for r in messy.collect())
+    assert sorted(r.slot for r in rows) == sorted(r.number for r in rows) == list(range(n))
+    assert all(len(r.tokens) == 2 * stride and r.shard == r.slot // shard and r.byte_offset == r.slot % shard * 2 * stride for r in rows)
+    assert [r.n_tokens for r in sorted(rows, key=lambda r: r.number)][:-1] == [stride] * (n - 1)
+    docs = in_stable_order(messy, ids)
+    flat, own = [t for d in docs for t in d], stream(rows)
+    assert own[: sum(map(len, docs[:-2]))] == flat[: sum(map(len, docs[:-2]))] and sorted(own) == sorted(flat)
     assert Counter(i for r in rows for i in r.doc_ids) == Counter(r.doc_id for r in messy.collect())
-    assert training_order.materialise_order(nothing, word_bpe()).count() == 0
-    shards = training_order.write_shards(got, str(tmp_path)).collect()
-    assert sum(r.n_bytes for r in shards) == 32 * n
-    by = {r.slot: r.tokens for r in rows}
+    assert training_order.materialise_order(nothing, word_bpe(), **size).count() == 0
+    by = {r.slot: bytes(r.tokens) for r in rows}
     for slot in (0, 9, n - 1):
-        assert [x.tobytes() for x in training_order.read_from(str(tmp_path), slot, 16, 8)] == [by[k] for k in range(slot, n)]
+        assert [x.tobytes() for x in training_order.read_from(str(tmp_path / "s"), slot, stride, shard)] == [by[k] for k in range(slot, n)]
+
+
+def test_order_is_stable(spark, messy, tmp_path):
+    """The same slots for any partitioning, of files and of frames."""
+    messy.repartition(5).write.parquet(f"{tmp_path}/d")
+    seen = []
+    try:
+        for n_bytes in ("3k", "100m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", n_bytes)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            docs = spark.read.parquet(f"{tmp_path}/d")
+            rows = training_order.materialise_order(docs, word_bpe(), stride=16, shard=8).collect()
+            counts = token_counts.count_documents(docs, word_bpe(), 64, 2).collect()
+            seen.append((docs.rdd.getNumPartitions(), sorted((r.slot, r.number, bytes(r.tokens)) for r in rows), sorted((r.nth, r.n_tokens) for r in counts)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0][0] != seen[1][0] and seen[0][1:] == seen[1][1:]
+    frames = [training_order.materialise_order(messy.repartition(k), word_bpe(), stride=16, shard=8).collect() for k in (3, 8)]
+    assert sorted((r.slot, bytes(r.tokens)) for r in frames[0]) == sorted((r.slot, bytes(r.tokens)) for r in frames[1])
+
+
+def test_long_text(spark, ids, tmp_path):
+    """A document of 300,000 words among short ones."""
+    long = " ".join(f"w{k % 977}" for k in range(300_000))
+    docs = spark.createDataFrame([(1, "a b"), (2, long), (3, None)], "doc_id bigint, text string")
+    rows = training_order.materialise_order(docs, word_bpe()).collect()
+    assert stream(rows) == [t for x in ("a b", long, "") for t in [*ids(x), flat_tokens.SEPARATOR]]
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_documents(docs, word_bpe()).collect()} == {1: len(ids("a b")), 2: len(ids(long)), 3: 0}
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.WordLevel({f"w{k}": k for k in range(70_000)} | {"<|endoftext|>": 70_000}, unk_token="w0")).save(f"{tmp_path}/large.json")
+    Tokenizer(models.WordLevel({"w0": 0}, unk_token="w0")).save(f"{tmp_path}/bare.json")
+    for name in ("large", "bare"):
+        with pytest.raises(ValueError):
+            flat_tokens.separator_of(f"{tmp_path}/{name}.json")
 
 
 def test_query_writes_the_shards(spark, messy, tmp_path, monkeypatch):
@@ -84,9 +124,3 @@ def test_query_writes_the_shards(spark, messy, tmp_path, monkeypatch):
     (folder,) = (tmp_path / "shared").iterdir()
     assert [x.tobytes() for x in training_order.read_from(str(folder), 0)] == [bytes(r.tokens) for r in rows]
     assert len(rows) == len({r.slot for r in rows}) > 1 and not list(folder.glob("*.part"))
-
-
-def test_shards_in_passing(messy, tmp_path):
-    rows = training_order.with_shards(training_order.materialise_order(messy, word_bpe(), stride=16, shard=8), f"{tmp_path}/x").collect()
-    by = {r.slot: bytes(r.tokens) for r in rows}
-    assert [x.tobytes() for x in training_order.read_from(f"{tmp_path}/x", 9, 16, 8)] == [by[k] for k in range(9, len(by))]
