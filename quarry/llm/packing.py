@@ -1,18 +1,24 @@
 """Best-fit packing by hierarchical residual packing.
 
-Each partition tokenises its documents, cuts those longer than a sequence into pieces and packs its
+Rows are dealt out in turn, so that each partition has a like mix of lengths, however the input lies.  Each
+partition tokenises its documents, cuts those longer than a sequence into pieces and packs its
 pieces best-fit decreasing.  Bins that are full but for SLACK tokens are done.  The others become items
 themselves: FAN partitions' underfull bins meet in one group, are packed best-fit again, and so on
-up the tree to a single group, where what is left is done as it is.  A group passes on its CARRY emptiest
-bins at most (the fuller ones are done, as they are), so that no group grows with the corpus; nothing
-is dropped.
+up the tree to a single group, where what is left is done as it is.
+
+A group passes on its CARRY emptiest underfull bins at most.  That costs no sequence: bins move whole, and of
+the bins of a best-fit packing one at most is half full or less (two such would have been one), so FAN groups bring
+FAN bins at most that can go into others; what any bin fits into, one of the emptiest takes as well.
 
 The pieces' ids are written once, to the shared folder, by the partition that made them.  Those of bins done there
 stay as they are; the tree moves lengths and places alone, and the ids of pieces that went up it are joined
 to their last places at the end.
 
+Ids are those that the tokenizers library gives; most words take a way through tiktoken running the file's own
+merges (tokens.py), which tests hold against the library.
+
 Defined results: a null text is an empty one, and an empty text is the end-of-document id alone.  Each row is
-packed, whether repeated or with a null id.  Other columns aren't read.
+packed, whether repeated or with a null id.  A text of any length is cut into as many pieces as it takes.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -102,7 +108,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int
             some = [(*r, part, k + j, part, p[0], p[1], used[p[0]], done[p[0]]) for j, (r, p) in enumerate(zip(rows[k : k + ROWS], places[k : k + ROWS], strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), OWN_TYPES + TYPES, strict=True)], names=OWN_NAMES + NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"{OWN}, {SCHEMA}")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the high bits of the id are the partition's number, the low ones the row's in it
+    turn = F.monotonically_increasing_id()
+    dealt = docs.select("doc_id", "text", turn.alias("_turn")).repartitionById(n, F.expr(f"CAST((_turn % (1L << 33) + _turn DIV (1L << 33)) % {n} AS INT)"))
+    return dealt.select("doc_id", "text").mapInArrow(work, f"{OWN}, {SCHEMA}")
 
 
 def _merge(level: int, last: bool, capacity: int, slack: int, carry: int):

@@ -140,6 +140,22 @@ def test_packing(messy, nothing, size):
     assert packing.pack(nothing, word_bpe(), **size).count() == 0
 
 
+def test_lengths_apart(spark):
+    """Long documents in one half of the input, those that go with them in the other."""
+    docs = spark.createDataFrame([(i, "a " * (32 if i < 3000 else 29)) for i in range(6000)], "doc_id bigint, text string").repartitionByRange(2, "doc_id")
+    got = packing.pack(docs, word_bpe(), capacity=64, slack=1, carry=16)
+    assert 3000 <= got.select("sequence_id").distinct().count() <= 3010
+    half = packing.pack(docs.where("doc_id < 3000"), word_bpe(), capacity=64, slack=1, carry=16)  # none fits to another
+    assert half.select("sequence_id").distinct().count() == 3000
+
+
+def test_carry_costs_nothing(spark):
+    """Bins that are over half full, thousands of them in a group, and few small ones."""
+    docs = spark.createDataFrame([(i, "a " * (39 if i % 100 else 19)) for i in range(5000)], "doc_id bigint, text string").repartition(16)
+    count = lambda carry: packing.pack(docs, word_bpe(), capacity=64, slack=1, fan=2, carry=carry).select("sequence_id").distinct().count()
+    assert count(4) == count(10**6) == 4950
+
+
 def test_quick_way_gives_the_same_ids():
     import random
 
