@@ -4,25 +4,30 @@ Windows of ten consecutive words of every benchmark item (the whole item if it h
 automaton over normalised text; each document is normalised and scanned once, and what is found is
 mapped back to words and to offsets of the original text.
 
-The automaton is sent to every executor, so what goes into it is bounded: benchmark items are dealt
-by a hash of their id into shards of about SHARD_BYTES of text (one, for any usual benchmark), and
-documents pass one automaton after the other, with what was found so far carried along in the row.
+The items are sent to every executor, which makes the automaton once for each Python worker, so what goes
+into it is bounded: a benchmark of more than SHARD_BYTES of text is dealt by a hash of the items' ids into
+shards of about that size.  Documents are then searched for one shard after the other, each a job of
+its own, and what the shards found, by row, is put together.
 
 Defined results: null texts have no words, and items without words have no window.  Items with the
 same id count as one; an item with a null id marks words but isn't listed.  Each row of documents gets
-one row, repeated or not.  Other columns aren't read (scan) or are kept (clean).
+one row, repeated or not.  Texts of any length are scanned whole.  Other columns aren't read (scan) or are
+kept (clean).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quarry.llm.shared import materialise
 from quarry.llm.words import chars_at, folded_starts, folded_words, spaced
 
 WINDOW = 10
@@ -81,39 +86,78 @@ def _merged(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[dict[str, list]]:
-    """The windows of each shard; no more than one shard's items come to the driver at a time."""
+#: A worker's automaton and what it was made from; kept from task to task.
+_made: dict[bytes, ahocorasick.Automaton | None] = {}
+
+
+def _automaton_of(items: list[tuple[int | None, str | None]], key: bytes) -> ahocorasick.Automaton | None:
+    if key not in _made:
+        _made.clear()
+        _made[key] = automaton(windows_of(items))
+    return _made[key]
+
+
+Items = list[tuple[int | None, str | None]]
+
+
+def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Items]:
+    """The items of each shard; no more than one shard's come to the driver at a time."""
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t"))
     total = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // shard_bytes))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        yield windows_of([(r["i"], r["t"]) for r in part.toLocalIterator()])
+        yield [(r["i"], r["t"]) for r in part.toLocalIterator()]
 
 
-def _found(rows: DataFrame, benchmark: DataFrame, shard_bytes: int) -> DataFrame:
-    """rows (with _id, _text) and the columns _runs (flat list of first, after last) and _items."""
-    kept = rows.columns
-    df = rows.withColumns({"_runs": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>"), "_n": F.lit(0).cast("bigint")})
-    for windows in shards(benchmark, shard_bytes):
+def _finder(items: Items):
+    """A function from texts to (words, runs, ids as strings, sorted) of each."""
+    key = hashlib.sha256(repr(items).encode()).digest()
 
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            a = automaton(windows)
-            for b in batches:
-                runs_out, items_out, counts = [], [], []
-                for text, runs, items in zip(b.column("_text").cast(pa.large_binary()).to_pylist(), b.column("_runs").to_pylist(), b.column("_items").to_pylist(), strict=True):
-                    words = folded_words(text or b"")
-                    new, ids = hits(words, a)
-                    if runs:
-                        new = _merged(new + [runs[i : i + 2] for i in range(0, len(runs), 2)])
-                    runs_out.append([x for r in new for x in r])
-                    items_out.append(sorted({*items, *(str(i) for i in ids if i is not None)}))
-                    counts.append(len(words))
-                cols = [b.column(c) for c in kept] + [pa.array(runs_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*kept, "_runs", "_items", "_n"])
-
-        df = df.mapInArrow(scan, df.schema)
-    return df
+    def find(texts: pa.Array) -> Iterator[tuple[int, list[list[int]], list[str]]]:
+        a = _automaton_of(items, key)
+        for text in texts.cast(pa.large_binary()).to_pylist():
+            words = folded_words(text or b"")
+            runs, ids = hits(words, a)
+            yield len(words), runs, sorted({str(i) for i in ids if i is not None})
+
+    return find
+
+
+_FOUND = "_key bigint, _runs array<bigint>, _items array<string>"
+
+
+def _search(keyed: DataFrame, items: Items) -> DataFrame:
+    """_key, _runs (flat list of first, after last), _items of the rows that have a window of a shard's items."""
+    find = _finder(items)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, [x for r in runs for x in r], ids) for k, (_, runs, ids) in zip(b.column(0).to_pylist(), find(b.column(1)), strict=True) if runs]
+            keys, runs, ids = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=["_key", "_runs", "_items"])
+
+    return keyed.select("_key", "_text").mapInArrow(work, _FOUND)
+
+
+def _by_shards(rows: DataFrame, first: Items, rest: Iterator[Items]) -> DataFrame:
+    """rows (with _text) and _runs, _items, where the benchmark has several shards."""
+    keyed = materialise(rows.withColumn("_key", F.monotonically_increasing_id()))
+    found = materialise(_search(keyed, first))
+    for items in rest:
+        found = found.union(materialise(_search(keyed, items)))
+    # a row of found for each shard at most
+    found = found.groupBy("_key").agg(F.flatten(F.collect_list("_runs")).alias("_runs"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+    return keyed.join(found, "_key", "left").drop("_key")
+
+
+def _digest(i: int | None, text: bytes | None, n: int, runs: list[list[int]], items: list[str]) -> tuple:
+    spans = ""
+    if runs:
+        at = folded_starts(text)
+        chars = chars_at(text, [p for a, b in runs for p in (at[a][0], at[b - 1][1])])
+        spans = ",".join(f"{a}:{b}" for a, b in zip(chars[::2], chars[1::2], strict=True))
+    return i, n, sum(b - a for a, b in runs), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), bool(runs), spans
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -121,28 +165,51 @@ def scan(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
 
     spans: the hit runs as start:end in code points of the original text, comma-joined.
     """
-    found = _found(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), benchmark, shard_bytes)
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans string"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.string()]
+    rest = shards(benchmark, shard_bytes)
+    first, second = next(rest), next(rest, None)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)], names=names)
+
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    if second is None:
+        find = _finder(first)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(1).cast(pa.large_binary())
+                yield batch([_digest(i, t, *x) for i, t, x in zip(b.column(0).to_pylist(), texts.to_pylist(), find(texts), strict=True)])
+
+        return rows.mapInArrow(once, schema)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, text, flat, items, n in zip(b.column("_id").to_pylist(), b.column("_text").cast(pa.large_binary()).to_pylist(), b.column("_runs").to_pylist(), b.column("_items").to_pylist(), b.column("_n").to_pylist(), strict=True):
-                spans = ""
-                if flat:
-                    at = folded_starts(text)
-                    chars = chars_at(text, [at[w][0] if k % 2 == 0 else at[w - 1][1] for k, w in enumerate(flat)])
-                    spans = ",".join(f"{chars[k]}:{chars[k + 1]}" for k in range(0, len(flat), 2))
-                rows.append((i, n, sum(flat[1::2]) - sum(flat[::2]), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), bool(flat), spans))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)], names=names)
+            out = []
+            for i, t, flat, items in zip(b.column("_id").to_pylist(), b.column("_text").cast(pa.large_binary()).to_pylist(), b.column("_runs").to_pylist(), b.column("_items").to_pylist(), strict=True):
+                runs = _merged([flat[k : k + 2] for k in range(0, len(flat or ()), 2)])
+                out.append(_digest(i, t, len(folded_words(t or b"")), runs, sorted(items or ())))
+            yield batch(out)
 
-    return found.mapInArrow(digest, schema)
+    return _by_shards(rows, first, itertools.chain([second], rest)).mapInArrow(put_together, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents without any hit, with all their columns."""
+    rest = shards(benchmark, shard_bytes)
+    first, second = next(rest), next(rest, None)
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    found = _found(rows, benchmark, shard_bytes).where(F.size("_runs") == 0)
-    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    if second is None:
+        find = _finder(first)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                clear = pa.array([not runs for _, runs, _ in find(b.column(1))], pa.bool_())
+                yield b.select([0]).filter(clear)
+
+        kept = rows.mapInArrow(work, T.StructType([rows.schema["_row"]]))
+    else:
+        kept = _by_shards(rows, first, itertools.chain([second], rest)).where("_runs IS NULL")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
