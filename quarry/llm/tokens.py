@@ -12,8 +12,8 @@ from array import array
 import numpy as np
 
 #: Entries of a worker's caches of words and of words' parts (about 200 bytes each); beyond this a cache starts anew.
-CACHE_WORDS = 1_000_000
-CACHE_PARTS = 400_000
+CACHE_WORDS = 300_000
+CACHE_PARTS = 100_000
 #: Longer words aren't cached, bytes.
 CACHE_BYTES = 64
 
@@ -62,10 +62,27 @@ def _quick(path: str):
     return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
 
+class _Words(dict):
+    """Ids of words by word; a word that isn't there yet is encoded.  Full, it starts anew."""
+
+    def __init__(self, encode):
+        super().__init__({b"": b""})
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+                self[b""] = b""
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """ids(texts): each text's ids as little-endian unsigned 32-bit bytes, as the tokenizers library gives them.
 
-    A text is cut at its spaces and line feeds; each different word is encoded once and remembered.  Most words
+    A text is cut at its spaces and line feeds; words are encoded once and remembered.  Most words
     take the quick way, which gives the same ids (tests compare); the library encodes the rest.
     plain: strings of special tokens in a text are ordinary text, so that no text holds a special id.
     """
@@ -77,7 +94,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.quick = _quick(path) if quick else None
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known = _Words(self._word)
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
@@ -89,34 +106,16 @@ class Encoder:
                 self.parts[part] = ids
         return ids
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        rest = []
-        for k, w in enumerate(words):
-            t = w.decode("utf-8", "replace")
-            if self.quick and len(t) <= 1024 and _PLAIN.fullmatch(t):
-                t = t.lower()
-                out[k] = self._part(t) if t.isalpha() else b"".join(map(self._part, _PARTS.findall(t)))
-            else:
-                rest.append((k, t))
-        for a in range(0, len(rest), 4096):
-            some = rest[a : a + 4096]
-            for (k, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, "<u4").tobytes()
-        return out
+    def _word(self, word: bytes) -> bytes:
+        t = word.decode("utf-8", "replace")
+        if self.quick and len(t) <= 1024 and _PLAIN.fullmatch(t):
+            t = t.lower()
+            return self._part(t) if t.isalpha() else b"".join(map(self._part, _PARTS.findall(t)))
+        return _bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {b"": b""}
-            new = list(set().union(*split))
-        here = dict(zip(new, self._encode(new), strict=True))
-        self.known.update((w, i) for w, i in here.items() if len(w) <= CACHE_BYTES)
-        known = self.known
-        if any(len(w) > CACHE_BYTES for w in here):
-            known = known | here
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        known = self.known.__getitem__
+        return [b"".join(map(known, t.replace(b"\n", b" ").split(b" "))) for t in texts]
 
 
 @functools.cache
