@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mark_first(df: DataFrame, key: str, seq: str, out: str, salts: int = 32) -> DataFrame:
-    """df with `out`: is the row the first of its key?  Null where the key is null.
+def mark_first(df: DataFrame, key: str, seq: str, out: str) -> DataFrame:
+    """df with `out`: is the row the first of its key?  Null where the key is null.  seq is a row's own: no two rows have the same.
 
-    In two rounds, so that a key of a third of all rows is no hot spot: the first of each of `salts`
-    parts of a key, then the first of those; the others go to partitions of their own.  The input is read once.
+    The least number of each key is combined before it is shuffled, and rows meet it by key and number both, so that a
+    key of any number of rows is no hot spot.  df is read twice, the first time for key and seq only.
     """
-    has = F.col(key).isNotNull()
-    part = F.when(has, F.pmod(F.xxhash64(seq), F.lit(salts))).otherwise(F.col(seq))
-    df = df.withColumn("_part", part)
-    df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_part").orderBy(seq)))
-    df = df.withColumn("_lane", F.when(has & (F.col("_nth") == 1), F.lit(-1)).otherwise(F.col(seq)))
-    df = df.withColumn("_of", F.row_number().over(Window.partitionBy(key, "_lane").orderBy(seq)))
-    return df.withColumn(out, F.when(has, (F.col("_nth") == 1) & (F.col("_of") == 1))).drop("_part", "_nth", "_lane", "_of")
+    firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(seq).alias("_seq")).withColumn("_first", F.lit(True))
+    met = df.join(firsts, (F.col(key) == F.col("_key")) & (F.col(seq) == F.col("_seq")), "left")
+    return met.withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce("_first", F.lit(False)))).drop("_key", "_seq", "_first")

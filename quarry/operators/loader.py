@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import seeded
+from quarry.operators.prefix import numbered
 
 
 def epoch_order(ids: DataFrame, id: str, seed: int, epoch: int) -> DataFrame:
-    """ids with place: the epoch's order by digest.  Only ids are sorted, never tokens."""
-    place = F.row_number().over(Window.orderBy(seeded(F.col(id), seed + epoch), id)) - 1
-    return ids.select(id).withColumn("place", place.cast("bigint"))
+    """ids with place: the epoch's order by digest.  Only ids are sorted, never tokens, and in ranges."""
+    return numbered(ids.select(id, seeded(F.col(id), seed + epoch).alias("_digest")), ["_digest", id], "place").drop("_digest")
 
 
 def batches(items: DataFrame, id: str, size: int, seed: int, epoch: int = 0, shuffle: bool = True, drop_last: bool = True) -> DataFrame:
     """items with batch_id and slot (its place in the batch)."""
-    order = epoch_order(items, id, seed, epoch) if shuffle else items.select(id).withColumn("place", (F.row_number().over(Window.orderBy(id)) - 1).cast("bigint"))
+    order = epoch_order(items, id, seed, epoch) if shuffle else numbered(items.select(id), [id], "place")
     if drop_last:
-        n = order.agg((F.expr(f"count(*) DIV {size}") * size).alias("_full"))  # one row
-        order = order.crossJoin(F.broadcast(n)).where("place < _full").drop("_full")
+        order = order.where(F.col("place") < order.count() // size * size)
     return items.join(order, id).withColumn("batch_id", F.expr(f"place DIV {size}")).withColumn("slot", F.expr(f"place % {size}")).drop("place")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.hashing import digest
 from quarry.operators.prefix import running_sum
+from quarry.sources.storage import materialise
 
 BLOCK = 1024
 PAGE = 1024
@@ -19,37 +20,46 @@ def word_tokens(words: Column) -> Column:
     return F.concat(F.transform(words, lambda w: F.conv(F.substring(digest(w), 1, 4), 16, 10).cast("int")), F.array(F.lit(EOS)))
 
 
-def pack(docs: DataFrame, block: int = BLOCK, by: str = "split", seq: str = "seq", tokens: str = "tokens") -> DataFrame:
+def pack(docs: DataFrame, block: int = BLOCK, by: str = "split", seq: str = "seq", tokens: str = "tokens", ahead: int = 0) -> DataFrame:
     """split, block_id, tokens: whole blocks of each split's documents one after the other; the rest of a split is dropped.
 
     A document's place comes from a running sum; it is cut where blocks end, and a block's pieces
-    (at most `block` of them) meet in one row.
+    (at most `block` of them) meet in one row.  Tokens are made once and written to the shared folder.
+    ahead: each block has so many tokens (up to `block`) of the next whole one besides; the last block has none and is dropped.
     """
-    df = docs.select(by, seq, tokens).withColumn("_n", F.size(tokens).cast("bigint")).where("_n > 0")
-    df = running_sum(df, "_n", seq, "_start", [by])
-    df = df.withColumn("block_id", F.explode(F.expr(f"sequence(_start DIV {block}, (_start + _n - 1) DIV {block})")))
+    table = materialise(docs.select(by, seq, tokens, F.size(tokens).cast("bigint").alias("_n")).where("_n > 0"))
+    df = running_sum(table, "_n", seq, "_start", [by])
+    df = df.withColumn("block_id", F.explode(F.expr(f"sequence(greatest(_start - {ahead}, 0L) DIV {block}, (_start + _n - 1) DIV {block})")))
     at = F.greatest(F.lit(0), F.col("block_id") * block - F.col("_start"))
-    length = F.least(F.col("_n"), (F.col("block_id") + 1) * block - F.col("_start")) - at
+    length = F.least(F.col("_n"), (F.col("block_id") + 1) * block + ahead - F.col("_start")) - at
     piece = F.struct(F.greatest("_start", F.col("block_id") * block).alias("at"), F.slice(tokens, (at + 1).cast("int"), length.cast("int")).alias("t"))
     blocks = df.groupBy(by, "block_id").agg(F.sort_array(F.collect_list(piece)).alias("_p"), F.sum(length).alias("_size"))
-    return blocks.where(F.col("_size") == block).select(by, "block_id", F.flatten(F.col("_p.t")).alias("tokens"))
+    blocks = blocks.where(F.col("_size") == block + ahead).select(by, "block_id", F.flatten(F.col("_p.t")).alias("tokens"))
+    if not ahead:
+        return blocks
+    whole = table.groupBy(by).agg(F.expr(f"sum(_n) DIV {block}").alias("_whole"))  # a row for each split
+    return blocks.join(whole, by).where("block_id < _whole - 1").drop("_whole")
 
 
 def pairs(blocks: DataFrame, block: int = BLOCK, by: str = "split") -> DataFrame:
-    """split, block_id, input, label: labels are the next tokens, across block edges; the last block has no next and gives no pair."""
-    after = blocks.select(by, (F.col("block_id") - 1).alias("block_id"), F.col("tokens")[0].alias("_next"))
-    df = blocks.join(after, [by, "block_id"])
-    return df.select(by, "block_id", F.col("tokens").alias("input"), F.concat(F.slice("tokens", 2, block - 1), F.array("_next")).alias("label"))
+    """split, block_id, input, label from blocks packed with one token ahead: labels are the next tokens, across block edges; the last block has no next and gives no pair."""
+    return blocks.select(by, "block_id", F.slice("tokens", 1, block).alias("input"), F.slice("tokens", 2, block).alias("label"))
+
+
+def pair_at(pairs: DataFrame, index: int, id: str = "block_id"):
+    """The pair of a number from 0, or of a negative one from the end; IndexError beyond.  pairs are those of one split."""
+    n = pairs.select(id).count()
+    if not -n <= index < n:
+        raise IndexError(f"pair {index} of {n}")
+    return pairs.where(F.col(id) == index % n).first()
 
 
 def windows(blocks: DataFrame, length: int, page: int = PAGE, by: str = "split") -> DataFrame:
-    """split, page_id, window_id, input, label of all windows of `length` in each page that has a next token."""
+    """split, page_id, window_id, input, label of all windows of `length` in each page, from pages packed with one token ahead."""
     if page % length:
         raise ValueError(f"a page of {page} isn't a multiple of {length}")
-    after = blocks.select(by, (F.col("block_id") - 1).alias("block_id"), F.col("tokens")[0].alias("_next"))
-    df = blocks.join(after, [by, "block_id"]).withColumn("_t", F.concat("tokens", F.array("_next")))
-    df = df.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(page // length - 1))))
-    return df.select(by, F.col("block_id").alias("page_id"), "window_id", F.slice("_t", F.col("window_id") * length + 1, length).alias("input"), F.slice("_t", F.col("window_id") * length + 2, length).alias("label"))
+    df = blocks.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(page // length - 1))))
+    return df.select(by, F.col("block_id").alias("page_id"), "window_id", F.slice("tokens", F.col("window_id") * length + 1, length).alias("input"), F.slice("tokens", F.col("window_id") * length + 2, length).alias("label"))
 
 
 def batch_ids(df: DataFrame, order: list[Column | str], size: int, drop_last: bool, rank: str | None = None) -> DataFrame:

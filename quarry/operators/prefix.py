@@ -1,16 +1,20 @@
-"""Running sums without a single-partition shuffle."""
+"""Running sums and row numbers without a single-partition shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.storage import materialise
+
 
 def running_sum(df: DataFrame, value: str, seq: str, out: str, by: list[str] | None = None, span: int = 4096) -> DataFrame:
     """df with `out`: the sum of `value` over the rows before this one, by sequence number, in each group.
 
     In two levels: sums of spans of sequence numbers, then rows within a span; the upper level has a row for each
-    span only.
+    span only.  df is read twice, so it should be a table or cheap to make.
     """
     by = by or []
     df = df.withColumn("_span", F.floor(F.col(seq) / span))
@@ -19,3 +23,19 @@ def running_sum(df: DataFrame, value: str, seq: str, out: str, by: list[str] | N
     spans = spans.withColumn("_base", F.coalesce(F.sum("_sum").over(upper), F.lit(0))).drop("_sum")
     lower = Window.partitionBy(*by, "_span").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     return df.join(spans, [*by, "_span"]).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(lower), F.lit(0))).drop("_span", "_base")
+
+
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """df, ranged by `order`, with `out`: each row's number from 0.  df is written to the shared folder, so it should be narrow.
+
+    Partitions are ranges; a row's number is its place in its partition and the rows of the partitions before it.
+    Only those counts, one for each partition, come to the driver.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    # the high bits of the id are the partition's number, the low ones the row's in it
+    table = materialise(ranged.select("*", at.alias("_at"))).select("*", F.expr("_at DIV (1L << 33)").alias("_part"))
+    sizes = sorted((r["_part"], r["count"]) for r in table.groupBy("_part").count().collect())
+    before = [0, *accumulate(n for _, n in sizes)]
+    bases = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "_part bigint, _base bigint")
+    return table.join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_at") % F.lit(1 << 33) + F.col("_base")).alias(out))

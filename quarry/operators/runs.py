@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +36,14 @@ def weighted_perplexity(losses: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ema(df: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """by, order, value, ema: smoothed from the first value on.  A run's points meet in one row: a log's length, not a corpus's."""
-    points = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_p"))
-    start = F.expr("cast(array() AS array<double>)")
-    smooth = F.aggregate("_p", start, lambda acc, p: F.concat(acc, F.array(F.when(F.size(acc) == 0, p[value]).otherwise(alpha * p[value] + (1 - alpha) * F.element_at(acc, -1)))))
-    return points.withColumn("_e", smooth).select(*by, F.explode(F.arrays_zip("_p", "_e")).alias("_z")).select(*by, F.col(f"_z._p.{order}").alias(order), F.col(f"_z._p.{value}").alias(value), F.col("_z._e").alias("ema"))
+    """by, order, value, ema: smoothed from the first value on.  A run's points meet in one group: a log's length, not a corpus's."""
+    df = df.select(*by, order, value, F.col(value).cast("double").alias("ema"))
+
+    def smooth(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(order)
+        return points.assign(ema=points["ema"].ewm(alpha=alpha, adjust=False).mean())
+
+    return df.groupBy(*by).applyInPandas(smooth, df.schema)
 
 
 def past(df: DataFrame, share: float = 0.1, by: str = "run", tokens: str = "tokens") -> DataFrame:

@@ -9,25 +9,27 @@ from quarry.functions.hashing import digest, key
 from quarry.functions.normalize import normalize
 from quarry.functions.quality import VERDICTS, Limits, verdict, with_word_stats
 from quarry.operators.dedup import mark_first
+from quarry.sources.storage import materialise
 
 
 def judged(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Raw records (seq, id, source, text, n_bytes, ...) with clean_text and verdict (null: kept).
 
-    Cheapest first: what is a raw duplicate isn't normalised.  A record counts as seen even if a later
+    Cheapest first: what is a raw duplicate isn't normalised.  What is normalised is written to the shared folder.  A record counts as seen even if a later
     gate rejects it; an empty one isn't seen by the second dedup.
     """
     df = raw.withColumn("_raw_key", key(digest(F.col("text"))))
     df = mark_first(df, "_raw_key", "seq", "_raw_first").withColumn("_todo", F.when(F.col("_raw_first"), F.col("text")))
-    df = normalize(df, "_todo", "clean_text")
-    df = df.withColumn("_norm_key", F.when(F.col("clean_text") != "", key(digest(F.col("clean_text")))))
+    df = normalize(df, "_todo", "clean_text").drop("_todo")
+    # written once: the second dedup reads it twice
+    df = materialise(df.withColumn("_norm_key", F.when(F.col("clean_text") != "", key(digest(F.col("clean_text"))))))
     df = mark_first(df, "_norm_key", "seq", "_norm_first")
     df = with_word_stats(df.drop("n_chars"), "clean_text", limits)
     what = F.when(~F.coalesce("_raw_first", F.lit(True)), "dup_raw").when(F.coalesce("clean_text", F.lit("")) == "", "empty").when(~F.col("_norm_first"), "dup_normalized").otherwise(verdict(limits))
     # never false, and not deterministic: a filter on the verdict stays above it instead of being copied, with all
     # that the verdict is made from, to below the windows
     once = F.when(F.monotonically_increasing_id() >= 0, what)
-    return df.withColumn("verdict", once).drop("_raw_key", "_raw_first", "_todo", "_norm_key", "_norm_first")
+    return df.withColumn("verdict", once).drop("_raw_key", "_raw_first", "_norm_key", "_norm_first")
 
 
 def funnel(judged: DataFrame) -> DataFrame:

@@ -284,8 +284,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("seq", "id", "source", "n_bytes", split_for(F.col("id"), 100).alias("split"), packing.word_tokens(quality_rules.words(F.lower("text"))).alias("tokens"))
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_tokens(spark, sf_dir))
+def _blocks(spark: SparkSession, sf_dir: str, ahead: int = 0) -> DataFrame:
+    return packing.pack(_tokens(spark, sf_dir), ahead=ahead)
 
 
 def _said(*columns: str) -> list:
@@ -328,7 +328,7 @@ def pack_blocks(spark, sf_dir):
 @query(f"""WITH {TOKENS}, {FLAT}, {BLOCKS}, p AS (SELECT b.split, b.block_id, b.tokens AS input, list_append(b.tokens[2:], a.tokens[1]) AS label FROM blocks b JOIN blocks a ON a.split = b.split AND a.block_id = b.block_id + 1)
 SELECT split, block_id, md5(array_to_string(input, ',')) AS input, md5(array_to_string(label, ',')) AS label, input[2:] = label[:-2] AS shifted FROM p""")
 def next_token_pairs(spark, sf_dir):
-    p = packing.pairs(_blocks(spark, sf_dir))
+    p = packing.pairs(_blocks(spark, sf_dir, ahead=1))
     shifted = F.slice("input", 2, packing.BLOCK - 1) == F.slice("label", 1, packing.BLOCK - 1)
     return p.select("split", "block_id", *_said("input", "label"), shifted.alias("shifted"))
 
@@ -336,7 +336,7 @@ def next_token_pairs(spark, sf_dir):
 @query(f"""WITH {TOKENS}, {FLAT}, {BLOCKS}, p AS (SELECT b.split, b.block_id, list_append(b.tokens, a.tokens[1]) AS t, unnest(range(8)) AS w FROM blocks b JOIN blocks a ON a.split = b.split AND a.block_id = b.block_id + 1)
 SELECT split, block_id AS page_id, w::INTEGER AS window_id, md5(array_to_string(t[w * 128 + 1:w * 128 + 128], ',')) AS input, md5(array_to_string(t[w * 128 + 2:w * 128 + 129], ',')) AS label FROM p""")
 def page_windows(spark, sf_dir):
-    w = packing.windows(_blocks(spark, sf_dir), 128)
+    w = packing.windows(_blocks(spark, sf_dir, ahead=1), 128)
     return w.select("split", "page_id", "window_id", *_said("input", "label"))
 
 
@@ -348,9 +348,9 @@ def page_sample(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT epoch, block_id, (row_number() OVER (PARTITION BY epoch ORDER BY sha256((1337 + epoch) || ':' || block_id), block_id) - 1)::BIGINT AS place FROM blocks, (VALUES (0), (1)) AS e(epoch) WHERE split = 'train'")
 def epoch_shuffle(spark, sf_dir):
-    ids = _blocks(spark, sf_dir).where("split = 'train'").select("block_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(seeded(F.col("block_id"), F.col("epoch") + 1337), "block_id")) - 1
-    return ids.select("epoch", "block_id", place.cast("bigint").alias("place"))
+    ids = _blocks(spark, sf_dir).where("split = 'train'").select("block_id")
+    epochs = [loader.epoch_order(ids, "block_id", 1337, e).select(F.lit(e).alias("epoch"), "block_id", "place") for e in (0, 1)]
+    return epochs[0].unionByName(epochs[1])
 
 
 @query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT block_id % 4 AS worker, count(*)::BIGINT AS n_blocks, min(block_id) AS first_block FROM blocks WHERE split = 'train' GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import digest, record_id
+from quarry.sources.storage import dealt
 
 RAW = "id string, source string, domain string, shard int, url string, title string, sha256 string, n_bytes bigint, text string"
 CLEAN = "id string, source string, domain string, url string, title string, n_bytes bigint, text string"
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are much work."""
+    return dealt(table(spark, sf_dir, name))
+
+
 def raw_records(df: DataFrame) -> DataFrame:
     """seq and the columns of RAW, from (seq, n, source, domain, shard, url, title, text)."""
     return df.select("seq", record_id(F.col("source"), F.col("n")).alias("id"), "source", "domain", "shard", "url", "title", digest(F.col("text")).alias("sha256"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
@@ -35,17 +41,17 @@ def raw_records(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    return raw_records(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("n"), "source", F.col("lang").alias("domain"), (F.col("doc_id") % 16).cast("int").alias("shard"), none.alias("url"), none.alias("title"), "text"))
+    return raw_records(texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("n"), "source", F.col("lang").alias("domain"), (F.col("doc_id") % 16).cast("int").alias("shard"), none.alias("url"), none.alias("title"), "text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_records(table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.col("page_id").alias("n"), F.lit("pages").alias("source"), F.lit("general_web").alias("domain"), (F.col("page_id") % 16).cast("int").alias("shard"), "url", F.lit(None).cast("string").alias("title"), F.col("html").alias("text")))
+    return raw_records(texts(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.col("page_id").alias("n"), F.lit("pages").alias("source"), F.lit("general_web").alias("domain"), (F.col("page_id") % 16).cast("int").alias("shard"), "url", F.lit(None).cast("string").alias("title"), F.col("html").alias("text")))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")
     none = F.lit(None).cast("string")
-    return raw_records(table(spark, sf_dir, "conversations").select(seq, seq.alias("n"), F.lit("conversations").alias("source"), F.col("role").alias("domain"), (F.col("conv_id") % 16).cast("int").alias("shard"), none.alias("url"), none.alias("title"), "text"))
+    return raw_records(texts(spark, sf_dir, "conversations").select(seq, seq.alias("n"), F.lit("conversations").alias("source"), F.col("role").alias("domain"), (F.col("conv_id") % 16).cast("int").alias("shard"), none.alias("url"), none.alias("title"), "text"))
 
 
 def write_jsonl(df: DataFrame, path: str, records: int = 100_000, overwrite: bool = False) -> None:

@@ -44,6 +44,19 @@ def test_against_sql(spark, duck, name):
 
 def test_nothing_spans_the_corpus(spark):
     """No plan over documents gathers them in one partition."""
-    for name in ("clean_documents", "clean_funnel", "pack_blocks", "pad_batches", "dedup_normalized", "word_stats"):
+    for name in ("clean_documents", "clean_funnel", "pack_blocks", "page_windows", "pad_batches", "dedup_normalized", "word_stats", "loader_batches", "epoch_shuffle", "stratified_sample"):
         plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_once(spark, monkeypatch):
+    """Tokens of blocks and windows are made once: each plan reads the documents in one scan, and then the table written."""
+    from quarry.operators import packing
+    from quarry.sources import storage
+
+    written = []
+    monkeypatch.setattr(packing, "materialise", lambda df: written.append(df) or storage.materialise(df))
+    for name in ("page_windows", "pack_blocks"):
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        first = written.pop()._jdf.queryExecution().executedPlan().toString()
+        assert not written and first.count("FileScan") == 1 and plan.count("documents.parquet") == 0 and plan.count("FileScan") == (3 if name == "page_windows" else 2), name

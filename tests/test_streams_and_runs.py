@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import schedule
 from quarry.operators import bpe, packing, runs, sampling, sampling_math, sweep
-from quarry.operators.prefix import running_sum
+from quarry.operators.dedup import mark_first
+from quarry.operators.prefix import numbered, running_sum
 from quarry.streaming import dedup
 
 
@@ -37,9 +38,14 @@ def test_pack(spark, block):
 
 
 def test_pairs_and_windows(spark):
-    blocks = packing.pack(spark.createDataFrame([(0, "train", list(range(70)))], "seq bigint, split string, tokens array<int>"), 16)
+    blocks = packing.pack(spark.createDataFrame([(0, "train", list(range(70)))], "seq bigint, split string, tokens array<int>"), 16, ahead=1)
     pairs = {r.block_id: r for r in packing.pairs(blocks, 16).collect()}
     assert sorted(pairs) == [0, 1, 2] and all(r.label == [t + 1 for t in r.input] for r in pairs.values())
+    one = packing.pairs(blocks, 16)
+    assert packing.pair_at(one, 0) == packing.pair_at(one, -3) and packing.pair_at(one, -1).input[0] == 32
+    for far in (3, -4):
+        with pytest.raises(IndexError):
+            packing.pair_at(one, far)
     seen = []
     for length in (4, 8, 16):
         w = packing.windows(blocks, length, 16).collect()
@@ -50,6 +56,34 @@ def test_pairs_and_windows(spark):
         packing.windows(blocks, 5, 16)
 
 
+@pytest.mark.parametrize("block", [1, 8, 30])
+def test_pack_ahead(spark, block):
+    rows = docs(spark, seed=9)
+    got = packing.pack(spark.createDataFrame(rows, "seq bigint, split string, tokens array<int>"), block, ahead=1).collect()
+    for split in ("train", "val"):
+        flat = [t for _, s, ts in rows if s == split for t in ts]
+        want = [flat[k : k + block + 1] for k in range(0, (len(flat) // block - 1) * block, block)]
+        assert [r.tokens for r in sorted(got, key=lambda r: r.block_id) if r.split == split] == want
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(k * 7 % 101, "x" * (k % 3)) for k in range(101)], "v bigint, t string").repartition(5)
+    got = numbered(df, ["t", "v"], "n").collect()
+    assert [(r.t, r.v) for r in sorted(got, key=lambda r: r.n)] == sorted((r.t, r.v) for r in df.collect()) and sorted(r.n for r in got) == list(range(101))
+    assert numbered(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_first_of_a_key(spark):
+    rng = random.Random(3)
+    rows = [(k, None if k % 10 == 0 else "hot" if k % 3 == 0 else f"k{rng.randint(0, 40)}") for k in range(500)]
+    rng.shuffle(rows)
+    least = {}
+    for s, k in rows:
+        least[k] = min(s, least.get(k, s))
+    got = mark_first(spark.createDataFrame(rows, "seq bigint, key string").repartition(6), "key", "seq", "first").collect()
+    assert {(r.seq, r.first) for r in got} == {(s, None if k is None else least[k] == s) for s, k in rows}
+
+
 def test_padding(spark):
     df = spark.createDataFrame([(0, 0, [1, 2, 3]), (1, 0, [4]), (2, 1, [5, 6, 7, 8, 9])], "seq int, batch_id bigint, tokens array<int>")
     got = {r.seq: r for r in packing.padded(df, 4, pad=0).collect()}
