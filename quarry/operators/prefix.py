@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from quarry.sources.storage import materialise
 
 
-def running_sum(df: DataFrame, value: str, seq: str, out: str, by: list[str] | None = None, span: int = 4096) -> DataFrame:
+def running_sum(df: DataFrame, value: str, seq: str, out: str, by: list[str] | None = None, span: int = 256, levels: int = 3) -> DataFrame:
     """df with `out`: the sum of `value` over the rows before this one, by sequence number, in each group.
 
-    In two levels: sums of spans of sequence numbers, then rows within a span; the upper level has a row for each
-    span only.  df is read twice, so it should be a table or cheap to make.
+    In levels: sums of spans of sequence numbers, of spans of those, and so on, then rows within a span; the highest
+    level has a row for each span ** (levels - 1) numbers only.  df is read twice, so it should be a table or
+    cheap to make.
     """
     by = by or []
     df = df.withColumn("_span", F.floor(F.col(seq) / span))
     spans = df.groupBy(*by, "_span").agg(F.sum(value).alias("_sum"))
-    upper = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_base", F.coalesce(F.sum("_sum").over(upper), F.lit(0))).drop("_sum")
+    if levels > 2:
+        spans = running_sum(spans.withColumnsRenamed({"_span": "_upper", "_sum": "_part"}), "_part", "_upper", "_before", by, span, levels - 1).select(*by, F.col("_upper").alias("_span"), F.col("_before").alias("_base"))
+    else:
+        upper = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("_base", F.coalesce(F.sum("_sum").over(upper), F.lit(0))).drop("_sum")
     lower = Window.partitionBy(*by, "_span").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     return df.join(spans, [*by, "_span"]).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(lower), F.lit(0))).drop("_span", "_base")
 

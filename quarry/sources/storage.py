@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: An input below this size for each core may be dealt out; beyond, it surely has splits enough.
 SPLIT_BYTES = 128 << 20
@@ -56,12 +57,15 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df as it is, or, if it is a small table of fewer files than there are cores, dealt out to all of them.
-
-    A file of one row group is one task's work otherwise.
-    """
+def too_few_files(df: DataFrame) -> int:
+    """The number of cores, if df is a small table of fewer files than that, else 0.  A file of one row group is one task's work otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores)
+        return 0
+    return cores
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df as it is, or, if it is a small table of too few files, dealt out to all cores."""
+    # the filter, always true and not deterministic, keeps expressions over the rows from being moved to before the shuffle
+    return df.repartition(n).where(F.monotonically_increasing_id() >= 0) if (n := too_few_files(df)) else df
