@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, near_duplicates, packing, quality_rules, secrets
-from quarry.llm.shared import materialise, table
+from quarry.llm.shared import materialise, table, texts
 from quarry.llm.tokens import word_bpe
 
 
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents, each stage's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

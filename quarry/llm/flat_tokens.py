@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.tokens import encoder
+from quarry.sources.storage import too_few_files
 
 #: <|endoftext|> of word_bpe_49k; texts are encoded so that it never comes from a text.
 SEPARATOR = 49407
@@ -44,7 +45,9 @@ def _in_order(docs: DataFrame) -> DataFrame:
     nodes = re.findall(r"(?m)^[ :+|-]*(\w+)", plan)
     if {*nodes} <= {"Project", "Filter", "SubqueryAlias", "Relation"} and "] parquet" in plan:
         at = docs.metadataColumn("_metadata")
-        return docs.select("doc_id", "text", at["file_path"].alias("path"), at["row_index"].alias("row"))
+        rows = docs.select("doc_id", "text", at["file_path"].alias("path"), at["row_index"].alias("row"))
+        # few files: more tasks than those, with the same order
+        return rows.repartitionByRange(n, "path", "row").sortWithinPartitions("path", "row") if (n := too_few_files(docs)) else rows
     keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     docs = docs.select("doc_id", "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
     return docs.select("doc_id", "text", F.lit("").alias("path"), F.monotonically_increasing_id().alias("row"))

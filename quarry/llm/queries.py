@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, licenses, near_duplicates, oracles, packing, quality_rules, secrets, suffix_array_dedup, suffix_tree_dedup, token_counts, training_order
-from quarry.llm.shared import shared_folder, table
+from quarry.llm.shared import shared_folder, table, texts
 from quarry.llm.tokens import word_bpe
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_dedup.dedup(table(spark, sf_dir, "documents"))
+    return suffix_tree_dedup.dedup(texts(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,27 +28,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array_dedup.dedup(table(spark, sf_dir, "documents"))
+    return suffix_array_dedup.dedup(texts(spark, sf_dir, "documents"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+    return near_duplicates.classes(texts(spark, sf_dir, "documents"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(texts(spark, sf_dir, "documents"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.scan(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(texts(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdict(quality_rules.ledger(table(spark, sf_dir, "documents")), "standard/1")
+    return quality_rules.verdict(quality_rules.ledger(texts(spark, sf_dir, "documents")), "standard/1")
 
 
 QUERIES = {

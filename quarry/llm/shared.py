@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources.storage import dealt, discard, materialise, shared_folder
+
+__all__ = ["NULL_ID", "dealt", "discard", "groups_for", "materialise", "shared_folder", "small_side", "table", "texts"]
+
 #: Stands for a null doc_id where documents are ordered: after all others.
 NULL_ID = 2**63 - 1
 
@@ -15,49 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, one of the driver's own, if all tasks run in the driver (as in tests); else an error.
-    """
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def _path(spark: SparkSession, path: str):
-    """The file system of a path, and the path, as the JVM has them."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    It cuts the lineage: executors lost later don't cause the work before it to be done again.  The table goes
-    when the driver ends, or before that by discard().
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, at = _path(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove what materialise() wrote, once nothing that is still to be computed reads it."""
-    for t in tables:
-        fs, at = _path(t.sparkSession, t._quarry_path)
-        fs.delete(at, True)
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are much work, for operators to which the order of rows means nothing."""
+    return dealt(table(spark, sf_dir, name))
 
 
 def small_side(table: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
