@@ -15,8 +15,9 @@ A window that occurs twice has a gram that occurs twice, so:
 5. marks    each chunk marks its windows that occur earlier.
 
 A copy is sent once for each chunk, not once for each document, so that thousands of copies make no
-hot group; nothing is dropped.  Hashes only pick and group: a collision of grams costs time, not rows
-(cells are known by 64 bits of hash, within a gram's 48).
+hot group; nothing is dropped.  Hashes pick and group, where a collision costs time.  But cells of a gram (48 bits)
+are known by 64 bits of hash, and words by 64 bits, without a look at their text: two different ones that collide would
+count as equal.
 """
 
 from __future__ import annotations

@@ -3,12 +3,15 @@
 The suffixes of a group (repeats.py deals them out) are put into buckets by their first eight bytes.
 Then buckets are refined by sorting on the bucket of a later offset: suffixes alike in 8 bytes by the
 bucket 8 bytes on, giving 16, then 16 on, giving 32, and so to 50; each refinement's buckets are the
-pointers of the next.  Suffixes left together share 50 bytes.
+pointers of the next.  A suffix alone in its bucket is finished: it keeps its pointer, by which the others go
+on being told apart, and isn't sorted again.  Suffixes left together share 50 bytes; nothing is refined
+beyond, so no order of whole suffixes results.
 
 A byte is removed if a 50-byte string over it also starts in a document with a smaller id.
 
 Defined results: null texts are empty.  Null ids count as the largest.  Rows with the same id aren't
-each other's source.  Each row of documents gets one row; other columns aren't read.
+each other's source.  Each row of documents gets one row; other columns aren't read.  A document of any length goes
+whole into one chunk; what a task holds of it is about 60 bytes a byte for at most a megabyte of text or one document.
 """
 
 from __future__ import annotations
@@ -25,22 +28,25 @@ Q = 8
 
 
 def refine(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
-    """A number for each window of each cell units[start:end], the same for equal windows."""
+    """A number for each window of each cell units[start:end], the same for equal windows: its suffix's bucket at the window's depth."""
     n = len(units)
     gram = np.zeros(max(0, n - Q + 1), np.uint64)
     for k in range(Q):
         gram = (gram << np.uint64(8)) | units[k : n - Q + 1 + k]
-    bucket = np.unique(gram, return_inverse=True)[1].astype(np.uint64)
-    depth = Q
-    while depth < window:
+    _, bucket, count = np.unique(gram, return_inverse=True, return_counts=True)
+    bucket = bucket.astype(np.uint64)
+    open_ = np.flatnonzero(count[bucket.astype(np.int64)] > 1)
+    new, depth = len(count), Q
+    while depth < window and len(open_):
         # reaching past a cell's end is harmless: no window does
         step = min(depth, window - depth)
-        pairs = (bucket[: len(bucket) - step] << np.uint64(32)) | bucket[step:]
-        depth += step
-        if depth == window:
-            pairs = pairs[_windows(starts, ends, window)]
-        bucket = np.unique(pairs, return_inverse=True)[1].astype(np.uint64)
-    return bucket
+        open_ = open_[: np.searchsorted(open_, len(bucket) - step)]
+        pairs = (bucket[open_] << np.uint64(32)) | bucket[open_ + step]
+        _, at, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        bucket[open_] = (new + at).astype(np.uint64)
+        open_ = open_[count[at] > 1]
+        new, depth = new + len(count), depth + step
+    return bucket[_windows(starts, ends, window)]
 
 
 def _windows(starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
