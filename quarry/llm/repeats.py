@@ -22,6 +22,7 @@ count as equal.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,9 @@ from quarry.llm.shared import NULL_ID, groups_for, materialise
 
 CHUNK = 8 << 20
 HOT = 50_000
+#: Text, in bytes, of which a bucket has the grams or cells, at most.
+BUCKET = 64 << 20
+MOST_TASKS = 100_000
 #: Units in a group's part that is refined at a time.
 PART = 1 << 20
 
@@ -403,14 +407,24 @@ def n_removed() -> Column:
     return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed")
 
 
+def _tasks(sent: DataFrame, n_buckets: int):
+    """sent by bucket, each bucket a task of its own (or, beyond MOST_TASKS, some dealt out evenly), not as many as a hash happens to bring together."""
+    n = min(n_buckets, MOST_TASKS)
+    return sent.withColumn("part", F.expr(f"CAST(bucket % {n} AS INT)")).repartitionById(n, F.col("part")).groupBy("part", "bucket")
+
+
 def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, names: list[tuple[str, pa.DataType]], chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """finish(units, covered, first text, ids of these texts) -> rows, for each run of texts; one row for each document."""
     table = materialise(chunks(docs, chunk))
-    n_buckets = groups_for(table.count() * chunk, 4 * chunk, 16)
-    grams_back = materialise(table.mapInArrow(_send_grams(plan, n_buckets), "bucket bigint, chunk bigint, sent binary").groupBy("bucket").applyInArrow(_repeated_grams(hot), "chunk bigint, kind int, back binary"))
+    n_chunks = table.count()
+    # a chunk sends a row to each bucket: buckets grow with the root of the corpus, so that rows don't become too small, but
+    # not beyond what fits in memory
+    each = min(BUCKET, max(chunk, int(chunk * math.sqrt(n_chunks / 64))))
+    n_buckets = groups_for(n_chunks * chunk, each, 16)
+    grams_back = materialise(_tasks(table.mapInArrow(_send_grams(plan, n_buckets), "bucket bigint, chunk bigint, sent binary"), n_buckets).applyInArrow(_repeated_grams(hot), "chunk bigint, kind int, back binary"))
     by_chunk = table.groupBy("chunk")
     sent = by_chunk.cogroup(grams_back.groupBy("chunk")).applyInArrow(_send_cells(plan, n_buckets), "bucket bigint, chunk bigint, sent binary")
-    cells_back = materialise(sent.groupBy("bucket").applyInArrow(_refined(plan), "chunk bigint, kind int, back binary"))
+    cells_back = materialise(_tasks(sent, n_buckets).applyInArrow(_refined(plan), "chunk bigint, kind int, back binary"))
 
     def last(key, chunk, back):
         rows: list[tuple] = []
