@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import seeded
+from quarry.operators.packing import pad_waste
 from quarry.operators.prefix import numbered
 
 
@@ -40,3 +43,31 @@ def resume_shard(rows: DataFrame, shard: int, skip: int, seq: str = "seq") -> Da
     """A shard's rows after the first `skip`, as a retry goes on."""
     nth = F.row_number().over(Window.partitionBy("shard").orderBy(seq))
     return rows.where(F.col("shard") == shard).withColumn("_nth", nth).where(F.col("_nth") > skip).drop("_nth")
+
+
+def buffered_shuffle(ids: DataFrame, id: str, size: int, seed: int, workers: int = 1) -> DataFrame:
+    """ids with worker and place: each worker (every `workers`-th id) reads its ids in order through a buffer of `size`, gives a
+    random one whenever it is full, and what is left in random order.  Only ids pass."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rng, held, out = random.Random(f"{seed}:{rows['worker'].iloc[0]}"), [], []
+        for i in rows[id].sort_values():
+            held.append(i)
+            if len(held) >= size:
+                k = rng.randrange(len(held))
+                held[k], held[-1] = held[-1], held[k]
+                out.append(held.pop())
+        rng.shuffle(held)
+        out += held
+        return pd.DataFrame({id: out, "worker": rows["worker"].iloc[0], "place": range(len(out))})
+
+    dealt = ids.select(id, F.pmod(F.col(id), F.lit(workers)).cast("bigint").alias("worker"))
+    return dealt.groupBy("worker").applyInPandas(work, f"{id} bigint, worker bigint, place bigint")
+
+
+def metrics(blocks: DataFrame, padded: DataFrame, block: int, batch_size: int, max_length: int, measured: int) -> DataFrame:
+    """One row of what a loader gives: blocks with a next one, batches of an epoch, shapes, and the share of padding over the first `measured` padded batches."""
+    n = blocks.agg((F.greatest(F.count("*") - 1, F.lit(0))).alias("packed_blocks"))
+    waste = pad_waste(padded.where(F.col("batch_id") < measured), max_length).agg(F.avg("pad_fraction").alias("padded_mean_pad_fraction"), F.count("*").alias("padded_batches_measured"))
+    shape = F.array(F.lit(batch_size), F.lit(block))
+    return n.crossJoin(waste).select(F.lit(batch_size).alias("batch_size"), F.lit(block).alias("block_size"), "packed_blocks", F.expr(f"packed_blocks DIV {batch_size}").alias("batches_per_epoch"), shape.alias("packed_batch_shape"), F.lit(0.0).alias("packed_pad_fraction"), "padded_mean_pad_fraction", "padded_batches_measured")

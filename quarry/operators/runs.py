@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.schedule import finite_mean
+from quarry.sources.storage import materialise
 
 LOG = "kind string, step bigint, epoch int, tokens bigint, lr double, loss double, grad_norm double, tokens_per_sec double, val_loss double, val_ppl double, train_loss double, train_ppl double, seconds double"
 
@@ -29,6 +30,46 @@ def log_windows(steps: DataFrame, every: int, steps_per_epoch: int) -> DataFrame
     return grouped.where((F.col("step") == F.col("_end")) | (F.col("step") == F.col("_total"))).select("run", "epoch", "step", "loss", "grad_norm", "n_steps")
 
 
+def throughput(log: DataFrame, every: int, steps_per_epoch: int, tokens_per_step: int) -> DataFrame:
+    """run, epoch, step, n_steps, tokens_per_sec of log windows, from (run, step, seconds, eval_seconds): time spent on evaluation isn't counted."""
+    closed = log_windows(log.withColumns({"loss": F.col("seconds"), "grad_norm": F.col("eval_seconds")}), every, steps_per_epoch)
+    spent = F.greatest((F.col("loss") - F.col("grad_norm")) * F.col("n_steps"), F.lit(1e-9))
+    return closed.select("run", "epoch", "step", "n_steps", (F.col("n_steps") * tokens_per_step / spent).alias("tokens_per_sec"))
+
+
+def epoch_history(steps: DataFrame, evals: DataFrame, steps_per_epoch: int) -> DataFrame:
+    """run, epoch, step, seconds, train_loss, train_ppl, val_loss, val_ppl: means over an epoch's steps (run, step, loss, seconds) and its last evaluation (run, step, val_loss)."""
+    epoch = F.expr(f"(greatest(step, 1L) - 1) DIV {steps_per_epoch} + 1").alias("epoch")
+    train = steps.select("run", "step", "loss", "seconds", epoch).groupBy("run", "epoch").agg(F.max("step").alias("step"), F.sum("seconds").alias("seconds"), F.avg("loss").alias("train_loss"))
+    val = evals.select("run", "step", "val_loss", epoch).groupBy("run", "epoch").agg(F.max_by("val_loss", "step").alias("val_loss"))
+    df = train.join(val, ["run", "epoch"], "left")
+    return df.select("run", "epoch", "step", "seconds", "train_loss", F.exp("train_loss").alias("train_ppl"), "val_loss", F.exp("val_loss").alias("val_ppl"))
+
+
+def summary(name: str, log: DataFrame, history: DataFrame, parameters: int) -> DataFrame:
+    """One row: a run's summary with its array of epochs, from its log and its history."""
+    epochs = F.array_sort(F.collect_list(F.struct("epoch", "train_loss", "train_ppl", "val_loss", "val_ppl")))
+    own = summaries(log.where(F.col("run") == name)).drop("epochs")
+    return own.join(history.where(F.col("run") == name).groupBy("run").agg(epochs.alias("epochs")), "run", "left").withColumn("parameters", F.lit(parameters))
+
+
+def append_log(records: DataFrame, path: str) -> None:
+    """Add records (run, ...) to a log of JSON lines; nothing written before changes."""
+    records.write.mode("append").option("ignoreNullFields", True).json(path)
+
+
+def resume_log(spark: SparkSession, path: str, at: DataFrame, schema: str = LOG) -> None:
+    """Drop a log's records past each run's checkpoint (run, checkpoint), so that it can go on from there."""
+    kept = materialise(resumed(spark.read.schema(f"run string, {schema}").json(path), at))
+    kept.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
+def stage_seconds(log: DataFrame) -> DataFrame:
+    """stage, n, seconds, share: wall-clock time by stage, from (stage, seconds)."""
+    sums = log.groupBy("stage").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"))
+    return sums.withColumn("share", F.col("seconds") / F.sum("seconds").over(Window.partitionBy(F.lit(0))))  # a row for each stage
+
+
 def weighted_perplexity(losses: DataFrame, by: list[str]) -> DataFrame:
     """Mean of losses weighted by their tokens, and its perplexity, from (loss, n)."""
     mean = F.sum(F.col("loss") * F.col("n")) / F.greatest(F.lit(1), F.sum("n"))

@@ -75,3 +75,12 @@ def unfinished(wanted: DataFrame, finished: DataFrame) -> DataFrame:
 
 def unknown(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.select("name").exceptAll(known.select("name"))
+
+
+def findings(runs: DataFrame) -> DataFrame:
+    """topic, text: what a sweep says, in numbers from its runs."""
+    change = against_baseline(runs).join(runs.select("name", "factor", "val_loss", "rate", "parameters", "ord"), "name")
+    top = change.agg(F.min_by(F.struct("name", "val_ppl", "change"), F.struct("val_loss", "ord")).alias("b")).select(F.lit("best").alias("topic"), F.format_string("%s has the least loss: perplexity %.1f, %.1f%% from the baseline", "b.name", "b.val_ppl", "b.change").alias("text"))
+    by = change.where("factor <> 'baseline'").groupBy("factor").agg(F.min("change").alias("lo"), F.max("change").alias("hi"), F.max_by("name", "rate").alias("fast"), F.max("rate").alias("rate"))
+    rest = by.select(F.col("factor").alias("topic"), F.format_string("perplexity moves by %.1f%% to %.1f%%; %s is the fastest with %.0f tokens a second", "lo", "hi", "fast", "rate").alias("text"))
+    return top.unionByName(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import digest, key
@@ -54,3 +54,9 @@ def totals(judged: DataFrame) -> DataFrame:
     )
     what = F.when(F.col("g") == 1, "verdict").when(F.col("g") == 2, "source").otherwise("total")
     return sums.select(what.alias("what"), F.coalesce("verdict", "source", F.lit("all")).alias("name"), "docs_in", "docs_out", "bytes_in", "bytes_out")
+
+
+def observed(judged: DataFrame) -> tuple[DataFrame, Observation]:
+    """judged, and what passes through it while an action runs: documents, bytes, kept."""
+    seen = Observation("clean")
+    return judged.observe(seen, F.count("*").alias("documents"), F.sum("n_bytes").alias("bytes"), F.count_if(F.col("verdict").isNull()).alias("kept")), seen

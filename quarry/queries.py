@@ -6,6 +6,7 @@ may be taken in another order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from quarry.functions.normalize import normalize
 from quarry.operators import bpe, loader, packing, runs, sampling, sampling_math, sweep
 from quarry.operators.dedup import mark_first
 from quarry.plans import clean
-from quarry.sources import manifests, records
+from quarry.sources import manifests, records, storage, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,16 +261,6 @@ def limit_first_n(spark, sf_dir):
     return sampling.first_rows(records.documents(spark, sf_dir).select("seq", "id"), "seq", 0)
 
 
-@query()
-def collection_manifest(spark, sf_dir):
-    return records.manifest(collection_stats(spark, sf_dir))
-
-
-@query()
-def cleaning_manifest(spark, sf_dir):
-    return records.manifest(clean_manifest_grouping_sets(spark, sf_dir))
-
-
 # --- tokens -------------------------------------------------------------------------------------
 
 TOKENS = r"""tok AS (SELECT doc_id AS seq, id, source, split, strlen(text)::BIGINT AS n_bytes, list_append(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'), lambda w: ('0x' || substr(sha256(w), 1, 4))::INTEGER), 65536) AS tokens
@@ -434,11 +425,6 @@ def escaped_pages(spark, sf_dir):
     return records.pages(spark, sf_dir).select("seq", manifests.escaped(F.col("text")).alias("escaped"))
 
 
-@query()
-def token_manifest(spark, sf_dir):
-    return records.manifest(split_counts(spark, sf_dir))
-
-
 # --- run logs: events stand in for a log, a run for each tenth of users --------------------------
 
 LOG = """log AS (SELECT (user_id % 10)::BIGINT AS run, CASE event_type WHEN 'signup' THEN 'eval' WHEN 'error' THEN 'epoch' ELSE 'step' END AS kind,
@@ -637,3 +623,115 @@ def content_keys(spark, sf_dir):
 def input_digests(spark, sf_dir):
     """SHA-256 and bytes of the documents' files."""
     return records.digests(spark, f"{sf_dir}/documents.parquet")
+
+
+# --- manifests, files and what a loader and a run give ------------------------------------------
+
+STARTED = "2026-01-01T00:00:00+00:00"
+
+
+def _said_in(manifest: DataFrame, **paths: str) -> DataFrame:
+    """Values of a manifest by their places in it."""
+    at = lambda p: F.get_json_object("manifest", p)
+    return manifest.select(*[(F.json_array_length(at(p[1:])) if p[0] == "#" else at(p)).cast("string" if k == "stage" else "bigint").alias(k) for k, p in paths.items()])
+
+
+@query("SELECT '01-collection' AS stage, count(DISTINCT source)::BIGINT AS n_sources, 1::BIGINT AS shards, count(*)::BIGINT AS documents, sum(strlen(text))::BIGINT AS text_bytes, 7::BIGINT AS seed FROM documents")
+def collection_manifest(spark, sf_dir):
+    made = manifests.collection_manifest(spark, collection_stats(spark, sf_dir), input_digests(spark, sf_dir), {"seed": 7}, STARTED)
+    return _said_in(made, stage="$.stage", n_sources="#$.sources", shards="$.totals.shards", documents="$.totals.documents", text_bytes="$.totals.text_bytes", seed="$.args.seed")
+
+
+@query(f"""{judged_ctes()} SELECT '02-cleaning' AS stage, count(*)::BIGINT AS docs_in, sum(n_bytes)::BIGINT AS bytes_in, count(*) FILTER (verdict = 'dup_raw')::BIGINT AS dup_raw, count(*) FILTER (verdict = 'short')::BIGINT AS short,
+  coalesce(sum(n_bytes) FILTER (verdict = 'symbol_ratio'), 0)::BIGINT AS symbol_bytes, count(DISTINCT source)::BIGINT AS n_sources, count(*) FILTER (verdict IS NULL)::BIGINT AS documents, coalesce(sum(strlen(t)) FILTER (verdict IS NULL), 0)::BIGINT AS text_bytes, 50::BIGINT AS min_words FROM judged""")
+def cleaning_manifest(spark, sf_dir):
+    judged, limits = clean.judged(records.documents(spark, sf_dir)), quality_rules.Limits()
+    made = manifests.cleaning_manifest(spark, clean.funnel(judged), clean.totals(judged), input_digests(spark, sf_dir), vars(limits), {"limit": "none"}, STARTED)
+    return _said_in(made, stage="$.stage", docs_in="$.input.documents", bytes_in="$.input.text_bytes", dup_raw="$.removed[0].docs", short="$.removed[3].docs", symbol_bytes="$.removed[5].bytes", n_sources="#$.per_source", documents="$.totals.documents", text_bytes="$.totals.text_bytes", min_words="$.quality_limits.min_words")
+
+
+@query(f"""WITH {TOKENS}, n AS (SELECT split, source, len(tokens) AS n FROM tok) SELECT '03-tokenization' AS stage, 1024::BIGINT AS block_size, count(*)::BIGINT AS documents, max(n)::BIGINT AS longest, count(DISTINCT source)::BIGINT AS n_sources,
+  sum(n) FILTER (split = 'train')::BIGINT AS train_tokens, (sum(n) FILTER (split = 'train') % 1024)::BIGINT AS train_dropped, 65537::BIGINT AS vocabulary FROM n""")
+def token_manifest(spark, sf_dir):
+    tokenizer = {"id": "word digests", "vocab_size": packing.EOS + 1, "eos_token_id": packing.EOS}
+    made = manifests.token_manifest(spark, split_counts(spark, sf_dir), tokens_per_source(spark, sf_dir), doc_length_distribution(spark, sf_dir), tokenizer, packing.BLOCK, {"val_per_mille": 100}, STARTED)
+    return _said_in(made, stage="$.stage", block_size="$.format.block_size", documents="$.document_token_length.n_docs", longest="$.document_token_length.most", n_sources="#$.tokens_per_source", train_tokens="$.splits[0].tokens", train_dropped="$.splits[0].dropped", vocabulary="$.tokenizer.vocab_size")
+
+
+@query(f"WITH {RAW} SELECT seq, CASE source WHEN 'src0' THEN 'CC0-1.0' WHEN 'src1' THEN 'MIT' END AS license FROM raw")
+def records_with_source(spark, sf_dir):
+    more = (("src0", "general_web", "CC0-1.0", 0.0), ("src1", "general_web", "MIT", 0.0))
+    return records.with_source(records.documents(spark, sf_dir).select("seq", "source"), records.registry(spark, more)).select("seq", "license")
+
+
+@query(f"WITH {RAW} SELECT id, n_bytes, sha256 FROM raw ORDER BY seq LIMIT 40")
+def jsonl_round_trip(spark, sf_dir):
+    """The first records of gzipped JSON lines written in files of about 100 kB."""
+    path = f"{storage.shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    records.write_jsonl(records.documents(spark, sf_dir), path, "seq", 100_000)
+    return records.read_jsonl(spark, path, limit=40).select("id", "n_bytes", "sha256")
+
+
+@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT split, block_id, md5(array_to_string(list_transform(tokens, x -> least(x, 65535)), ',')) AS tokens FROM blocks".replace("x -> least(x, 65535)", "lambda x: least(x, 65535)"))
+def token_file_round_trip(spark, sf_dir):
+    """Blocks written to flat files of 16-bit ids, and read again."""
+    folder = f"{storage.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    blocks = _blocks(spark, sf_dir).withColumn("tokens", F.transform("tokens", lambda t: F.least(t, F.lit(65_535))))
+    token_files.write_blocks(blocks, folder, packing.BLOCK, per_file=64)
+    return token_files.read_blocks(spark, folder, packing.BLOCK, per_file=64).select("split", "block_id", *_said("tokens"))
+
+
+@query(f"""{PADDED}, {FLAT}, {BLOCKS}, f AS (SELECT batch_id, 1 - sum(len(t)) / (count(*) * max(len(t))) AS pad FROM d WHERE batch_id < 10 GROUP BY batch_id), n AS (SELECT greatest(count(*) - 1, 0) AS n FROM blocks WHERE split = 'train')
+SELECT 8 AS batch_size, 1024 AS block_size, n::BIGINT AS packed_blocks, (n // 8)::BIGINT AS batches_per_epoch, 0.0::DOUBLE AS packed_pad_fraction, (SELECT round(avg(pad), 9) FROM f) AS padded_mean_pad_fraction, (SELECT count(*) FROM f)::BIGINT AS padded_batches_measured FROM n""")
+def loader_metrics(spark, sf_dir):
+    padded = packing.batch_ids(_tokens(spark, sf_dir), ["seq"], 8, drop_last=False, rank="seq")
+    made = loader.metrics(_blocks(spark, sf_dir).where("split = 'train'"), padded, packing.BLOCK, 8, 256, 10)
+    return rounded(made.drop("packed_batch_shape"), "padded_mean_pad_fraction", digits=9)
+
+
+@query()
+def shuffle_buffer(spark, sf_dir):
+    ids = _blocks(spark, sf_dir).where("split = 'train'").select("block_id")
+    return loader.buffered_shuffle(ids, "block_id", 16, 1337, workers=4)
+
+
+@query(f"""WITH {LOG}, t AS (SELECT run, (step - 1) // 384 + 1 AS epoch, step, loss / 10 + 1 AS seconds, CASE WHEN kind = 'eval' THEN loss / 20 ELSE 0 END AS ev, (ceil(step / 10) * 10)::BIGINT AS stop, max(step) OVER (PARTITION BY run) AS total FROM log)
+SELECT run, epoch, max(step)::BIGINT AS step, count(*)::BIGINT AS n_steps, round(count(*) * 4096 / greatest(sum(seconds) - sum(ev), 1e-9), 6) AS tokens_per_sec FROM t GROUP BY run, epoch, stop HAVING max(step) = stop OR max(step) = max(total)""")
+def log_throughput(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumns({"seconds": F.col("loss") / 10 + 1, "eval_seconds": F.when(F.col("kind") == "eval", F.col("loss") / 20).otherwise(0.0)})
+    return rounded(runs.throughput(log, 10, 384, 4096), "tokens_per_sec")
+
+
+HISTORY = f"""WITH {LOG}, x AS (SELECT run, kind, step, loss / 100 AS loss, (step - 1) // 384 + 1 AS epoch FROM log), v AS (SELECT run, epoch, arg_max(loss, step) AS val_loss FROM x WHERE kind = 'eval' GROUP BY ALL),
+h AS (SELECT run, epoch, max(step)::BIGINT AS step, round(sum(loss * 10), 6) AS seconds, round(avg(loss), 6) AS train_loss, round(exp(avg(loss)), 6) AS train_ppl, round(any_value(val_loss), 6) AS val_loss, round(exp(any_value(val_loss)), 6) AS val_ppl FROM x LEFT JOIN v USING (run, epoch) GROUP BY run, epoch)"""
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).withColumn("loss", F.col("loss") / 100).withColumns({"seconds": F.col("loss") * 10, "val_loss": F.col("loss")})
+    return rounded(runs.epoch_history(log, runs.of_kind(log, "eval"), 384), "seconds", "train_loss", "train_ppl", "val_loss", "val_ppl")
+
+
+@query(f"{HISTORY} SELECT * FROM h")
+def epoch_history(spark, sf_dir):
+    return _history(spark, sf_dir)
+
+
+@query(f"{HISTORY} SELECT run, epoch, train_loss, train_ppl, val_loss, val_ppl, 6846080::BIGINT AS parameters FROM h WHERE run = 5")
+def run_epochs(spark, sf_dir):
+    """The array of epochs of one run's summary."""
+    log = _log(spark, sf_dir).withColumns({"val_loss": F.col("loss"), "tokens_per_sec": F.col("loss")})
+    made = runs.summary(5, log, _history(spark, sf_dir), 6_846_080)
+    return made.select("run", F.col("parameters").cast("bigint").alias("parameters"), F.inline("epochs"))
+
+
+@query("SELECT event_type AS stage, count(*)::BIGINT AS n, round(sum(value), 6) AS seconds, round(sum(value) / sum(sum(value)) OVER (), 9) AS share FROM events GROUP BY event_type")
+def stage_seconds(spark, sf_dir):
+    events = records.table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    return rounded(rounded(runs.stage_seconds(events), "share", digits=9), "seconds")
+
+
+@query(f"""WITH {SWEEP}, c AS (SELECT r.*, (r.val_ppl / b.val_ppl - 1) * 100 AS change FROM r, r AS b WHERE b.name = 'baseline')
+SELECT 'best' AS topic, printf('%s has the least loss: perplexity %.1f, %.1f%% from the baseline', name, val_ppl, change) AS text FROM (SELECT * FROM c ORDER BY val_loss, ord LIMIT 1)
+UNION ALL SELECT factor, printf('perplexity moves by %.1f%% to %.1f%%; %s is the fastest with %.0f tokens a second', min(change), max(change), arg_max(name, rate), max(rate)) FROM c WHERE factor <> 'baseline' GROUP BY factor""")
+def sweep_findings(spark, sf_dir):
+    return sweep.findings(sweep.runs(spark))

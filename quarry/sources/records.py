@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import digest, record_id
-from quarry.sources.storage import dealt
+from quarry.operators.prefix import running_sum
+from quarry.sources.storage import dealt, materialise
 
 RAW = "id string, source string, domain string, shard int, url string, title string, sha256 string, n_bytes bigint, text string"
 CLEAN = "id string, source string, domain string, url string, title string, n_bytes bigint, text string"
@@ -21,8 +22,14 @@ REGISTRY = (
 DEFAULT = ("wikipedia", "cc_news", "fineweb")
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(REGISTRY), "name string, domain string, license string, weight double")
+def registry(spark: SparkSession, more: tuple[tuple[str, str, str, float], ...] = ()) -> DataFrame:
+    """The registered sources and others like them: a new source is a row."""
+    return spark.createDataFrame([*REGISTRY, *more], "name string, domain string, license string, weight double")
+
+
+def with_source(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """records with the license of their source; what isn't registered has none."""
+    return records.join(F.broadcast(registry.select(F.col("name").alias("source"), "license")), "source", "left")  # a row for each source
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,21 +61,30 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_records(texts(spark, sf_dir, "conversations").select(seq, seq.alias("n"), F.lit("conversations").alias("source"), F.col("role").alias("domain"), (F.col("conv_id") % 16).cast("int").alias("shard"), none.alias("url"), none.alias("title"), "text"))
 
 
-def write_jsonl(df: DataFrame, path: str, records: int = 100_000, overwrite: bool = False) -> None:
-    """Gzipped JSON lines, at most `records` a file; refuses to overwrite unless told to."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "gzip").option("maxRecordsPerFile", records).option("ignoreNullFields", False).json(path)
+def in_shards(df: DataFrame, seq: str, most_bytes: int) -> DataFrame:
+    """df with file: records in sequence, a new file wherever the JSON bytes before them have filled another `most_bytes`.
+
+    A file is as large as that and one record at most.
+    """
+    df = materialise(df.withColumn("_size", (F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) + 1).cast("bigint")))
+    return running_sum(df, "_size", seq, "_before").withColumn("file", F.expr(f"_before DIV {most_bytes}")).drop("_size", "_before")
+
 
+def write_jsonl(df: DataFrame, path: str, seq: str, most_bytes: int = 256 << 20, overwrite: bool = False) -> None:
+    """Gzipped JSON lines in folders file=0, file=1, ..., each one file in sequence (rotated by bytes); refuses to overwrite unless told to."""
+    dealt = in_shards(df, seq, most_bytes).repartition(F.col("file")).sortWithinPartitions("file", seq)
+    dealt.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("file").option("compression", "gzip").option("ignoreNullFields", False).json(path)
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
-    """Records with the file they come from; a missing path is an error at once."""
-    return spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("file"))
+
+def read_jsonl(spark: SparkSession, path: str, schema: str = RAW, limit: int | None = None) -> DataFrame:
+    """Records with the file they come from and their place in it (ascending, with gaps); a missing path is an error at once.
+
+    limit: only the first records in the order of files and places.
+    """
+    df = spark.read.schema(f"{schema}, file bigint").json(path).withColumn("place", F.monotonically_increasing_id())
+    return df if limit is None else df.orderBy("file", "place").limit(limit)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """path, n_bytes and SHA-256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def manifest(df: DataFrame, name: str = "manifest") -> DataFrame:
-    """The rows of a small aggregate as one JSON document."""
-    return df.agg(F.to_json(F.sort_array(F.collect_list(F.struct("*")))).alias(name))

@@ -2,8 +2,12 @@
 
 import json
 
-from quarry.operators import loader
-from quarry.sources import manifests
+import pytest
+
+from quarry.functions.quality import Limits
+from quarry.operators import loader, runs
+from quarry.plans import clean
+from quarry.sources import manifests, records, token_files
 
 
 def test_batches(spark):
@@ -35,3 +39,68 @@ def test_json_documents(spark, tmp_path):
 def test_settings(monkeypatch):
     monkeypatch.setenv("QUARRY_B", "env")
     assert manifests.settings("# no\n\nexport QUARRY_A='x y'\nQUARRY_B=file\nQUARRY_C = \"q\"\nnothing") == {"QUARRY_A": "x y", "QUARRY_B": "env", "QUARRY_C": "q"}
+
+
+def test_shuffle_buffer(spark):
+    ids = spark.range(200).withColumnRenamed("id", "block_id")
+    got = loader.buffered_shuffle(ids.repartition(7), "block_id", 10, 3, workers=4).collect()
+    assert got == loader.buffered_shuffle(ids, "block_id", 10, 3, workers=4).collect()
+    for w in range(4):
+        order = [r.block_id for r in sorted((r for r in got if r.worker == w), key=lambda r: r.place)]
+        own = list(range(w, 200, 4))
+        assert sorted(order) == own and order != own
+        # none comes before the buffer has got to it
+        assert all(own.index(x) < k + 10 for k, x in enumerate(order))
+    assert loader.buffered_shuffle(ids.limit(0), "block_id", 10, 3).count() == 0
+
+
+def test_checked_settings():
+    good = {"seq_len": 128, "n_embd": 128, "n_head": 4, "batch_size": 32, "micro_batch": 16, "vocab_size": 50_257, "dtype": "uint16"}
+    assert manifests.checked(good) == good
+    for bad in ({"seq_len": 100}, {"n_embd": 130}, {"batch_size": 33}, {"vocab_size": 70_000}, {"dtype": "int32"}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            manifests.checked({**good, **bad})
+
+
+def test_settings_from_flags():
+    limits = manifests.from_args(Limits, ["--min_words", "40", "--max_mean", "12.5"])
+    assert (limits.min_words, limits.max_mean, limits.min_mean) == (40, 12.5, 2.0)
+
+
+def test_token_files(spark, tmp_path):
+    blocks = spark.createDataFrame([(s, i, [(i * 7 + k) % 65_536 for k in range(4)]) for s in ("train", "val") for i in range(11 if s == "train" else 2)], "split string, block_id bigint, tokens array<int>")
+    done = token_files.write_blocks(blocks.repartition(3), str(tmp_path / "t"), 4, per_file=4)
+    assert sorted((r.path.rsplit("/")[-1], r.n_blocks, r.n_bytes) for r in done.collect()) == [("train-00000.bin", 4, 32), ("train-00001.bin", 4, 32), ("train-00002.bin", 3, 24), ("val-00000.bin", 2, 16)]
+    back = token_files.read_blocks(spark, str(tmp_path / "t"), 4, per_file=4)
+    assert sorted(back.collect()) == sorted(blocks.collect()) and not list((tmp_path / "t").glob("*.part"))
+    with pytest.raises(Exception, match="16 bits"):
+        token_files.write_blocks(spark.createDataFrame([("val", 0, [70_000])], blocks.schema), str(tmp_path / "u"), 1)
+
+
+def test_manifest_documents(spark, tmp_path):
+    sources = spark.createDataFrame([("b", 2, 20), ("a", 1, 10)], "source string, documents bigint, text_bytes bigint")
+    files = spark.createDataFrame([("f0", 7, "x")], "path string, n_bytes bigint, sha256 string")
+    made = manifests.collection_manifest(spark, sources, files, {"seed": 1, "out": "d"}, "2026-01-01T00:00:00+00:00")
+    read = json.loads(made.first().manifest)
+    assert list(read) == ["stage", "started_utc", "finished_utc", "args", "sources", "shards", "totals"]
+    assert [s["source"] for s in read["sources"]] == ["a", "b"] and read["totals"] == {"documents": 3, "text_bytes": 30, "shards": 1, "compressed_bytes": 7}
+    nothing = json.loads(manifests.collection_manifest(spark, sources.limit(0), files.limit(0), {"seed": 1}, "t").first().manifest)
+    assert nothing["sources"] == [] and nothing["totals"] == {"documents": 0, "text_bytes": 0, "shards": 0, "compressed_bytes": 0}
+    manifests.write_document(sources.where("source = 'a'"), str(tmp_path / "one"))
+    assert manifests.document(spark, str(tmp_path / "one")).first().documents == 1
+
+
+def test_progress_is_observed(spark):
+    judged, seen = clean.observed(clean.judged(records.documents(spark, "/root/testdata/sf0.001")))
+    judged.write.format("noop").mode("overwrite").save()
+    assert seen.get["documents"] == 200 and 0 < seen.get["kept"] < 200
+
+
+def test_log_goes_on(spark, tmp_path):
+    path = str(tmp_path / "log")
+    step = lambda r, k: (r, "step", k)
+    schema = "run string, kind string, step bigint"
+    runs.append_log(spark.createDataFrame([step("a", k) for k in range(1, 9)] + [step("b", 1)], schema), path)
+    runs.resume_log(spark, path, spark.createDataFrame([("a", 5)], "run string, checkpoint bigint"))
+    runs.append_log(spark.createDataFrame([step("a", 6)], schema), path)
+    assert sorted((r.run, r.step) for r in spark.read.json(path).collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("a", 6), ("b", 1)]

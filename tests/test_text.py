@@ -1,5 +1,6 @@
 """Normalisation, quality verdicts and the cleaning plan."""
 
+import json
 import random
 import re
 import unicodedata
@@ -125,15 +126,27 @@ def test_split_is_a_partition_by_id_alone(spark):
 
 def test_jsonl_round_trip(spark, tmp_path):
     path = str(tmp_path / "raw")
-    df = raw(spark, ["a", "b\n\"c\"", "é", None])
-    records.write_jsonl(df.drop("seq"), path, records=2)
-    back = records.read_jsonl(spark, path)
-    assert sorted(map(str, back.select("id", "text", "n_bytes").collect())) == sorted(map(str, df.select("id", "text", "n_bytes").collect()))
-    assert all(re.fullmatch(r".*\.json\.gz", r.path) and len(r.sha256) == 64 for r in records.digests(spark, path + "/*.gz").collect())
+    rows = [(k, f"s:{k:08d}", "s", "d", 0, None, "t" * (k % 7), "h", k, {3: 'b\n"c"', 5: "é漢", 8: None}.get(k, "x" * (37 * k % 200))) for k in range(60)]
+    df = spark.createDataFrame(rows, f"seq bigint, {records.RAW}").repartition(5)
+    records.write_jsonl(df, path, "seq", 1500)
+    back = records.read_jsonl(spark, path, f"seq bigint, {records.RAW}")
+    files = {}
+    for r in back.collect():
+        files.setdefault(r.file, []).append(r)
+    assert [r.seq for f in sorted(files) for r in sorted(files[f], key=lambda r: r.place)] == list(range(60)) and len(files) > 3
+    size = lambda r: len(json.dumps({c: r[c] for c in df.columns}, separators=(",", ":"), ensure_ascii=False).encode()) + 1
+    assert all(sum(map(size, f)) < 1500 + 400 for f in files.values())
+    assert sorted(back.select(df.columns).collect(), key=lambda r: r.seq) == sorted(df.collect(), key=lambda r: r.seq)
+    assert [r.seq for r in records.read_jsonl(spark, path, f"seq bigint, {records.RAW}", limit=7).collect()] == list(range(7))
+    assert records.digests(spark, f"{path}/file=*/*.gz").count() == len(files)
+    assert all(re.fullmatch(r".*\.json\.gz", r.path) and len(r.sha256) == 64 for r in records.digests(spark, f"{path}/file=*/*.gz").collect())
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
-        records.write_jsonl(df.drop("seq"), path)
+        records.write_jsonl(df, path, "seq")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         records.read_jsonl(spark, str(tmp_path / "none")).count()
+    records.write_jsonl(df.limit(3), path, "seq", overwrite=True)
+    assert records.read_jsonl(spark, path).count() == 3
+
 
 
 def test_record_ids_of_any_length(spark):
