@@ -232,7 +232,16 @@ def _targets(raw: DataFrame) -> DataFrame:
     return raw.groupBy(F.col("source").alias("name")).agg(F.expr("sum(n_bytes) DIV 3").alias("target"))
 
 
-@query()
+SAMPLE = f"""WITH RECURSIVE {RAW}, t AS (SELECT source, (sum(n_bytes) // 3)::BIGINT AS target FROM raw GROUP BY source),
+o AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY sha256('20260918:' || source || '/' || shard), shard) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, shard FROM raw)),
+s AS (SELECT source, shard, pos, target, greatest(1, least(n, target // 20000)) AS k FROM o JOIN t USING (source)),
+c AS (SELECT seq, source, shard, pos, n_bytes, sum(n_bytes) OVER (PARTITION BY source, shard ORDER BY seq) AS cum FROM raw JOIN s USING (source, shard) WHERE pos < k AND NOT regexp_matches(coalesce(text, ''), '^[\\s\\x0B\\x1C-\\x1F\\x{{85}}]*$')),
+w(source, pos, quota, taken, target, k) AS (SELECT source, 0::BIGINT, ceil(target::DOUBLE / k), 0::BIGINT, target, k FROM (SELECT DISTINCT source, target, k FROM s)
+  UNION ALL SELECT w.source, w.pos + 1, ceil((w.target - w.taken - sum(c.n_bytes))::DOUBLE / (w.k - w.pos - 1)), (w.taken + sum(c.n_bytes))::BIGINT, w.target, w.k FROM w JOIN c ON c.source = w.source AND c.pos = w.pos AND c.cum - c.n_bytes < w.quota
+  WHERE w.pos + 1 < w.k GROUP BY w.source, w.pos, w.taken, w.target, w.k)"""
+
+
+@query(f"{SAMPLE} SELECT seq, source || ':' || lpad((row_number() OVER (PARTITION BY c.source ORDER BY c.pos, seq) - 1)::VARCHAR, 8, '0') AS id, source, shard, c.pos::INTEGER AS pos, n_bytes FROM c JOIN w USING (source, pos) WHERE cum - n_bytes < quota")
 def stratified_sample(spark, sf_dir):
     raw = records.documents(spark, sf_dir)
     return sampling.stratified(raw, _targets(raw), 20260918, per_shard=20_000).select("seq", "id", "source", "shard", "pos", "n_bytes")
