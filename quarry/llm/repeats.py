@@ -362,8 +362,24 @@ def _refined(plan: Plan):
     return work
 
 
-def marks(plan: Plan, chunk_blob: bytes, back: list[tuple[int, bytes]]) -> Iterator[tuple[int, Units, np.ndarray, int, np.ndarray]]:
-    """For runs of texts: (first text, units, which units are covered, after the last text, ids)."""
+def _joined(plan: Plan, u: Units, at: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[tuple]:
+    """(document here, start, end, source's id, start there) of maximal runs of windows that go on in step in one document here and one source.
+
+    at: where in u each given run of n windows begins; doc, start: where its first window's source is.
+    """
+    order = np.argsort(at, kind="stable")
+    at, n, doc, start = at[order], n[order], doc[order], start[order]
+    here = np.searchsorted(u.ends, at, side="right")
+    goes_on = (here[1:] == here[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] - start[:-1] == at[1:] - at[:-1]) & (at[1:] == (at + n)[:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
+    begin = at[first] - u.starts[here[first]]
+    end = (at + n)[last] - u.starts[here[last]] + plan.window - 1
+    return list(zip(here[first].tolist(), begin.tolist(), end.tolist(), doc[first].tolist(), start[first].tolist(), strict=True))
+
+
+def marks(plan: Plan, chunk_blob: bytes, back: list[tuple[int, bytes]], matches: bool = False) -> Iterator[tuple[int, Units, np.ndarray | list[tuple], int, np.ndarray]]:
+    """For runs of texts: (first text, units, which units are covered or else the matches with earlier texts, after the last text, ids)."""
     ids, texts = read_chunk(chunk_blob)
     known, hot = _known([b for kind, b in back if kind == 0])
     got = [_unzip(b, "<u8", "<u4", "<u4", "<u4", "<i8", "<i8") for kind, b in back if kind == 1]
@@ -373,7 +389,7 @@ def marks(plan: Plan, chunk_blob: bytes, back: list[tuple[int, bytes]]) -> Itera
         order = np.argsort(x, kind="stable")
         x, run_at, count = x[order], (run_end - count)[order], count[order].astype(np.int64)
     for a, b, u, s, e, _, _, h in _cells(plan, texts, known, hot):
-        covered = np.zeros(len(u.values), bool)
+        covered, found = np.zeros(len(u.values), bool), []
         if got and len(s):
             at = np.minimum(np.searchsorted(x, h), len(x) - 1)
             has = x[at] == h
@@ -386,11 +402,13 @@ def marks(plan: Plan, chunk_blob: bytes, back: list[tuple[int, bytes]]) -> Itera
             earlier = bd[pick] < ids[doc]
             if plan.within:
                 earlier |= (bd[pick] == ids[doc]) & (bs[pick] < start + first)
+            if matches and earlier.any():
+                found = _joined(plan, u, (s + first)[earlier], (hi[pick].astype(np.int64) - first)[earlier], bd[pick][earlier], bs[pick][earlier])
             edge = np.zeros(len(u.values) + 1, np.int64)
             np.add.at(edge, (s + first)[earlier], 1)
             np.add.at(edge, (s + hi[pick].astype(np.int64) + plan.window - 1)[earlier], -1)
             covered = np.cumsum(edge[:-1]) > 0
-        yield a, u, covered, b, ids
+        yield a, u, found if matches else covered, b, ids
 
 
 #: What is left of a document, and the runs of its units that are removed.
@@ -413,8 +431,8 @@ def _tasks(sent: DataFrame, n_buckets: int):
     return sent.withColumn("part", F.expr(f"CAST(bucket % {n} AS INT)")).repartitionById(n, F.col("part")).groupBy("part", "bucket")
 
 
-def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, names: list[tuple[str, pa.DataType]], chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
-    """finish(units, covered, first text, ids of these texts) -> rows, for each run of texts; one row for each document."""
+def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, names: list[tuple[str, pa.DataType]], chunk: int = CHUNK, hot: int = HOT, matches: bool = False) -> DataFrame:
+    """finish(units, covered or matches, ids of these texts) -> rows, for each run of texts."""
     table = materialise(chunks(docs, chunk))
     n_chunks = table.count()
     # a chunk sends a row to each bucket: buckets grow with the root of the corpus, so that rows don't become too small, but
@@ -429,7 +447,7 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, names: list
     def last(key, chunk, back):
         rows: list[tuple] = []
         if chunk.num_rows:
-            for a, u, covered, b, ids in marks(plan, chunk["docs"][0].as_py(), list(zip(back["kind"].to_pylist(), back["back"].to_pylist(), strict=True))):
+            for a, u, covered, b, ids in marks(plan, chunk["docs"][0].as_py(), list(zip(back["kind"].to_pylist(), back["back"].to_pylist(), strict=True)), matches):
                 rows += finish(u, covered, ids[a:b])
         return _rows(names, rows)
 

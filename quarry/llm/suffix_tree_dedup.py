@@ -3,8 +3,9 @@
 Suffixes are dealt into memory-sized groups (repeats.py): those that begin with the same 20 words always
 meet, by a gram sampled in those words, or by all 20 where that gram is very frequent.  In each group windows are
 numbered top down, one word deeper at a time, while in a node with others; a window alone is a leaf
-and isn't followed.  Nodes 20 words deep are the windows that occur more than once; nothing is grown beyond,
-and a longer repeat is known only as a run of such windows.
+and isn't followed.  Nodes 20 words deep are the windows that occur more than once; nothing is grown beyond.
+A longer repeat is a run of such windows whose first occurrences follow each other as well: maximal() gives
+those, which no group sees as a whole, from the runs that come back to the texts.
 
 A word is removed if a window of 20 words over it also starts earlier: in a document with a smaller
 id, or before it in the same one.
@@ -72,3 +73,18 @@ def kept(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """One row for each document, from what is kept: doc_id, n_words, n_removed, kept_sha256."""
     return kept(docs, window, **sizes).select("doc_id", "n_words", n_removed(), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def maximal(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
+    """Repeats as long as they are: doc_id, start, end (in words), source_id, source_start.
+
+    A repeat is a run of words, `window` or more, all of whose windows occur first, one after the other, in one document;
+    it can't be made longer at either end.  Null ids of either side are null.
+    """
+
+    def rows_of(u: Units, found: list[tuple], ids: np.ndarray) -> list[tuple]:
+        said = lambda i: None if i == NULL_ID else int(i)
+        return [(said(ids[here]), a, b, said(doc), start) for here, a, b, doc, start in found]
+
+    names = [(n, pa.int64()) for n in ("doc_id", "start", "end", "source_id", "source_start")]
+    return find(docs, Plan(window, 6, True, True, grow), rows_of, ", ".join(f"{n} bigint" for n, _ in names), names, matches=True, **sizes)

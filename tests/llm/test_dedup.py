@@ -85,6 +85,30 @@ def test_refinements_agree():
         assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
 
 
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 3000, "hot": 3}])
+def test_maximal_repeats(messy, nothing, sizes):
+    docs = messy.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows, least = docs.collect(), {}
+    for r in rows:
+        t = re.findall(WORD, r.text or "")
+        for k in range(len(t) - 19):
+            x = tuple(t[k : k + 20])
+            least[x] = min(least.get(x, (NULL_ID, 0)), (r.doc_id, k))
+    want = set()
+    for r in rows:
+        t, open_ = re.findall(WORD, r.text or ""), None
+        for k in range(len(t) - 18):
+            first = least[tuple(t[k : k + 20])] if k + 20 <= len(t) else (r.doc_id, k)
+            if open_ and (first == (r.doc_id, k) or first != (open_[1], open_[2] + k - open_[0])):
+                want.add((r.doc_id, open_[0], k + 19, open_[1], open_[2]))
+                open_ = None
+            if not open_ and first != (r.doc_id, k):
+                open_ = (k, *first)
+    got = [tuple(r) for r in suffix_tree_dedup.maximal(docs, **sizes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(b - a for _, a, b, _, _ in got) > 100
+    assert suffix_tree_dedup.maximal(nothing, **sizes).count() == 0
+
+
 def shingles(t):
     w = re.findall(FOLDED, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
