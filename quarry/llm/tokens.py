@@ -13,7 +13,7 @@ import numpy as np
 
 #: Entries of a worker's caches of words and of words' parts (about 200 bytes each); beyond this a cache starts anew.
 CACHE_WORDS = 300_000
-CACHE_PARTS = 100_000
+CACHE_PARTS = 60_000
 #: Longer words aren't cached, bytes.
 CACHE_BYTES = 64
 
@@ -23,6 +23,8 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _PLAIN = re.compile(f"[{_LETTERS}!-&(-;=-~¡-¬®-±´-¸»¿×÷]+")
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
+_STOPS = b".,;:!?"
+
 #: The make of file that the quick way is for.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -107,6 +109,11 @@ class Encoder:
         return ids
 
     def _word(self, word: bytes) -> bytes:
+        if self.quick and len(word) <= 1024:
+            if word.isalpha():  # of bytes: ASCII letters alone
+                return _bytes(self.quick(word.lower() + b"\xff"))
+            if word[-1] in _STOPS and word[:-1].isalpha():
+                return _bytes(self.quick(word[:-1].lower() + b"\xff")) + self._part(chr(word[-1]))
         t = word.decode("utf-8", "replace")
         if self.quick and len(t) <= 1024 and _PLAIN.fullmatch(t):
             t = t.lower()
