@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,8 @@ def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stri
     rows = flat.join(F.broadcast(bases), "file").select((F.col("tokens0") + F.col("block") * block).alias("from"), "tokens", "starts", "at")
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block cut where sequences end."""
+        """Each block cut where sequences end; pieces compressed, which the shuffle's own way does less well."""
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in it:
             for start, tokens, docs, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n = len(tokens) // 2
@@ -84,7 +86,7 @@ def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stri
                 edges = np.concatenate(([start], number[1:] * stride, [start + n])) - start
                 slot = permute(number.astype(np.uint64), total, key).astype(np.int64)
                 whose = np.searchsorted(at, edges)
-                parts = [tokens[2 * x : 2 * y] for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+                parts = [squeeze(tokens[2 * x : 2 * y]) for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
                 ids = [docs[x:y] for x, y in zip(whose.tolist(), whose.tolist()[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(number), pa.array((start + edges[:-1]) % stride), pa.array(ids, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["slot", "number", "place", "doc_ids", "tokens"])
 
@@ -97,6 +99,7 @@ def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stri
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pieces of a sequence, which follow each other, as one row; the rows of a shard to its file."""
         write = _Shards(folder) if folder else None
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def rows_of(some: list[tuple]) -> pa.RecordBatch:
             slot, number, doc_ids, tokens = zip(*some, strict=True)
@@ -112,7 +115,8 @@ def materialise_order(docs: DataFrame, tokenizer: str, key: int = 20260918, stri
 
         open_: list[tuple] = []
         for b in it:
-            for slot, number, _, ids, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for slot, number, _, ids, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tokens = unpack(piece)
                 if open_ and open_[-1][0] == slot:
                     open_[-1] = (slot, number, open_[-1][2] + ids, open_[-1][3] + tokens)
                 else:
