@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, licenses, near_duplicates, oracles, packing, quality_rules, secrets, suffix_array_dedup, suffix_tree_dedup, token_counts, training_order
+from quarry.llm import decontaminate, divergence, language, licenses, near_duplicates, oracles, packing, quality_rules, search, secrets, suffix_array_dedup, suffix_tree_dedup, token_counts, training_order
 from quarry.llm.shared import shared_folder, table, texts
 from quarry.llm.tokens import word_bpe
 
@@ -51,6 +51,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdict(quality_rules.ledger(texts(spark, sf_dir, "documents")), "standard/1")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(texts(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(texts(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language_id": op11_language_id,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -71,4 +86,6 @@ ORACLES: dict[str, str] = {
     "op7_secret_scan": oracles.OP7,
     "op8_benchmark_decontamination": oracles.OP8,
     "op10_quality_rules": oracles.OP10,
+    "op12_source_divergence": oracles.OP12,
+    "op13_lexical_search": oracles.OP13,
 }
