@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import near_duplicates, suffix_array_dedup, suffix_tree_dedup
+from quarry.llm.hashing import spans_of, word_hashes
 from quarry.llm.shared import NULL_ID
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -156,6 +157,29 @@ def test_near_duplicates(spark, messy, nothing, small, monkeypatch):
     assert near_duplicates.classes(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [256, 512, 1024, 4096])
+def test_words_on_which_sums_of_powers_collide(spark, n):
+    """A Thue-Morse word and its complement are different words."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"c{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{common} {word}"), (2, f"{common} {other}"), (3, word), (4, other)], "doc_id bigint, text string")
+    assert [r.n_removed for r in suffix_tree_dedup.dedup(docs).collect()] == [0, 0, 0, 0]
+    assert {(r.doc_id, r.class_id, r.n_links) for r in near_duplicates.classes(docs.where("doc_id > 2")).collect()} == {(3, 3, 0), (4, 4, 0)}
+    assert near_duplicates.distinct_documents(docs.where("doc_id > 2")).count() == 2
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(97, 99, k, np.uint8).tobytes() for k in [*range(1, 40), 255, 256, 257, 300] for _ in range(20)]
+    hashes = {}
+    for order in (words, words[::-1]):
+        buf = np.frombuffer(b" ".join(order), np.uint8)
+        for w, h in zip(order, word_hashes(buf, *spans_of(buf != 32)).tolist(), strict=True):
+            assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(set(words))
+
+
 def test_runs_for_a_recall():
     assert near_duplicates.runs_for(0.9) < near_duplicates.runs_for(0.99) < near_duplicates.runs_for(0.9999) <= 12
     for recall in (0.9, 0.99, near_duplicates.RECALL):
