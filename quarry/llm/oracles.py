@@ -39,12 +39,19 @@ c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a), l AS (SELECT a
 SELECT doc_id, class_id, coalesce(l.n, 0)::BIGINT AS n_links FROM c LEFT JOIN l USING (doc_id)"""
 
 
+_KEY_CHARS = r"[A-Za-z0-9+/=\\]"
+_KEY_LINE = rf"[ \t]*(?:[A-Za-z0-9-]+:[^\n]*|{_KEY_CHARS}*)[ \t\r]*"
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?s:.*?)-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----|"
+    rf"{_KEY_CHARS}*(?:[ \t]+{_KEY_CHARS}{{16,}})*(?:[ \t\r]*\n(?:{_KEY_LINE}\n)*(?:{_KEY_LINE}\z|[ \t]*{_KEY_CHARS}{{16,}})?)?)"
+)
+
 #: kind, regex, group, least code points of the group; the first three are the contract's.
 _SECRETS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     ("access", "AKIA[A-Z0-9]+", 0, 18),
     ("hex", "[0-9a-f]+", 0, 16),
-    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*(?:-[^-]+){0,16}-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\\\r\n]*)", 0, 1),
+    ("private_key", _PRIVATE_KEY, 0, 1),
     ("github", "gh[oprsu]_[A-Za-z0-9]{36,}", 0, 1),
     ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     ("google", "AIza[A-Za-z0-9_-]{35,}", 0, 1),
