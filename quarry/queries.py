@@ -154,7 +154,7 @@ def dedup_normalized(spark, sf_dir):
 
 @query(f"{judged_ctes()} SELECT id, source, domain, strlen(t)::BIGINT AS n_bytes, t AS text FROM judged WHERE verdict IS NULL")
 def clean_documents(spark, sf_dir):
-    return clean.kept(clean.judged(records.documents(spark, sf_dir))).select("id", "source", "domain", "n_bytes", "text")
+    return clean.kept(clean.judged(records.documents(spark, sf_dir), text=True)).select("id", "source", "domain", "n_bytes", "text")
 
 
 FUNNEL = f"SELECT v.verdict, v.ordinal::INTEGER AS ordinal, count(j.seq)::BIGINT AS docs, coalesce(sum(j.n_bytes), 0)::BIGINT AS bytes FROM {VERDICT_ROWS} LEFT JOIN judged j USING (verdict) GROUP BY ALL"
@@ -192,13 +192,13 @@ def funnel_pct(spark, sf_dir):
 def per_source_stats(spark, sf_dir):
     judged = clean.judged(records.documents(spark, sf_dir))
     kept = F.col("verdict").isNull()
-    return judged.groupBy("source").agg(F.count("*").alias("docs_in"), F.count_if(kept).alias("docs_out"), F.sum(F.when(kept, F.octet_length("clean_text")).otherwise(0)).alias("bytes_out")).orderBy("source")
+    return judged.groupBy("source").agg(F.count("*").alias("docs_in"), F.count_if(kept).alias("docs_out"), F.sum(F.when(kept, F.col("clean_bytes")).otherwise(0)).alias("bytes_out")).orderBy("source")
 
 
 @query(f"{judged_ctes()} SELECT count(*)::BIGINT AS docs_in, sum(n_bytes)::BIGINT AS bytes_in, count(*) FILTER (verdict IS NULL)::BIGINT AS docs_out, coalesce(sum(strlen(t)) FILTER (verdict IS NULL), 0)::BIGINT AS bytes_out FROM judged")
 def clean_totals(spark, sf_dir):
     judged, kept = clean.judged(records.documents(spark, sf_dir)), F.col("verdict").isNull()
-    return judged.agg(F.count("*").alias("docs_in"), F.sum("n_bytes").alias("bytes_in"), F.count_if(kept).alias("docs_out"), F.coalesce(F.sum(F.when(kept, F.octet_length("clean_text"))), F.lit(0)).cast("bigint").alias("bytes_out"))
+    return judged.agg(F.count("*").alias("docs_in"), F.sum("n_bytes").alias("bytes_in"), F.count_if(kept).alias("docs_out"), F.coalesce(F.sum(F.when(kept, F.col("clean_bytes"))), F.lit(0)).cast("bigint").alias("bytes_out"))
 
 
 @query(f"""{judged_ctes()}, g AS (SELECT coalesce(verdict, 'kept') AS verdict, source, n_bytes, CASE WHEN verdict IS NULL THEN strlen(t) ELSE 0 END AS n_out FROM judged)
@@ -272,7 +272,7 @@ def limit_first_n(spark, sf_dir):
 
 # --- tokens -------------------------------------------------------------------------------------
 
-TOKENS = r"""tok AS (SELECT doc_id AS seq, id, source, split, strlen(text)::BIGINT AS n_bytes, list_append(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'), lambda w: ('0x' || substr(sha256(w), 1, 4))::INTEGER), 65536) AS tokens
+TOKENS = r"""tok AS (SELECT doc_id AS seq, id, source, split, strlen(text)::BIGINT AS n_bytes, list_append(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'), lambda w: (ascii(w) * 512 + ascii(right(w, 1)) * 4 + length(w) % 4)::INTEGER), 65535) AS tokens
   FROM (SELECT *, CASE WHEN ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 100 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, source || ':' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents)))"""
 FLAT = """flat AS (SELECT split, seq, pos, token, (row_number() OVER (PARTITION BY split ORDER BY seq, pos) - 1) AS n FROM (SELECT split, seq, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM tok))"""
 BLOCKS = """blocks AS (SELECT split, (n // 1024)::BIGINT AS block_id, list(token ORDER BY n) AS tokens FROM flat GROUP BY ALL HAVING count(*) = 1024)"""
@@ -280,7 +280,7 @@ BLOCKS = """blocks AS (SELECT split, (n // 1024)::BIGINT AS block_id, list(token
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with split (a tenth val) and stand-in tokens that SQL can make too."""
-    df = records.documents(spark, sf_dir)
+    df = records.documents(spark, sf_dir, in_order=True)
     return df.select("seq", "id", "source", "n_bytes", split_for(F.col("id"), 100).alias("split"), packing.word_tokens(quality_rules.words(F.lower("text"))).alias("tokens"))
 
 
@@ -367,7 +367,7 @@ def batch_drop_last(spark, sf_dir):
 PADDED = f"""WITH {TOKENS}, d AS (SELECT seq, seq // 8 AS batch_id, tokens[1:256] AS t FROM tok), w AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_id) AS w FROM d)"""
 
 
-@query(f"""{PADDED} SELECT seq, batch_id, md5(array_to_string(list_concat(t, list_transform(range(w - len(t)), lambda x: 65536)), ',')) AS input_ids,
+@query(f"""{PADDED} SELECT seq, batch_id, md5(array_to_string(list_concat(t, list_transform(range(w - len(t)), lambda x: 65535)), ',')) AS input_ids,
   md5(array_to_string(list_concat(list_transform(t, lambda x: 1), list_transform(range(w - len(t)), lambda x: 0)), ',')) AS attention_mask, md5(array_to_string(list_concat(t, list_transform(range(w - len(t)), lambda x: -100)), ',')) AS labels FROM w""")
 def pad_batches(spark, sf_dir):
     docs = packing.batch_ids(_tokens(spark, sf_dir), ["seq"], 8, drop_last=False, rank="seq")
@@ -394,7 +394,7 @@ def _vocabulary() -> str:
 @query()
 def bpe_tokens(spark, sf_dir):
     """Ids of each document's normalised text by the byte-level vocabulary."""
-    docs = clean.kept(clean.judged(records.documents(spark, sf_dir)))
+    docs = clean.kept(clean.judged(records.documents(spark, sf_dir), text=True))
     return docs.select("seq", "id", split_for(F.col("id")).alias("split"), bpe.encode(F.col("text"), _vocabulary(), "<|endoftext|>").alias("tokens"))
 
 
@@ -660,9 +660,9 @@ def cleaning_manifest(spark, sf_dir):
 
 
 @query(f"""WITH {TOKENS}, n AS (SELECT split, source, len(tokens) AS n FROM tok) SELECT '03-tokenization' AS stage, 1024::BIGINT AS block_size, count(*)::BIGINT AS documents, max(n)::BIGINT AS longest, count(DISTINCT source)::BIGINT AS n_sources,
-  sum(n) FILTER (split = 'train')::BIGINT AS train_tokens, (sum(n) FILTER (split = 'train') % 1024)::BIGINT AS train_dropped, 65537::BIGINT AS vocabulary FROM n""")
+  sum(n) FILTER (split = 'train')::BIGINT AS train_tokens, (sum(n) FILTER (split = 'train') % 1024)::BIGINT AS train_dropped, 65536::BIGINT AS vocabulary FROM n""")
 def token_manifest(spark, sf_dir):
-    tokenizer = {"id": "word digests", "vocab_size": packing.EOS + 1, "eos_token_id": packing.EOS}
+    tokenizer = {"id": "letters of words", "vocab_size": packing.EOS + 1, "eos_token_id": packing.EOS}
     made = manifests.token_manifest(spark, split_counts(spark, sf_dir), tokens_per_source(spark, sf_dir), doc_length_distribution(spark, sf_dir), tokenizer, packing.BLOCK, {"val_per_mille": 100}, STARTED)
     return _said_in(made, stage="$.stage", block_size="$.format.block_size", documents="$.document_token_length.n_docs", longest="$.document_token_length.most", n_sources="#$.tokens_per_source", train_tokens="$.splits[0].tokens", train_dropped="$.splits[0].dropped", vocabulary="$.tokenizer.vocab_size")
 
@@ -681,12 +681,11 @@ def jsonl_round_trip(spark, sf_dir):
     return records.read_jsonl(spark, path, limit=40).select("id", "n_bytes", "sha256")
 
 
-@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT split, block_id, md5(array_to_string(list_transform(tokens, x -> least(x, 65535)), ',')) AS tokens FROM blocks".replace("x -> least(x, 65535)", "lambda x: least(x, 65535)"))
+@query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT split, block_id, md5(array_to_string(tokens, ',')) AS tokens FROM blocks")
 def token_file_round_trip(spark, sf_dir):
     """Blocks written to flat files of 16-bit ids, and read again."""
     folder = f"{storage.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    blocks = _blocks(spark, sf_dir).withColumn("tokens", F.transform("tokens", lambda t: F.least(t, F.lit(65_535))))
-    token_files.write_blocks(blocks, folder, packing.BLOCK, per_file=64)
+    token_files.write_blocks(_blocks(spark, sf_dir), folder, packing.BLOCK, per_file=64)
     return token_files.read_blocks(spark, folder, packing.BLOCK, per_file=64).select("split", "block_id", *_said("tokens"))
 
 

@@ -36,9 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts are much work."""
-    return dealt(table(spark, sf_dir, name))
+def texts(spark: SparkSession, sf_dir: str, name: str, order: str | None = None) -> DataFrame:
+    """A table whose texts are much work; what is dealt out comes in ranges of `order`, if that is given."""
+    return dealt(table(spark, sf_dir, name), order)
 
 
 def raw_records(df: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def raw_records(df: DataFrame) -> DataFrame:
     return df.select("seq", record_id(F.col("source"), F.col("n")).alias("id"), "source", "domain", "shard", "url", "title", digest(F.col("text")).alias("sha256"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     none = F.lit(None).cast("string")
-    return raw_records(texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("n"), "source", F.col("lang").alias("domain"), (F.col("doc_id") % 16).cast("int").alias("shard"), none.alias("url"), none.alias("title"), "text"))
+    return raw_records(texts(spark, sf_dir, "documents", "doc_id" if in_order else None).select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("n"), "source", F.col("lang").alias("domain"), (F.col("doc_id") % 16).cast("int").alias("shard"), none.alias("url"), none.alias("title"), "text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,9 @@ def too_few_files(df: DataFrame) -> int:
     return cores
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df as it is, or, if it is a small table of too few files, dealt out to all cores."""
+def dealt(df: DataFrame, order: str | None = None) -> DataFrame:
+    """df as it is, or, if it is a small table of too few files, dealt out to all cores: in turn, or in ranges of a column."""
+    if not (n := too_few_files(df)):
+        return df
     # the filter, always true and not deterministic, keeps expressions over the rows from being moved to before the shuffle
-    return df.repartition(n).where(F.monotonically_increasing_id() >= 0) if (n := too_few_files(df)) else df
+    return (df.repartitionByRange(n, order) if order else df.repartition(n)).where(F.monotonically_increasing_id() >= 0)

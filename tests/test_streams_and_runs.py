@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,51 @@ def test_numbered(spark):
     assert numbered(df.limit(0), ["v"], "n").count() == 0
 
 
+def shuffled_bytes(spark, action):
+    """Bytes that the stages of an action write for others to read."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    action()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_blocks_are_cut_where_documents_lie(spark):
+    """Of documents whose partitions are ranges, less than a twentieth of the tokens is shuffled: edges of blocks alone."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.pmod(F.hash(F.col("id"), k), F.lit(65_000)))
+    docs = spark.range(0, 12_000, 1, 4).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("split"), ids.alias("tokens"))
+    count = []
+    moved = shuffled_bytes(spark, lambda: count.append(packing.pack(docs).count()))
+    assert count[0] == 5_400_000 // 1024 + 600_000 // 1024
+    assert 0 < moved < 0.05 * 2 * 6_000_000
+    mixed = packing.pack(docs.repartition(4))
+    assert mixed.exceptAll(packing.pack(docs)).isEmpty() and mixed.count() == count[0]
+
+
+@pytest.mark.parametrize("ahead", [0, 1, 5, 7])
+def test_stretches_of_any_length(ahead):
+    """Pieces and whole blocks of a stretch that starts anywhere and comes in parts, put together."""
+    rng, block = random.Random(ahead), 7
+    for _ in range(200):
+        start, n = rng.randint(0, 30), rng.randint(0, 60)
+        stretch, got, at = packing._Stretch(start, block, ahead), {}, start
+        while at < start + n:
+            size = rng.randint(0, start + n - at)
+            pieces, first, whole = stretch.take(np.arange(at, at + size, dtype=np.int32))
+            pieces += [(first + k, 0, row) for k, row in enumerate(whole)]
+            for k, place, ids in pieces:
+                got.setdefault(k, []).extend(zip(range(place, place + len(ids)), ids.tolist(), strict=True))
+            at += size
+        for k, place, ids in stretch.rest():
+            got.setdefault(k, []).extend(zip(range(place, place + len(ids)), ids.tolist(), strict=True))
+        want = {k: x for k in range(20) if (x := [(p, k * block + p) for p in range(block + ahead) if start <= k * block + p < start + n])}
+        assert {k: sorted(x) for k, x in got.items()} == want
+
+
 def test_first_of_a_key(spark):
     rng = random.Random(3)
     rows = [(k, None if k % 10 == 0 else "hot" if k % 3 == 0 else f"k{rng.randint(0, 40)}") for k in range(500)]

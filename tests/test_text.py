@@ -95,7 +95,7 @@ def test_gates_and_funnel(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        judged = clean.judged(raw(spark, [t for t, _ in GATES]).repartition(int(partitions)))
+        judged = clean.judged(raw(spark, [t for t, _ in GATES]).repartition(int(partitions)), text=True)
         assert [r.verdict for r in judged.orderBy("seq").collect()] == [v for _, v in GATES]
         funnel = {r.verdict: (r.docs, r.bytes) for r in clean.funnel(judged).collect()}
         assert list(funnel) and set(funnel) == set(quality.VERDICTS)
@@ -117,6 +117,40 @@ def test_hot_key_is_split(spark):
     assert got.where("first").count() == 1 + df.where("key <> 'hot'").count()
 
 
+def test_bitmaps(spark):
+    """Numbers at the edges of buckets, far apart, and ranges of bitmaps that hold one bucket each."""
+    from quarry.operators import dedup
+
+    numbers = [0, 1, 2, 7, 8, 32767, 32768, 32769, 65536, 65537, 10**12, 10**12 + 8, 5 * 10**12]
+    df = spark.createDataFrame([(n, f"k{n}") for n in numbers] + [(n + 3, f"k{n}") for n in numbers[:1] + numbers[8:]] + [(10**13, None)], "seq bigint, key string").repartition(5)
+    found = dedup.survivors(df, "key", "seq")
+    for most in (dedup.MOST, 4096, 8192):
+        got = dedup.mark(df, found, "seq", "first", most).collect()
+        assert sorted(r.seq for r in got if r.first) == numbers and len(got) == df.count()
+    assert dedup.mark(df.limit(0), found, "seq", "first").count() == 0
+    assert dedup.mark(df, found.limit(0), "seq", "first").where("first").count() == 0
+
+
+def test_texts_are_scanned_once_and_not_shuffled(spark, tmp_path, monkeypatch):
+    from quarry.operators import dedup
+    from quarry.sources import storage
+
+    spark.createDataFrame([(k, words(60, f"v{k % 40}"), "en", "s") for k in range(80)], "doc_id bigint, text string, lang string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    plans = []
+    for m in (clean, dedup):
+        monkeypatch.setattr(m, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or storage.materialise(df))
+    for text in (False, True):
+        plans.clear()
+        last = clean.judged(records.documents(spark, str(tmp_path)), text=text)
+        last = clean.kept(last) if text else clean.funnel(last)
+        plans.append(last._jdf.queryExecution().executedPlan().toString())
+        assert sum(p.count("FileScan parquet [doc_id") for p in plans) == 1 and "Exchange" not in plans[0]
+        shuffled = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+        assert shuffled and not any("text" in line for line in shuffled)
+        assert not any("Join" in line and "BroadcastHashJoin" not in line and "verdict" not in line for line in plans[-1].splitlines())
+    assert last.count() == 40
+
+
 def test_split_is_a_partition_by_id_alone(spark):
     df = spark.range(2000).select(F.concat(F.lit("wikipedia:"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("id"))
     val = df.where(split_for(F.col("id"), 100) == "val").count()
