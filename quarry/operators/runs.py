@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.schedule import finite_mean
-from quarry.sources.storage import materialise
+from quarry.operators.prefix import affine_scan
+from quarry.sources.storage import file_system
 
 LOG = "kind string, step bigint, epoch int, tokens bigint, lr double, loss double, grad_norm double, tokens_per_sec double, val_loss double, val_ppl double, train_loss double, train_ppl double, seconds double"
 
@@ -53,15 +55,69 @@ def summary(name: str, log: DataFrame, history: DataFrame, parameters: int) -> D
     return own.join(history.where(F.col("run") == name).groupBy("run").agg(epochs.alias("epochs")), "run", "left").withColumn("parameters", F.lit(parameters))
 
 
+def _pointer(path: str) -> str:
+    return f"{path}/CURRENT"
+
+
+def segments(spark: SparkSession, path: str) -> list[str]:
+    """The folders that make the log now, in order; none if there is no log."""
+    fs, at = file_system(spark, _pointer(path))
+    if not fs.exists(at):
+        return []
+    stream = fs.open(at)
+    try:
+        return [f"{path}/{name}" for name in bytes(stream.readAllBytes()).decode().split()]
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Make these folders the log: the pointer is written aside and takes the old one's place by one rename."""
+    fs, at = file_system(spark, f"{_pointer(path)}-{uuid.uuid4().hex}")
+    stream = fs.create(at)
+    try:
+        stream.write(bytearray("\n".join(names).encode()))
+    finally:
+        stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    ways = spark.sparkContext._gateway.new_array(options, 1)
+    ways[0] = options.OVERWRITE
+    to = spark._jvm.org.apache.hadoop.fs.Path(_pointer(path))
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(at, to, ways)
+
+
+def _written(records: DataFrame, path: str) -> str:
+    """A new segment of the log, which nothing points at yet."""
+    name = f"segment-{uuid.uuid4().hex}"
+    records.write.option("ignoreNullFields", True).json(f"{path}/{name}")
+    return name
+
+
+def read_log(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
+    """run and the records of a log."""
+    schema = f"run string, {schema}"
+    now = segments(spark, path)
+    return spark.read.schema(schema).json(now) if now else spark.createDataFrame([], schema)
+
+
 def append_log(records: DataFrame, path: str) -> None:
-    """Add records (run, ...) to a log of JSON lines; nothing written before changes."""
-    records.write.mode("append").option("ignoreNullFields", True).json(path)
+    """Add records (run, ...) to a log of JSON lines: a segment of their own, which is there as a whole or not at all.  One writer at a time."""
+    spark = records.sparkSession
+    _point(spark, path, [*(s.rsplit("/", 1)[1] for s in segments(spark, path)), _written(records, path)])
 
 
 def resume_log(spark: SparkSession, path: str, at: DataFrame, schema: str = LOG) -> None:
-    """Drop a log's records past each run's checkpoint (run, checkpoint), so that it can go on from there."""
-    kept = materialise(resumed(spark.read.schema(f"run string, {schema}").json(path), at))
-    kept.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    """Drop a log's records past each run's checkpoint (run, checkpoint), so that it can go on from there.
+
+    What is kept is a new segment.  Stopped anywhere, the log is the old one or the new one; what nothing points at any more is removed at
+    the end, or by the next resume.
+    """
+    kept = _written(resumed(read_log(spark, path, schema), at), path)
+    _point(spark, path, [kept])
+    fs, top = file_system(spark, path)
+    for s in fs.listStatus(top):
+        if s.getPath().getName() not in ("CURRENT", kept):
+            fs.delete(s.getPath(), True)
 
 
 def stage_seconds(log: DataFrame) -> DataFrame:
@@ -77,14 +133,16 @@ def weighted_perplexity(losses: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ema(df: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """by, order, value, ema: smoothed from the first value on.  A run's points meet in one group: a log's length, not a corpus's."""
-    df = df.select(*by, order, value, F.col(value).cast("double").alias("ema"))
-
-    def smooth(points: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values(order)
-        return points.assign(ema=points["ema"].ewm(alpha=alpha, adjust=False).mean())
-
-    return df.groupBy(*by).applyInPandas(smooth, df.schema)
+    """by, order, value, ema: smoothed from the first value on.  order is a row's own number in its run.
+
+    A step takes (1 - alpha) of what is there and adds alpha of the value, the first one the whole value: a scan of affine
+    steps, folded in spans, so that a log of any length has many tasks.
+    """
+    first = df.groupBy(*by).agg(F.min(order).alias("_first"))  # a row for each run
+    rows = df.select(*by, order, value).join(first, by)
+    starts = F.col(order) == F.col("_first")
+    factor, offset = F.when(starts, 0.0).otherwise(1 - alpha), F.col(value).cast("double") * F.when(starts, 1.0).otherwise(alpha)
+    return affine_scan(rows, by, order, factor, offset, "ema").select(*by, order, value, "ema")
 
 
 def past(df: DataFrame, share: float = 0.1, by: str = "run", tokens: str = "tokens") -> DataFrame:

@@ -19,7 +19,7 @@ from quarry.functions.normalize import normalize
 from quarry.operators import bpe, loader, packing, runs, sampling, sampling_math, sweep
 from quarry.operators.dedup import mark_first
 from quarry.plans import clean
-from quarry.sources import manifests, records, storage, token_files
+from quarry.sources import manifests, records, snapshots, storage, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -270,6 +270,20 @@ def limit_first_n(spark, sf_dir):
     return sampling.first_rows(records.documents(spark, sf_dir).select("seq", "id"), "seq", 0)
 
 
+@query(f"WITH {RAW} SELECT seq, id FROM raw ORDER BY seq LIMIT (SELECT count(*) // 2 FROM documents)")
+def first_half(spark, sf_dir):
+    """The first half of the documents by number: a cut found by histograms, then a filter."""
+    docs = records.documents(spark, sf_dir).select("seq", "id")
+    return sampling.first_rows(docs, "seq", docs.count() // 2, few=16)
+
+
+@query(f"WITH {RAW} SELECT seq, id FROM raw ORDER BY sha256('1337:' || seq), seq LIMIT (SELECT count(*) // 2 FROM documents)")
+def half_sample(spark, sf_dir):
+    """Just half of the documents, by digest: likewise."""
+    docs = records.documents(spark, sf_dir).select("seq", "id")
+    return sampling.exact_sample(docs, "seq", docs.count() // 2, 1337, few=16)
+
+
 # --- tokens -------------------------------------------------------------------------------------
 
 TOKENS = r"""tok AS (SELECT doc_id AS seq, id, source, split, strlen(text)::BIGINT AS n_bytes, list_append(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'), lambda w: (ascii(w) * 512 + ascii(right(w, 1)) * 4 + length(w) % 4)::INTEGER), 65535) AS tokens
@@ -424,6 +438,26 @@ def micro_batches(spark, sf_dir):
     return rounded(loader.micro_batches(loader_batches(spark, sf_dir), 3), "share", digits=9).select("block_id", "batch_id", "micro_id", "share")
 
 
+def _pinned(spark: SparkSession, sf_dir: str, columns: list[str], **options) -> DataFrame:
+    """The documents' files pinned as a source, and read as that."""
+    folder = f"{storage.shared_folder(spark)}/pins-{uuid.uuid4().hex}"
+    revision = snapshots.pin(spark, sorted(records.table(spark, sf_dir, "documents").inputFiles()), folder, "documents")
+    return snapshots.select(spark, folder, "documents", revision, columns, drill=f"{folder}/failed", **options)
+
+
+@query(f"WITH {RAW} SELECT seq, source, n_bytes, sha256 FROM raw")
+def pinned_documents(spark, sf_dir):
+    """Documents of a pinned revision; of five columns three are read."""
+    docs = _pinned(spark, sf_dir, ["doc_id", "source", "text"], fail_after=1 << 62)
+    return docs.select(F.col("doc_id").alias("seq"), "source", F.octet_length("text").cast("bigint").alias("n_bytes"), digest(F.col("text")).alias("sha256"))
+
+
+@query("SELECT doc_id AS seq, source FROM documents ORDER BY doc_id OFFSET 137")
+def pinned_rest(spark, sf_dir):
+    """What is left of a shard of which 137 rows have been read, by a reader that fails on its way and goes on."""
+    return _pinned(spark, sf_dir, ["source", "doc_id"], skip=137, fail_after=40).select(F.col("doc_id").alias("seq"), "source")
+
+
 @query("SELECT doc_id AS seq FROM documents WHERE doc_id % 16 = 3 ORDER BY doc_id OFFSET 5")
 def resume_shard(spark, sf_dir):
     return loader.resume_shard(records.documents(spark, sf_dir).select("seq", "shard"), 3, 5).select("seq")
@@ -673,12 +707,16 @@ def records_with_source(spark, sf_dir):
     return records.with_source(records.documents(spark, sf_dir).select("seq", "source"), records.registry(spark, more)).select("seq", "license")
 
 
-@query(f"WITH {RAW} SELECT id, n_bytes, sha256 FROM raw ORDER BY seq LIMIT 40")
+@query(f"""WITH RECURSIVE {RAW}, j AS (SELECT *, strlen(to_json({{'seq': seq, 'id': id, 'source': source, 'domain': domain, 'shard': shard, 'url': url, 'title': NULL::VARCHAR, 'sha256': sha256, 'n_bytes': n_bytes, 'text': text}})) + 1 AS size FROM raw),
+b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM j),
+f AS (SELECT 0::BIGINT AS file, 0::BIGINT AS at UNION ALL SELECT f.file + 1, min(b.before)::BIGINT FROM f JOIN b ON b.before >= f.at + 100000 GROUP BY f.file)
+SELECT file, id, n_bytes, sha256, (row_number() OVER (PARTITION BY file ORDER BY seq) - 1)::BIGINT AS nth FROM (SELECT b.*, f.file FROM b ASOF JOIN f ON b.before >= f.at)""")
 def jsonl_round_trip(spark, sf_dir):
-    """The first records of gzipped JSON lines written in files of about 100 kB."""
+    """All records of gzipped JSON lines written in files of about 100 kB, with the file of each and its place there."""
     path = f"{storage.shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
     records.write_jsonl(records.documents(spark, sf_dir), path, "seq", 100_000)
-    return records.read_jsonl(spark, path, limit=40).select("id", "n_bytes", "sha256")
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("place")) - 1
+    return records.read_jsonl(spark, path).withColumn("nth", nth.cast("bigint")).select("file", "id", "n_bytes", "sha256", "nth")
 
 
 @query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT split, block_id, md5(array_to_string(tokens, ',')) AS tokens FROM blocks")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import digest, record_id
-from quarry.operators.prefix import running_sum
-from quarry.sources.storage import dealt, materialise
+from quarry.sources.rotation import first_records
+from quarry.sources.storage import dealt
 
 RAW = "id string, source string, domain string, shard int, url string, title string, sha256 string, n_bytes bigint, text string"
 CLEAN = "id string, source string, domain string, url string, title string, n_bytes bigint, text string"
@@ -62,12 +69,19 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_shards(df: DataFrame, seq: str, most_bytes: int) -> DataFrame:
-    """df with file: records in sequence, a new file wherever the JSON bytes before them have filled another `most_bytes`.
+    """df with file: records in sequence, a new file wherever the one before has reached `most_bytes` of JSON lines.
 
-    A file is as large as that and one record at most.
+    A file is as large as that and one record at most.  df is read twice, the first time for the lengths of its lines; the files'
+    first numbers then go to the records.
     """
-    df = materialise(df.withColumn("_size", (F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) + 1).cast("bigint")))
-    return running_sum(df, "_size", seq, "_before").withColumn("file", F.expr(f"_before DIV {most_bytes}")).drop("_size", "_before")
+    size = (F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) + 1).cast("bigint")
+    firsts = np.array(first_records(df.select(F.col(seq).alias("seq"), size.alias("size")), most_bytes), np.int64)
+
+    @F.pandas_udf("bigint")
+    def file_of(numbers: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts, numbers.to_numpy(), side="right") - 1)
+
+    return df.withColumn("file", file_of(F.col(seq).cast("bigint")))
 
 
 def write_jsonl(df: DataFrame, path: str, seq: str, most_bytes: int = 256 << 20, overwrite: bool = False) -> None:
@@ -85,6 +99,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RAW, limit: int | N
     return df if limit is None else df.orderBy("file", "place").limit(limit)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, n_bytes and SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+#: Files up to this size are read as one value.
+WHOLE = 256 << 20
+#: Bytes of a longer file that are read at a time.
+RANGE = 8 << 20
+
+
+def digests(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """path, n_bytes and SHA-256 of each file; of a long file a task holds one range of bytes at a time."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    # the content isn't asked for, so it isn't read here
+    large = files.where(F.col("length") > whole).select("path", "length")
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs, name = pyarrow.fs.FileSystem.from_uri(at)
+                sha, done = hashlib.sha256(), 0
+                with fs.open_input_stream(name) as f:
+                    while part := f.read(RANGE):
+                        sha.update(part)
+                        done += len(part)
+                if done != n:
+                    raise OSError(f"{at}: {done} bytes of {n}")
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], names=["path", "n_bytes", "sha256"])
+
+    return small.union(large.mapInArrow(streamed, "path string, n_bytes bigint, sha256 string"))

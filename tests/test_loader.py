@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 
 from quarry.functions.quality import Limits
@@ -103,4 +105,88 @@ def test_log_goes_on(spark, tmp_path):
     runs.append_log(spark.createDataFrame([step("a", k) for k in range(1, 9)] + [step("b", 1)], schema), path)
     runs.resume_log(spark, path, spark.createDataFrame([("a", 5)], "run string, checkpoint bigint"))
     runs.append_log(spark.createDataFrame([step("a", 6)], schema), path)
-    assert sorted((r.run, r.step) for r in spark.read.json(path).collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("a", 6), ("b", 1)]
+    assert sorted((r.run, r.step) for r in runs.read_log(spark, path).collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("a", 6), ("b", 1)]
+
+
+def test_log_is_never_half_written(spark, tmp_path, monkeypatch):
+    """Stopped between writing what is kept and pointing at it, or in the middle of an append, the log is what it was."""
+    path = str(tmp_path / "log")
+    rows = lambda *steps: spark.createDataFrame([("a", "step", k) for k in steps], "run string, kind string, step bigint")
+    at = spark.createDataFrame([("a", 2)], "run string, checkpoint bigint")
+    said = lambda: sorted(r.step for r in runs.read_log(spark, path).collect())
+    assert said() == []
+    runs.append_log(rows(1, 2, 3), path)
+    runs.append_log(rows(4), path)
+    with monkeypatch.context() as m:
+        m.setattr(runs, "_point", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        for stopped in (lambda: runs.resume_log(spark, path, at), lambda: runs.append_log(rows(9), path)):
+            with pytest.raises(KeyboardInterrupt):
+                stopped()
+            assert said() == [1, 2, 3, 4]
+    runs.resume_log(spark, path, at)
+    assert said() == [1, 2]
+    runs.append_log(rows(3), path)
+    # what was left behind is gone
+    assert said() == [1, 2, 3] and len(runs.segments(spark, path)) == 2 and sum(p.name.startswith("segment") for p in (tmp_path / "log").iterdir()) == 2
+
+
+def test_files_begin_where_the_last_one_is_full(spark):
+    """Against the rule followed record by record: records larger than a file, than a range, and small ranges and trees."""
+    from quarry.sources.rotation import first_records
+
+    rng = random.Random(6)
+    for files, fan, big in ((64, 16, 30), (2, 2, 30), (2, 3, 900), (3, 2, 5000)):
+        sizes = [rng.choice([1, 2, 7, big]) if rng.random() < 0.1 else rng.randint(1, 20) for _ in range(400)]
+        want, filled = [], 10**9
+        for k, n in enumerate(sizes):
+            if filled >= 100:
+                want.append(7 * k)
+                filled = 0
+            filled += n
+        df = spark.createDataFrame([(7 * k, n) for k, n in enumerate(sizes)], "seq bigint, size bigint").repartition(3)
+        assert first_records(df, 100, files, fan) == want, (files, fan, big)
+    assert first_records(df.limit(0), 100) == []
+
+
+def test_pinned_source(spark, tmp_path):
+    """Columns asked for alone; rows after those read; a reader that fails midway; a file that isn't what was pinned."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quarry.sources import snapshots
+
+    paths = []
+    for k in range(3):
+        rows = range(10_000 * k, 10_000 * k + 9000)
+        pq.write_table(pa.table({"text": [f"t{i}" for i in rows], "doc_id": list(rows), "gone": [None] * 9000}), f"{tmp_path}/{k}.parquet", row_group_size=2500)
+        paths.append(f"file://{tmp_path}/{k}.parquet")
+    folder = f"file://{tmp_path}/pins"
+    revision = snapshots.pin(spark, paths, folder, "src")
+    assert snapshots.pin(spark, paths[::-1], folder, "src") == revision
+    whole = snapshots.select(spark, folder, "src", revision)
+    assert whole.columns == ["text", "doc_id", "gone"] and whole.count() == 27_000 and whole.rdd.getNumPartitions() == 3
+    for skip, fail_after in ((0, 5000), (2500, 1), (8999, 0), (5100, 3000), (9000, 0)):
+        drill = f"file://{tmp_path}/failed-{skip}"
+        got = snapshots.select(spark, folder, "src", revision, ["doc_id", "text"], skip=skip, drill=drill, fail_after=fail_after)
+        rows = [tuple(r) for r in got.collect()]
+        assert sorted(rows) == [(i, f"t{i}") for k in range(3) for i in range(10_000 * k + skip, 10_000 * k + 9000)]
+        assert (tmp_path / f"failed-{skip}").exists() == (skip < 9000)
+    with pytest.raises(Exception, match="drill"):
+        snapshots.select(spark, folder, "src", revision, ["doc_id"], retries=-1, drill=f"file://{tmp_path}/again", fail_after=10).count()
+    pq.write_table(pa.table({"text": ["x"], "doc_id": [1], "gone": [None]}), f"{tmp_path}/1.parquet")
+    with pytest.raises(Exception, match="isn't what was pinned"):
+        snapshots.select(spark, folder, "src", revision, ["doc_id"]).collect()
+
+
+def test_digest_of_a_long_file(spark, tmp_path):
+    """3 GB of zeros (which take no disk) are read in ranges of bytes; short files as before."""
+    import hashlib
+
+    with open(tmp_path / "long", "wb") as f:
+        f.truncate(3 << 30)
+    (tmp_path / "short").write_bytes(b"abc")
+    got = {r.path.rsplit("/", 1)[1]: (r.n_bytes, r.sha256) for r in records.digests(spark, str(tmp_path)).collect()}
+    zeros, sha = bytes(1 << 24), hashlib.sha256()
+    for _ in range(192):
+        sha.update(zeros)
+    assert got == {"long": (3 << 30, sha.hexdigest()), "short": (3, hashlib.sha256(b"abc").hexdigest())}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import schedule
 from quarry.operators import bpe, packing, runs, sampling, sampling_math, sweep
 from quarry.operators.dedup import mark_first
-from quarry.operators.prefix import numbered, running_sum
+from quarry.operators.prefix import affine_scan, numbered, running_sum
 from quarry.streaming import dedup
 
 
@@ -141,12 +141,13 @@ def test_padding(spark):
     assert sorted(r.seq for r in full.collect()) == [0, 1]
 
 
-def test_stratified_walk(spark):
+@pytest.mark.parametrize("every", [2, sampling.EVERY])
+def test_stratified_walk(spark, every):
     rng = random.Random(4)
     rows = [(k, f"s:{k:08d}", rng.choice(["a", "b"]), k % 5, rng.choice([0, 10, 50, 400])) for k in range(400)]
     df = spark.createDataFrame([(s, i, src, sh, n, "x" * n if n else "  ") for s, i, src, sh, n in rows], "seq bigint, id string, source string, shard int, n_bytes bigint, text string")
     targets = {"a": 3000, "b": 10**6}
-    got = sampling.stratified(df, spark.createDataFrame(list(targets.items()), "name string, target bigint"), 7, per_shard=1000).collect()
+    got = sampling.stratified(df, spark.createDataFrame(list(targets.items()), "name string, target bigint"), 7, per_shard=1000, every=every).collect()
     order = {(r.source, r.shard): r.pos for r in sampling.shard_order(df.where(~sampling.is_blank()), 7).collect()}
     for src, target in targets.items():
         n, taken, want = max(1, min(5, target // 1000)), 0, []
@@ -165,6 +166,53 @@ def test_stratified_walk(spark):
         assert [r.id for r in mine] == [f"{src}:{k:08d}" for k in range(len(want))]
 
 
+def test_fold_has_a_row_a_shard(spark, monkeypatch):
+    """Many documents, few of them near a cut: no Python group has more rows than a source has shards."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(real):
+        def work(rows):
+            seen.add(int(len(rows) > 5) + sum(len(x) > 60 for x in rows.get("sums", []) if x is not None))
+            return real(rows)
+
+        return work
+
+    for name in ("_reach", "_fold"):
+        monkeypatch.setattr(sampling, name, counted(getattr(sampling, name)))
+    df = spark.range(6000).select(F.col("id").alias("seq"), F.lit("a").alias("source"), (F.col("id") % 5).cast("int").alias("shard"), (F.col("id") % 37 + 1).alias("n_bytes"), F.lit("x").alias("text"))
+    got = sampling.stratified(df, spark.createDataFrame([("a", 50_000)], "name string, target bigint"), 7, per_shard=10_000, every=64)
+    assert 50_000 <= got.agg(F.sum("n_bytes")).first()[0] < 50_200 and seen.value == 0
+    assert not any("text" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "_in" not in line and "hashpartitioning(seq" not in line)
+
+
+def test_cuts(spark):
+    """Large samples and heads are filters: the same rows as by sorting, and no plan that gathers them."""
+    rng = random.Random(8)
+    ids = [rng.randint(-(10**12), 10**12) for _ in range(700)] + list(range(300))
+    df = spark.createDataFrame([(i, "x") for i in ids], "id bigint, t string").repartition(6)
+    for n in (1, 17, 500, 999, 1000, 5000):
+        for cut, sorted_ in ((sampling.first_rows(df, "id", n, few=8), sampling.first_rows(df, "id", n)), (sampling.exact_sample(df, "id", n, 3, few=8), sampling.exact_sample(df, "id", n, 3))):
+            assert sorted(r.id for r in cut.collect()) == sorted(r.id for r in sorted_.collect()) and cut.count() == min(n, 1000)
+            plan = cut._jdf.queryExecution().executedPlan().toString()
+            assert n <= 8 or not any(x in plan for x in ("TakeOrdered", "SinglePartition", "Sort", "Limit"))
+    assert sampling.first_rows(df.limit(0), "id", 50, few=8).count() == sampling.exact_sample(df.limit(0), "id", 50, 3, few=8).count() == 0
+
+
+@pytest.mark.parametrize("span", [2, 5, 256])
+def test_affine_scan(spark, span):
+    rng = random.Random(span)
+    rows = [(g, k * 3 + rng.randint(0, 2), rng.uniform(-1, 1), rng.uniform(-9, 9)) for g in ("a", "b", None) for k in range(90 if g == "a" else 4)]
+    df = spark.createDataFrame([r for r in rows if r[0]], "g string, k bigint, f double, o double").repartition(5)
+    got = {(r.g, r.k): (r.x, r.f, r.o) for r in affine_scan(df, ["g"], "k", F.col("f"), F.col("o"), "x", span).collect()}
+    for g in ("a", "b"):
+        x = 0.0
+        for _, k, f, o in sorted(r for r in rows if r[0] == g):
+            x = f * x + o
+            assert got.pop((g, k)) == (pytest.approx(x), f, o)
+    assert not got and affine_scan(df.limit(0), ["g"], "k", F.col("f"), F.col("o"), "x", span).count() == 0
+    assert "Python" not in affine_scan(df, ["g"], "k", F.col("f"), F.col("o"), "x", span)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_limit_and_sample(spark):
     df = spark.range(50)
     assert sampling.first_rows(df, "id", 0).count() == 1 and sampling.first_rows(df, "id", 7).count() == 7
