@@ -1,12 +1,12 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Windows of ten consecutive words of every benchmark item (the whole item if it has fewer) go into one
-automaton over normalised text; each document is normalised and scanned once, and what is found is
+automaton over normalised text, word by word (a step for each word, not for each letter); each document is normalised and scanned once, and what is found is
 mapped back to words and to offsets of the original text.
 
 The items are sent to every executor, which makes the automaton once for each Python worker, so what goes
 into it is bounded: a benchmark of more than SHARD_BYTES of text is dealt by a hash of the items' ids into
-shards of about that size.  Documents are then searched for one shard after the other, each a job of
+shards of about that size, whose automaton takes about 100 bytes a byte of text (a test measures it).  Documents are then searched for one shard after the other, each a job of
 its own, and what the shards found, by row, is put together.
 
 Defined results: null texts have no words, and items without words have no window.  Items with the
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -28,50 +29,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.shared import materialise
-from quarry.llm.words import chars_at, folded_starts, folded_words, spaced
+from quarry.llm.words import chars_at, folded_starts, folded_words
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
-def windows_of(items: list[tuple[int | None, str | None]], n: int = WINDOW) -> dict[str, list]:
-    """Each window, spaced, with the ids of the items that have it."""
-    found: dict[str, list] = {}
+def windows_of(items: list[tuple[int | None, str | None]], n: int = WINDOW) -> tuple[dict[bytes, int], dict[tuple[int, ...], list]]:
+    """A number from 1 for each word of the items; and each window, of such numbers, with the ids of the items that have it."""
+    number: dict[bytes, int] = {}
+    found: dict[tuple[int, ...], list] = {}
     for item, text in items:
-        words = folded_words((text or "").encode())
+        words = [number.setdefault(w, len(number) + 1) for w in folded_words((text or "").encode())]
         for k in range(max(1, len(words) - n + 1) if words else 0):
-            ids = found.setdefault(spaced(words[k : k + n]).decode("latin-1"), [])
+            ids = found.setdefault(tuple(words[k : k + n]), [])
             if item not in ids:
                 ids.append(item)
-    return found
+    return number, found
 
 
-def automaton(windows: dict[str, list]) -> ahocorasick.Automaton | None:
+@dataclass(frozen=True)
+class Made:
+    """Words by number, and the automaton over windows of numbers (none: no windows)."""
+
+    number: dict[bytes, int]
+    automaton: ahocorasick.Automaton | None
+
+
+def automaton(items: list[tuple[int | None, str | None]]) -> Made:
+    number, windows = windows_of(items)
     if not windows:
-        return None
-    a = ahocorasick.Automaton()
+        return Made(number, None)
+    a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w, ids in windows.items():
-        a.add_word(w, (len(w), w.count(" ") - 1, ids))
+        a.add_word(w, (len(w), ids))
     a.make_automaton()
-    return a
+    return Made(number, a)
 
 
-def hits(words: list[bytes], a: ahocorasick.Automaton | None) -> tuple[list[list[int]], set]:
+def hits(words: list[bytes], made: Made) -> tuple[list[list[int]], set]:
     """Runs of hit words [first, after the last], merged, and the items found."""
     runs: list[list[int]] = []
     items: set = set()
-    if a is None or not words:
+    if made.automaton is None or not words:
         return runs, items
-    line = spaced(words).decode("latin-1")
-    at = spaces = 0
-    for end, (length, n, ids) in sorted(a.iter(line), key=lambda x: x[0] - x[1][0]):
-        start = end - length + 1
-        spaces += line.count(" ", at, start)
-        at = start
-        if runs and spaces <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], spaces + n)
+    # 0: a word of no item
+    line = tuple(map(made.number.get, words, itertools.repeat(0)))
+    for start, end, ids in sorted(((end - n + 1, end + 1, ids) for end, (n, ids) in made.automaton.iter(line)), key=lambda x: x[:2]):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
         else:
-            runs.append([spaces, spaces + n])
+            runs.append([start, end])
         items.update(ids)
     return runs, items
 
@@ -87,13 +95,13 @@ def _merged(runs: list[list[int]]) -> list[list[int]]:
 
 
 #: A worker's automaton and what it was made from; kept from task to task.
-_made: dict[bytes, ahocorasick.Automaton | None] = {}
+_made: dict[bytes, Made] = {}
 
 
-def _automaton_of(items: list[tuple[int | None, str | None]], key: bytes) -> ahocorasick.Automaton | None:
+def _automaton_of(items: list[tuple[int | None, str | None]], key: bytes) -> Made:
     if key not in _made:
         _made.clear()
-        _made[key] = automaton(windows_of(items))
+        _made[key] = automaton(items)
     return _made[key]
 
 

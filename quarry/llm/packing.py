@@ -2,7 +2,7 @@
 
 Rows are dealt out in turn, so that each partition has a like mix of lengths, however the input lies.  Each
 partition tokenises its documents, cuts those longer than a sequence into pieces and packs its
-pieces best-fit decreasing.  Bins that are full but for SLACK tokens are done.  The others become items
+pieces best-fit decreasing; where it has more than HELD bytes of ids, it does so part by part, each like a partition of its own.  Bins that are full but for SLACK tokens are done.  The others become items
 themselves: FAN partitions' underfull bins meet in one group, are packed best-fit again, and so on
 up the tree to a single group, where what is left is done as it is.
 
@@ -39,6 +39,8 @@ EOD = 1
 SLACK = 8
 FAN = 8
 CARRY = 4096
+#: Bytes of ids that a task holds before it packs them.
+HELD = 64 << 20
 
 #: home, row: which piece (the partition that made it, its number there); used: tokens in the bin; place: where in the
 #: bin the piece begins; part, bin: which bin.
@@ -88,27 +90,36 @@ def _done(used: list[int], last: bool, capacity: int, slack: int, carry: int) ->
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, carry: int = CARRY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, carry: int = CARRY, most: int = HELD) -> DataFrame:
     """Each partition's pieces, with their ids, in its own bins."""
 
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids
-        part = TaskContext.get().partitionId()
+        part, held = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            places, used = best_fit([r[3] for r in rows], capacity)
+            done = _done(used, False, capacity, slack, carry)
+            for k in range(0, len(rows), ROWS):
+                some = [(*r, part, k + j, part, p[0], p[1], used[p[0]], done[p[0]]) for j, (r, p) in enumerate(zip(rows[k : k + ROWS], places[k : k + ROWS], strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), OWN_TYPES + TYPES, strict=True)], names=OWN_NAMES + NAMES)
+
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 texts = b.column(1).slice(k, 256).cast(pa.large_binary()).to_pylist()
                 for doc, ids in zip(b.column(0).slice(k, 256).to_pylist(), encode([t or b"" for t in texts]), strict=True):
                     ids += EOD.to_bytes(4, "little")
-                    n = len(ids) // 4
-                    rows += [(doc, i, s, min(capacity, n - s), ids[4 * s : 4 * (s + capacity)]) for i, s in enumerate(range(0, n, capacity))]
-        places, used = best_fit([r[3] for r in rows], capacity)
-        done = _done(used, False, capacity, slack, carry)
-        for k in range(0, len(rows), ROWS):
-            some = [(*r, part, k + j, part, p[0], p[1], used[p[0]], done[p[0]]) for j, (r, p) in enumerate(zip(rows[k : k + ROWS], places[k : k + ROWS], strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), OWN_TYPES + TYPES, strict=True)], names=OWN_NAMES + NAMES)
+                    size = len(ids) // 4
+                    rows += [(doc, i, s, min(capacity, size - s), ids[4 * s : 4 * (s + capacity)]) for i, s in enumerate(range(0, size, capacity))]
+                    held += len(ids)
+                    if held >= most:
+                        yield from packed()
+                        rows, held, part = [], 0, part + n
+        yield from packed()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the high bits of the id are the partition's number, the low ones the row's in it
     turn = F.monotonically_increasing_id()
     dealt = docs.select("doc_id", "text", turn.alias("_turn")).repartitionById(n, F.expr(f"CAST((_turn % (1L << 33) + _turn DIV (1L << 33)) % {n} AS INT)"))
@@ -134,9 +145,9 @@ def _merge(level: int, last: bool, capacity: int, slack: int, carry: int):
     return work
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, carry: int = CARRY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, carry: int = CARRY, most: int = HELD) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
-    own = materialise(pieces(docs, tokenizer, capacity, slack, carry))
+    own = materialise(pieces(docs, tokenizer, capacity, slack, carry, most))
     parts = (own.agg(F.max("part").alias("n")).first()["n"] or 0) + 1
 
     def said(level: int) -> list[Column]:
@@ -159,5 +170,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int =
 def sequences(packed: DataFrame) -> DataFrame:
     """One row for each packed sequence: sequence_id, length, ids of its pieces one after the other."""
     whole = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("of"), F.sum("length").alias("length"))
-    ids = F.aggregate("of", F.lit(b""), lambda so_far, x: F.concat(so_far, x["ids"]))
+    ids = F.unhex(F.array_join(F.transform("of", lambda x: F.hex(x["ids"])), ""))
     return whole.select("sequence_id", "length", ids.alias("ids"))

@@ -1,5 +1,8 @@
 """Quality rules, decontamination and license scans against plain Python."""
 
+import os
+import subprocess
+import sys
 import hashlib
 import random
 import re
@@ -219,3 +222,22 @@ def test_wrapped_notices():
 def test_wrapped_notice_in_scan(spark):
     got = licenses.scan(spark.createDataFrame([(1, "Released under\nGNU GPL v3")], "doc_id bigint, text string")).first()
     assert (got.labels, got.score) == ("gpl,gpl-3.0", 0.95)
+
+
+def test_memory_of_an_automaton():
+    """A shard of the greatest size, of windows that share nothing: what a worker makes of it stays below 500 MB."""
+    code = """
+import random, resource
+from quarry.llm import decontaminate
+rng = random.Random(1)
+vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(50_000)]
+items, size = [], 0
+while size < decontaminate.SHARD_BYTES:
+    items.append((len(items), " ".join(rng.choice(vocab) for _ in range(60))))
+    size += len(items[-1][1])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+made = decontaminate.automaton(items)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, len(made.automaton))
+"""
+    mb, windows = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout.split())
+    assert windows > 400_000 and mb < 500, mb

@@ -130,7 +130,7 @@ def test_encoder_is_the_tokenizer():
         assert np.array(e.ids, "<u4").tobytes() == x
 
 
-@pytest.mark.parametrize("size", [{}, {"capacity": 64, "slack": 1, "fan": 2, "carry": 3}])
+@pytest.mark.parametrize("size", [{}, {"capacity": 64, "fan": 2, "most": 1500}, {"capacity": 64, "slack": 1, "fan": 2, "carry": 3}])
 def test_packing(messy, nothing, size):
     from tokenizers import Tokenizer
 
@@ -189,7 +189,7 @@ def test_quick_way_gives_the_same_ids():
     assert [t for t, x, y in zip(texts, a, b, strict=True) if x != y] == []
 
 
-@pytest.mark.parametrize("size", [{}, {"capacity": 64, "slack": 1, "fan": 2, "carry": 3}])
+@pytest.mark.parametrize("size", [{}, {"capacity": 64, "fan": 2, "most": 1500}, {"capacity": 64, "slack": 1, "fan": 2, "carry": 3}])
 def test_packed_ids(messy, nothing, size):
     """The ids that pack() gives are the documents', and its sequences are their pieces end to end."""
     from tokenizers import Tokenizer
