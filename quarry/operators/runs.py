@@ -48,11 +48,15 @@ def epoch_history(steps: DataFrame, evals: DataFrame, steps_per_epoch: int) -> D
     return df.select("run", "epoch", "step", "seconds", "train_loss", F.exp("train_loss").alias("train_ppl"), "val_loss", F.exp("val_loss").alias("val_ppl"))
 
 
-def summary(name: str, log: DataFrame, history: DataFrame, parameters: int) -> DataFrame:
-    """One row: a run's summary with its array of epochs, from its log and its history."""
+def with_epochs(log: DataFrame, history: DataFrame, parameters: int) -> DataFrame:
+    """One row for each run: its summary with its array of epochs, from logs and histories of runs."""
     epochs = F.array_sort(F.collect_list(F.struct("epoch", "train_loss", "train_ppl", "val_loss", "val_ppl")))
-    own = summaries(log.where(F.col("run") == name)).drop("epochs")
-    return own.join(history.where(F.col("run") == name).groupBy("run").agg(epochs.alias("epochs")), "run", "left").withColumn("parameters", F.lit(parameters))
+    return summaries(log).drop("epochs").join(history.groupBy("run").agg(epochs.alias("epochs")), "run", "left").withColumn("parameters", F.lit(parameters))
+
+
+def summary(name: str, log: DataFrame, history: DataFrame, parameters: int) -> DataFrame:
+    """One row: that of one run."""
+    return with_epochs(log.where(F.col("run") == name), history.where(F.col("run") == name), parameters)
 
 
 def _pointer(path: str) -> str:

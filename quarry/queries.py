@@ -16,7 +16,7 @@ from quarry.functions import quality as quality_rules
 from quarry.functions import schedule
 from quarry.functions.hashing import digest, key, seeded, split_for
 from quarry.functions.normalize import normalize
-from quarry.operators import bpe, loader, packing, runs, sampling, sampling_math, sweep
+from quarry.operators import bpe, embedding, loader, packing, runs, sampling, sampling_math, sweep
 from quarry.operators.dedup import mark_first
 from quarry.plans import clean
 from quarry.sources import manifests, records, snapshots, storage, token_files
@@ -468,6 +468,17 @@ def escaped_pages(spark, sf_dir):
     return records.pages(spark, sf_dir).select("seq", manifests.escaped(F.col("text")).alias("escaped"))
 
 
+@query(f"""WITH {TOKENS}, v AS (SELECT max(vec_id) + 1 AS n FROM embeddings), t AS (SELECT seq, token % v.n AS id, count(*) AS times FROM (SELECT seq, unnest(tokens) AS token FROM tok), v GROUP BY ALL),
+e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT seq, sum(times)::BIGINT AS n, dim::INTEGER AS dim, round(sum(times * x) / sum(times), 6) AS mean FROM t JOIN e ON e.vec_id = t.id GROUP BY seq, dim""")
+def document_embeddings(spark, sf_dir):
+    """The mean of the vectors of each document's tokens (ids stand in for those of the table)."""
+    vectors = records.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    n = vectors.agg(F.max("id")).first()[0] + 1
+    docs = _tokens(spark, sf_dir).select("seq", F.transform("tokens", lambda t: t % n).alias("tokens"))
+    return rounded(embedding.means(docs, vectors).select("seq", "n", F.posexplode("mean").alias("dim", "mean")), "mean")
+
+
 # --- run logs: events stand in for a log, a run for each tenth of users --------------------------
 
 LOG = """log AS (SELECT (user_id % 10)::BIGINT AS run, CASE event_type WHEN 'signup' THEN 'eval' WHEN 'error' THEN 'epoch' ELSE 'step' END AS kind,
@@ -762,11 +773,11 @@ def epoch_history(spark, sf_dir):
     return _history(spark, sf_dir)
 
 
-@query(f"{HISTORY} SELECT run, epoch, train_loss, train_ppl, val_loss, val_ppl, 6846080::BIGINT AS parameters FROM h WHERE run = 5")
+@query(f"{HISTORY} SELECT run, epoch, train_loss, train_ppl, val_loss, val_ppl, 6846080::BIGINT AS parameters FROM h")
 def run_epochs(spark, sf_dir):
-    """The array of epochs of one run's summary."""
+    """The arrays of epochs of the runs' summaries."""
     log = _log(spark, sf_dir).withColumns({"val_loss": F.col("loss"), "tokens_per_sec": F.col("loss")})
-    made = runs.summary(5, log, _history(spark, sf_dir), 6_846_080)
+    made = runs.with_epochs(log, _history(spark, sf_dir), 6_846_080)
     return made.select("run", F.col("parameters").cast("bigint").alias("parameters"), F.inline("epochs"))
 
 

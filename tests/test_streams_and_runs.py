@@ -213,6 +213,24 @@ def test_affine_scan(spark, span):
     assert "Python" not in affine_scan(df, ["g"], "k", F.col("f"), F.col("o"), "x", span)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("block,share", [(4, 3), (1024, 1 << 18)])
+def test_mean_vectors(spark, block, share):
+    from quarry.operators import embedding
+
+    rng = random.Random(block)
+    table = {i: [rng.uniform(-1, 1) for _ in range(3)] for i in range(0, 40, 3)}
+    docs = [(k, [rng.randint(0, 45) for _ in range(rng.choice([0, 1, 9, 60]))]) for k in range(25)] + [(99, None), (100, [1])]
+    rows = spark.createDataFrame(list(table.items()), "id int, vector array<float>")
+    got = {r.seq: (r.n, r["mean"]) for r in embedding.means(spark.createDataFrame(docs, "seq bigint, tokens array<int>").repartition(4), rows, block, share).collect()}
+    for k, tokens in docs:
+        found = [table[t] for t in tokens or [] if t in table]
+        assert (k in got) == bool(found)
+        if found:
+            assert got[k][0] == len(found) and got[k][1] == pytest.approx([sum(v) / len(found) for v in zip(*found, strict=True)], abs=1e-6)
+    assert embedding.means(spark.createDataFrame(docs[:0], "seq bigint, tokens array<int>"), rows).count() == 0
+    assert embedding.means(spark.createDataFrame(docs, "seq bigint, tokens array<int>"), rows.limit(0)).count() == 0
+
+
 def test_limit_and_sample(spark):
     df = spark.range(50)
     assert sampling.first_rows(df, "id", 0).count() == 1 and sampling.first_rows(df, "id", 7).count() == 7
