@@ -41,9 +41,9 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 # --- SQL that several oracles share -------------------------------------------------------------
 
-RAW = """raw AS (SELECT doc_id AS seq, source || ':' || lpad(doc_id::VARCHAR, 8, '0') AS id, source, lang AS domain, (doc_id % 16)::INTEGER AS shard,
+RAW = """raw AS (SELECT doc_id AS seq, source || ':' || printf('%08d', doc_id) AS id, source, lang AS domain, (doc_id % 16)::INTEGER AS shard,
   NULL::VARCHAR AS url, text, strlen(text)::BIGINT AS n_bytes, sha256(text) AS sha256 FROM documents)"""
-RAW_PAGES = """raw AS (SELECT page_id AS seq, 'pages:' || lpad(page_id::VARCHAR, 8, '0') AS id, 'pages' AS source, 'general_web' AS domain, (page_id % 16)::INTEGER AS shard,
+RAW_PAGES = """raw AS (SELECT page_id AS seq, 'pages:' || printf('%08d', page_id) AS id, 'pages' AS source, 'general_web' AS domain, (page_id % 16)::INTEGER AS shard,
   url, html AS text, strlen(html)::BIGINT AS n_bytes, sha256(html) AS sha256 FROM pages)"""
 
 _S, _N = r"[\s\x0B\x1C-\x1F\x{85}]", r"[^\s\x0B\x1C-\x1F\x{85}]"
@@ -170,7 +170,7 @@ def clean_funnel_pages(spark, sf_dir):
     return clean.funnel(clean.judged(records.pages(spark, sf_dir)))
 
 
-RAW_CONVERSATIONS = """raw AS (SELECT conv_id * 1000 + turn AS seq, 'conversations:' || lpad((conv_id * 1000 + turn)::VARCHAR, 8, '0') AS id, 'conversations' AS source, role AS domain, 0 AS shard,
+RAW_CONVERSATIONS = """raw AS (SELECT conv_id * 1000 + turn AS seq, 'conversations:' || printf('%08d', conv_id * 1000 + turn) AS id, 'conversations' AS source, role AS domain, 0 AS shard,
   NULL::VARCHAR AS url, text, strlen(text)::BIGINT AS n_bytes, sha256(text) AS sha256 FROM conversations)"""
 
 
@@ -241,7 +241,7 @@ w(source, pos, quota, taken, target, k) AS (SELECT source, 0::BIGINT, ceil(targe
   WHERE w.pos + 1 < w.k GROUP BY w.source, w.pos, w.taken, w.target, w.k)"""
 
 
-@query(f"{SAMPLE} SELECT seq, source || ':' || lpad((row_number() OVER (PARTITION BY c.source ORDER BY c.pos, seq) - 1)::VARCHAR, 8, '0') AS id, source, shard, c.pos::INTEGER AS pos, n_bytes FROM c JOIN w USING (source, pos) WHERE cum - n_bytes < quota")
+@query(f"{SAMPLE} SELECT seq, source || ':' || printf('%08d', row_number() OVER (PARTITION BY c.source ORDER BY c.pos, seq) - 1) AS id, source, shard, c.pos::INTEGER AS pos, n_bytes FROM c JOIN w USING (source, pos) WHERE cum - n_bytes < quota")
 def stratified_sample(spark, sf_dir):
     raw = records.documents(spark, sf_dir)
     return sampling.stratified(raw, _targets(raw), 20260918, per_shard=20_000).select("seq", "id", "source", "shard", "pos", "n_bytes")
@@ -287,7 +287,7 @@ def half_sample(spark, sf_dir):
 # --- tokens -------------------------------------------------------------------------------------
 
 TOKENS = r"""tok AS (SELECT doc_id AS seq, id, source, split, strlen(text)::BIGINT AS n_bytes, list_append(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'), lambda w: (ascii(w) * 512 + ascii(right(w, 1)) * 4 + length(w) % 4)::INTEGER), 65535) AS tokens
-  FROM (SELECT *, CASE WHEN ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 100 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, source || ':' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents)))"""
+  FROM (SELECT *, CASE WHEN ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 100 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, source || ':' || printf('%08d', doc_id) AS id FROM documents)))"""
 FLAT = """flat AS (SELECT split, seq, pos, token, (row_number() OVER (PARTITION BY split ORDER BY seq, pos) - 1) AS n FROM (SELECT split, seq, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM tok))"""
 BLOCKS = """blocks AS (SELECT split, (n // 1024)::BIGINT AS block_id, list(token ORDER BY n) AS tokens FROM flat GROUP BY ALL HAVING count(*) = 1024)"""
 
@@ -306,7 +306,7 @@ def _said(*columns: str) -> list:
     return [F.md5(F.array_join(c, ",")).alias(c) for c in columns]
 
 
-@query("SELECT doc_id AS seq, CASE WHEN ('0x' || substr(sha256(source || ':' || lpad(doc_id::VARCHAR, 8, '0')), 1, 8))::BIGINT % 1000 < 5 THEN 'val' ELSE 'train' END AS split FROM documents")
+@query("SELECT doc_id AS seq, CASE WHEN ('0x' || substr(sha256(source || ':' || printf('%08d', doc_id)), 1, 8))::BIGINT % 1000 < 5 THEN 'val' ELSE 'train' END AS split FROM documents")
 def hash_split(spark, sf_dir):
     return records.documents(spark, sf_dir).select("seq", split_for(F.col("id")).alias("split"))
 
