@@ -20,6 +20,7 @@ from quarry.operators import bpe, embedding, loader, packing, runs, sampling, sa
 from quarry.operators.dedup import mark_first
 from quarry.plans import clean
 from quarry.sources import manifests, records, snapshots, storage, token_files
+from quarry.streaming import dedup as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -730,6 +731,25 @@ def jsonl_round_trip(spark, sf_dir):
     return records.read_jsonl(spark, path).withColumn("nth", nth.cast("bigint")).select("file", "id", "n_bytes", "sha256", "nth")
 
 
+@query("SELECT DISTINCT sha256(text) AS sha256, strlen(text)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL")
+def stream_dedup_bounded(spark, sf_dir):
+    """Digests of the documents that a stream over the table gives, of each text one."""
+    folder = f"{storage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    before = {name: spark.conf.get(name, None) for name in streams.SETTINGS}
+    try:
+        for name, value in streams.SETTINGS.items():
+            spark.conf.set(name, value)
+        path = f"{sf_dir}/documents.parquet"
+        # a pattern: the stream's path may then be a table of one file
+        arriving = streams.arriving(spark, f"{sf_dir}/documents.parque[t]", spark.read.parquet(path).schema, files_a_time=64)
+        narrow = arriving.where("text IS NOT NULL").select(digest(F.col("text")).alias("sha256"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+        streams.run_once(streams.dedup_bounded(narrow, "sha256", capacity=1 << 14, shards=64), f"{folder}/out", f"{folder}/checkpoint")
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return spark.read.schema("sha256 string, n_bytes bigint").parquet(f"{folder}/out")
+
+
 @query(f"WITH {TOKENS}, {FLAT}, {BLOCKS} SELECT split, block_id, md5(array_to_string(tokens, ',')) AS tokens FROM blocks")
 def token_file_round_trip(spark, sf_dir):
     """Blocks written to flat files of 16-bit ids, and read again."""

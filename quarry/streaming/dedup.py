@@ -60,7 +60,7 @@ class Seen(StatefulProcessor):
     """A shard of the keys seen: those of the last `ttl_ms` exactly, older ones in two filters of `capacity` keys each.
 
     When the younger filter is full it becomes the older one, and what that held is forgotten.  The exact keys are read
-    only if the filters know one of the keys that arrive.
+    only if the filters know one of the keys that arrive, or have forgotten some that are still among the exact ones.
     """
 
     def __init__(self, ttl_ms: int, capacity: int, names: list[str]):
@@ -69,10 +69,11 @@ class Seen(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.exact = handle.getListState("exact", "keys binary", self.ttl_ms)
-        self.filters = handle.getValueState("filters", "young binary, old binary, n bigint")
+        self.filters = handle.getValueState("filters", "young binary, old binary, n bigint, forgot bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        young, old, n = self.filters.get() if self.filters.exists() else (None, None, 0)
+        young, old, n, forgot = self.filters.get() if self.filters.exists() else (None, None, 0, -self.ttl_ms)
+        now = timerValues.getCurrentProcessingTimeInMs()
         young, old = Filter(self.capacity, young), Filter(self.capacity, old)
         exact, fresh = None, np.zeros(0, np.uint64)
         for some in batched(rows, CHUNK):
@@ -81,11 +82,11 @@ class Seen(StatefulProcessor):
             some = list({r[self.key]: r for r in reversed(some) if r[self.key] is not None}.values())
             keys = np.array([r[self.key] for r in some], np.int64).view(np.uint64)
             maybe = young.holds(keys) | old.holds(keys)
-            if maybe.any() and exact is None:
+            if exact is None and (maybe.any() or now < forgot + self.ttl_ms):
                 exact = np.concatenate([fresh[:0], *(np.frombuffer(k, np.uint64) for (k,) in self.exact.get())])
             certain = np.isin(keys, fresh)
             if exact is not None:
-                certain |= maybe & np.isin(keys, exact)
+                certain |= np.isin(keys, exact)
             yield from (self._with(r, "maybe" if m else "new") for r, m, c in zip(some, maybe, certain, strict=True) if not c)
             keys = keys[~certain]
             fresh = np.concatenate([fresh, keys])
@@ -95,10 +96,11 @@ class Seen(StatefulProcessor):
                 young.add(part)
                 n += len(part)
                 if n == self.capacity:
+                    forgot = now if old.bytes.any() else forgot
                     young, old, n = Filter(self.capacity, None), young, 0
         if len(fresh):
             self.exact.appendValue((fresh.tobytes(),))
-            self.filters.update((young.bytes.tobytes(), old.bytes.tobytes(), n))
+            self.filters.update((young.bytes.tobytes(), old.bytes.tobytes(), n, forgot))
 
     def _with(self, row: Row, verdict: str) -> Row:
         return Row(*self.names)(*row[: self.key], verdict)
@@ -112,7 +114,7 @@ def dedup_bounded(stream: DataFrame, text: str = "text", ttl_ms: int = 7 * 86_40
 
     new: not seen among what is remembered.  maybe: the text's key isn't among those of the last `ttl_ms` (of processing time), but a
     filter of older keys has it: seen before, or, for about 1 in 1,000 new texts while both filters are full, taken for it.
-    What comes twice within `ttl_ms` is given once.  A text that the filters have let go too (after `capacity` to 2 * `capacity`
+    What comes twice within `ttl_ms` is given once.  An older text that the filters have let go too (after `capacity` to 2 * `capacity`
     other texts in its shard) is new again.  Whoever wants no text lost keeps both; whoever wants no text twice, `new` alone.
 
     State is 8 bytes for each text of the last `ttl_ms` and 4 * BITS / 16 bytes for each of `shards` * `capacity` texts.  No time of the

@@ -13,7 +13,7 @@ from quarry import queries
 from quarry.sources import records
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["clean_funnel", "clean_funnel_pages", "clean_documents", "clean_manifest_grouping_sets", "normalize_documents", "normalize_pages", "word_stats", "quality_verdicts", "dedup_raw", "shard_permutation", "hash_split", "doc_length_distribution", "pack_blocks", "next_token_pairs", "page_windows", "epoch_shuffle", "pad_batches", "log_windows", "run_summary", "ema_loss", "eval_points", "factor_spread", "format_labels", "topk_logits", "softmax_sample", "collection_manifest", "cleaning_manifest", "token_manifest", "jsonl_round_trip", "token_file_round_trip", "loader_metrics", "log_throughput", "epoch_history", "run_epochs", "sweep_findings"]
+SOME = ["clean_funnel", "clean_funnel_pages", "clean_documents", "clean_manifest_grouping_sets", "normalize_documents", "normalize_pages", "word_stats", "quality_verdicts", "dedup_raw", "shard_permutation", "hash_split", "doc_length_distribution", "pack_blocks", "next_token_pairs", "page_windows", "epoch_shuffle", "pad_batches", "log_windows", "run_summary", "ema_loss", "eval_points", "factor_spread", "format_labels", "topk_logits", "softmax_sample", "collection_manifest", "cleaning_manifest", "token_manifest", "jsonl_round_trip", "token_file_round_trip", "loader_metrics", "log_throughput", "epoch_history", "run_epochs", "sweep_findings", "stream_dedup_bounded"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 

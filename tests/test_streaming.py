@@ -78,6 +78,13 @@ def test_time_to_live_and_forgetting(rocksdb, tmp_path):
     assert come((8, "a", "s"))[0] == (8, "a", "new")
 
 
+def test_forgotten_by_filters_alone(rocksdb, tmp_path):
+    """What is within its time to live comes once, however small the filters are."""
+    come = Arrivals(rocksdb, tmp_path, shards=1, capacity=2)
+    assert len(come(*[(k, f"text {k}", "s") for k in range(9)])) == 9
+    assert come(*[(10 + k, f"text {k}", "s") for k in range(10)]) == [(19, "text 9", "new")]
+
+
 def test_state_is_bounded(rocksdb, tmp_path):
     """Beyond the time to live, state doesn't grow with the texts seen."""
     come = Arrivals(rocksdb, tmp_path, shards=1, capacity=1000, ttl_ms=1)
