@@ -21,7 +21,7 @@ def many(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["collection_manifest"])
+@pytest.mark.parametrize("name", ["collection_manifest", "pinned_rest", "pinned_documents"])
 def test_against_sql(spark, many, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{many}/documents.parquet/*.parquet'")
