@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.hashing import BYTE, batches, grams, grams16, least_in, range_hashes, spans_of, word_hashes
+from quarry.llm.hashing import BYTE, batches, grams, grams16, least_in, numbered, range_hashes, spans_of, word_hashes
 from quarry.llm.shared import NULL_ID, groups_for, materialise
 
 CHUNK = 8 << 20
@@ -172,7 +172,8 @@ def _rows(names: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
+    # numbers of 16 bits are sorted by their digits
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65_536 else bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts):
         if len(part):
@@ -299,11 +300,14 @@ def _refined(plan: Plan):
         cell = np.repeat(np.arange(len(n)), n)
         r = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)
         d, s = doc[cell], start[cell] + r
-        order = np.lexsort((s, d, group))
-        first = np.concatenate(([True], group[order][1:] != group[order][:-1]))
-        best = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        bd, bs = np.empty_like(d), np.empty_like(s)
-        bd[order], bs[order] = d[best], s[best]
+        number, count = numbered(group.astype(np.uint64))
+        bd, bs = d.copy(), s.copy()
+        twice = np.flatnonzero(count[number] > 1)  # a window alone is its own first occurrence
+        if len(twice):
+            order = twice[np.lexsort((s[twice], d[twice], number[twice]))]
+            first = np.concatenate(([True], number[order][1:] != number[order][:-1]))
+            best = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            bd[order], bs[order] = d[best], s[best]
         new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (bd[1:] != bd[:-1]) | (bs[1:] - bs[:-1] != 1)))
         at = np.flatnonzero(new)
         stop = np.concatenate((at[1:], [len(cell)]))

@@ -4,7 +4,7 @@ The suffixes of a group (repeats.py deals them out) are put into buckets by thei
 Then buckets are refined by sorting on the bucket of a later offset: suffixes alike in 8 bytes by the
 bucket 8 bytes on, giving 16, then 16 on, giving 32, and so to 50; each refinement's buckets are the
 pointers of the next.  A suffix alone in its bucket is finished: it keeps its pointer, by which the others go
-on being told apart, and isn't sorted again.  Suffixes left together share 50 bytes; nothing is refined
+on being told apart, and isn't sorted again; nor is one that no window left together with another reaches.  Suffixes left together share 50 bytes; nothing is refined
 beyond, so no order of whole suffixes results.
 
 A byte is removed if a 50-byte string over it also starts in a document with a smaller id.
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.hashing import numbered
 from quarry.llm.repeats import KEPT, NULL_ID, Plan, Units, find, n_removed, spans_in
 
 WINDOW = 50
@@ -33,20 +34,36 @@ def refine(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int)
     gram = np.zeros(max(0, n - Q + 1), np.uint64)
     for k in range(Q):
         gram = (gram << np.uint64(8)) | units[k : n - Q + 1 + k]
-    _, bucket, count = np.unique(gram, return_inverse=True, return_counts=True)
+    bucket, count = numbered(gram)
+    more = count[bucket] > 1
     bucket = bucket.astype(np.uint64)
-    open_ = np.flatnonzero(count[bucket.astype(np.int64)] > 1)
-    new, depth = len(count), Q
-    while depth < window and len(open_):
-        # reaching past a cell's end is harmless: no window does
-        step = min(depth, window - depth)
-        open_ = open_[: np.searchsorted(open_, len(bucket) - step)]
-        pairs = (bucket[open_] << np.uint64(32)) | bucket[open_ + step]
-        _, at, count = np.unique(pairs, return_inverse=True, return_counts=True)
-        bucket[open_] = (new + at).astype(np.uint64)
-        open_ = open_[count[at] > 1]
-        new, depth = new + len(count), depth + step
-    return bucket[_windows(starts, ends, window)]
+    steps, depth = [], Q
+    while depth < window:
+        steps.append(min(depth, window - depth))
+        depth += steps[-1]
+    at, new = _windows(starts, ends, window), len(count)
+    for k, step in enumerate(steps):
+        left = at[more[at]]
+        if not len(left):
+            break
+        # the windows not yet alone, and the suffixes that later steps reach from them: others' pointers aren't asked for
+        need = np.zeros(len(bucket), bool)
+        for reach in _sums(steps[k + 1 :]):
+            need[left + reach] = True
+        open_ = np.flatnonzero(need & more)
+        number, count = numbered((bucket[open_] << np.uint64(32)) | bucket[open_ + step])
+        bucket[open_] = (new + number).astype(np.uint64)
+        more[open_] = count[number] > 1
+        new += len(count)
+    return bucket[at]
+
+
+def _sums(steps: list[int]) -> set[int]:
+    """The sums of any of the steps."""
+    out = {0}
+    for step in steps:
+        out |= {step + x for x in out}
+    return out
 
 
 def _windows(starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
