@@ -1,8 +1,9 @@
 """What a task holds at a time doesn't grow with its batches."""
 
+import numpy as np
 import pyarrow as pa
 
-from quarry.operators import bpe
+from quarry.operators import bpe, embedding
 
 
 def test_runs_of_texts():
@@ -32,3 +33,21 @@ def test_tokenizer_gets_runs(spark, monkeypatch):
     ids = bpe.encode(bpe.F.lit(""), path, "<|endoftext|>")(texts)
     assert max(most) < 200 and len(most) > 9
     assert bpe.decode(None, path)(ids).to_pylist() == texts.to_pylist()
+
+
+def test_documents_that_ask_come_as_a_stream():
+    """A block's vectors meet batch after batch of documents, and each gives its sums before the next is read."""
+    schema = pa.schema([("block", pa.int64()), ("share", pa.int64()), ("asks", pa.int32()), ("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    read = []
+
+    def rows():
+        yield pa.RecordBatch.from_pylist([{"block": 0, "share": 0, "asks": 0, "id": i, "vector": [float(i), 1.0]} for i in (2, 3)], schema)
+        for k in range(5):
+            read.append(k)
+            yield pa.RecordBatch.from_pylist([{"block": 0, "share": 0, "asks": 1, "id": k, "ids": [2, 3, 4], "times": [1, 2, 9]}], schema)
+        yield pa.RecordBatch.from_pylist([{"block": 1, "share": 0, "asks": 1, "id": 9, "ids": [2], "times": [1]}], schema)
+
+    for k, b in enumerate(embedding._gathered(rows())):
+        assert len(read) == k + 1
+        assert b.to_pylist() == [{"seq": k, "n": 3, "total": np.array([8.0, 3.0]).tolist()}]
+    assert k == 4
