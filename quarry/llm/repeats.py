@@ -6,7 +6,8 @@ pick the same gram at the same place; windows next to each other that pick the s
 A window that occurs twice has a gram that occurs twice, so:
 
 1. chunks   texts are written, compressed, in chunks of about CHUNK bytes;
-2. grams    each chunk sends its different picked grams, once each; those that occur once anywhere end here;
+2. grams    each chunk sends its different picked grams, once each, and has two bits back for each: those that occur once
+            anywhere end here;
 3. cells    each chunk sends its different cells of repeated grams, once each, with their text and their first
             occurrence there; cells of a gram go to one group.  A gram with more than HOT occurrences has a
             longer prefix instead: its windows go one by one to groups by all their W units;
@@ -84,24 +85,41 @@ def units_of(plan: Plan, texts: list[bytes]) -> Units:
     return Units(buf, word_hashes(buf, first, last), first, last, np.concatenate(([0], ends[:-1])), ends)
 
 
-def cells_of(plan: Plan, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window and gram (48 bits) of each cell."""
+def _grams(plan: Plan, values: np.ndarray) -> np.ndarray:
+    return grams16(values) if plan.gram == 16 else grams(values, plan.gram)
+
+
+def cells_of(plan: Plan, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window, where the gram is and the gram (48 bits) of each cell."""
     w = plan.window
     none = np.zeros(0, np.int64)
-    g = grams16(u.values) if plan.gram == 16 else grams(u.values, plan.gram)
+    g = _grams(plan, u.values)
     low = least_in((g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64), w - plan.gram + 1)
     if not len(low):
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     long = u.ends - u.starts >= w
     edge = np.zeros(len(u.values) + 1, np.int8)
     np.add.at(edge, u.starts[long], 1)
     np.add.at(edge, u.ends[long] - w + 1, -1)
     p = np.flatnonzero(np.cumsum(edge, dtype=np.int8))
     if not len(p):
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     pick = (low[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cut = np.flatnonzero(np.diff(pick)) + 1
-    return p[np.concatenate(([0], cut))], p[np.concatenate((cut - 1, [len(p) - 1]))], g[pick[np.concatenate(([0], cut))]] >> np.uint64(16)
+    first = np.concatenate(([0], cut))
+    return p[first], p[np.concatenate((cut - 1, [len(p) - 1]))], pick[first], g[pick[first]] >> np.uint64(16)
+
+
+def _hash_of_cells(plan: Plan, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """A hash of each cell values[start:end] and its gram: what cells of a gram are known by."""
+    return range_hashes(values, starts, ends) ^ g
+
+
+def keys_of(plan: Plan, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram and hash of each cell values[start:end], from its text alone and where in it the gram is."""
+    picked = values[((starts + at)[:, None] + np.arange(plan.gram)).ravel()]
+    g = _grams(plan, picked)[:: plan.gram] >> np.uint64(16)
+    return g, _hash_of_cells(plan, values, starts, ends, g)
 
 
 def _zip(*arrays: np.ndarray | bytes) -> bytes:
@@ -160,10 +178,16 @@ def read_chunk(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
-def _picked(plan: Plan, texts: list[bytes]) -> Iterator[tuple[int, int, Units, np.ndarray, np.ndarray, np.ndarray]]:
+def _picked(plan: Plan, texts: list[bytes]) -> Iterator[tuple[int, int, Units, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
     for a, b in batches(texts):
         u = units_of(plan, texts[a:b])
-        yield a, b, u, *cells_of(plan, u)
+        yield a, b, u, cells_of(plan, u)
+
+
+def _sent_grams(grams: list[np.ndarray], n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """A chunk's different grams in order, how often it has each, and which of them it sends to each bucket."""
+    every, counts = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_counts=True)
+    return every, counts, list(_by_bucket((every % np.uint64(n_buckets)).astype(np.int64)))
 
 
 def _rows(names: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
@@ -188,17 +212,16 @@ def _send_grams(plan: Plan, n_buckets: int):
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = [k for _, _, _, _, _, k in _picked(plan, read_chunk(blob)[1])]
-                every, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
-                if not len(every):
-                    continue
-                rows = [(b, chunk, _zip(every[at], np.minimum(counts[at], 2**31).astype("<u4"))) for b, at in _by_bucket((every % np.uint64(n_buckets)).astype(np.int64))]
+                every, counts, sent = _sent_grams([g for _, _, _, (_, _, _, g) in _picked(plan, read_chunk(blob)[1])], n_buckets)
+                rows = [(b, chunk, _zip(every[at], np.minimum(counts[at], 2**31).astype("<u4"))) for b, at in sent]
                 yield from _rows(_SENT, rows).to_batches()
 
     return work
 
 
 def _repeated_grams(hot: int):
+    """Back to each chunk, for each gram in the order that it sent them: is it repeated, is it hot; a bit each, as the chunk knows its grams."""
+
     def work(key, t):
         keys, counts, chunk = [], [], []
         ids = t["chunk"].to_pylist()
@@ -212,36 +235,36 @@ def _repeated_grams(hot: int):
         keys, counts, chunk = keys[order], counts[order].astype(np.int64), chunk[order]
         first = np.concatenate(([True], keys[1:] != keys[:-1]))
         total = np.add.reduceat(counts, np.flatnonzero(first))[np.cumsum(first) - 1]
-        again = total > 1
         rows = []
-        for k, at in _by_bucket(chunk[again].astype(np.int64)):
-            rows.append((ids[k], 0, _zip(keys[again][at], (total[again][at] > hot).astype("u1"))))
+        for k, at in _by_bucket(chunk.astype(np.int64)):  # the order is stable: a chunk's grams are in theirs
+            again = total[at] > 1
+            if again.any():
+                rows.append((ids[k], 0, _zip(np.array([key[1].as_py(), len(at)], "<i8"), np.packbits(again), np.packbits(total[at] > hot))))
         return _rows(_BACK, rows)
 
     return work
 
 
-def _cells(plan: Plan, texts: list[bytes], known: np.ndarray, is_hot: np.ndarray):
-    """For each run of texts: (first text, after the last, units, first and last window of each cell of a repeated gram, its gram, is it hot, its hash)."""
-    for a, b, u, s, e, g in _picked(plan, texts):
-        if not len(known):
-            s, e, g = s[:0], e[:0], g[:0]
-        at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
-        has = known[at] == g if len(known) else np.zeros(0, bool)
-        s, e, g, h = s[has], e[has], g[has], is_hot[at[has]].astype(bool) if len(known) else np.zeros(0, bool)
+def _cells(plan: Plan, texts: list[bytes], back: list[bytes], n_buckets: int):
+    """For each run of texts: (first text, after the last, units, first and last window of each cell of a repeated gram, where the gram is, the gram, is it hot, the cell's hash)."""
+    # units of words are kept, as they are more work and few; those of bytes are eight times their text
+    picked = [(a, b, u if plan.words else None, cells) for a, b, u, cells in _picked(plan, texts)]
+    every, _, sent = _sent_grams([g for _, _, _, (_, _, _, g) in picked], n_buckets)
+    again, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
+    sent = dict(sent)
+    for blob in back:
+        (bucket, n), *bits = _unzip(blob, "<i8", "u1", "u1")
+        again[sent[int(bucket)]], hot[sent[int(bucket)]] = (np.unpackbits(x, count=int(n)).astype(bool) for x in bits)
+    for a, b, u, (s, e, p, g) in picked:
+        u = u or units_of(plan, texts[a:b])
+        at = np.searchsorted(every, g)
+        has = again[at]
+        s, e, p, g, h = s[has], e[has], p[has], g[has], hot[at[has]]
         if h.any():  # each window of its own
             n = e[h] - s[h] + 1
             each = np.repeat(s[h], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            s, e, g, h = np.concatenate((s[~h], each)), np.concatenate((e[~h], each)), np.concatenate((g[~h], np.repeat(g[h], n))), np.concatenate((h[~h], np.ones(len(each), bool)))
-        yield a, b, u, s, e, g, h, range_hashes(u.values, s, e + plan.window) ^ g
-
-
-def _known(back: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    got = [_unzip(x, "<u8", "u1") for x in back]
-    keys = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.uint64)
-    hot = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.uint8)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], hot[order]
+            s, e, p, g, h = (np.concatenate((x[~h], y)) for x, y in ((s, each), (e, each), (p, np.repeat(p[h], n)), (g, np.repeat(g[h], n)), (h, np.ones(len(each), bool))))
+        yield a, b, u, s, e, p, g, h, _hash_of_cells(plan, u.values, s, e + plan.window, g)
 
 
 def _doc_of(u: Units, s: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +277,10 @@ def _send_cells(plan: Plan, n_buckets: int):
     def work(key, chunk, back):
         if not chunk.num_rows or not back.num_rows:
             return _rows(_SENT, [])
-        known, hot = _known(back["back"].to_pylist())
         ids, texts = read_chunk(chunk["docs"][0].as_py())
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         pieces: list[bytes] = []
-        for a, b, u, s, e, g, h, x in _cells(plan, texts, known, hot):
+        for a, b, u, s, e, p, g, h, x in _cells(plan, texts, back["back"].to_pylist(), n_buckets):
             doc, start = _doc_of(u, s, a)
             # within these texts, a cell once, with its first occurrence
             order = np.lexsort((start, ids[doc], x))
@@ -268,23 +290,26 @@ def _send_cells(plan: Plan, n_buckets: int):
             lo, hi = (u.first[s[one]], u.last[e[one] + plan.window - 1]) if plan.words else (s[one], e[one] + plan.window)
             raw = u.buf.tobytes()
             pieces += [raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
-            for c, v in zip(cols, (x[one], g[one], ids[doc[one]], start[one], e[one] - s[one] + 1, many, h[one]), strict=True):
+            for c, v in zip(cols, (x[one], g[one], ids[doc[one]], start[one], e[one] - s[one] + 1, many, h[one], p[one] - s[one]), strict=True):
                 c.append(v)
         if not pieces:
             return _rows(_SENT, [])
-        x, g, doc, start, n, many, h = map(np.concatenate, cols)
+        x, g, doc, start, n, many, h, p = map(np.concatenate, cols)
         order = np.lexsort((start, doc, x))
         first = np.concatenate(([True], x[order][1:] != x[order][:-1]))
         many = np.logical_or.reduceat(many[order] | ~first, np.flatnonzero(first))
         one = order[first]
-        x, g, doc, start, n, h = x[one], g[one], doc[one], start[one], n[one], h[one]
+        text_order = np.lexsort((start[one], doc[one]))  # documents and starts in order take less room
+        one, many = one[text_order], many[text_order]
+        x, g, doc, start, n, h, p = x[one], g[one], doc[one], start[one], n[one], h[one], p[one]
         pieces = [pieces[i] for i in one.tolist()]
         bucket = (np.where(h, x, g) % np.uint64(n_buckets)).astype(np.int64)
         rows = []
         for b, at in _by_bucket(bucket):
             text = [pieces[i] for i in at.tolist()]
             sizes = np.array([len(p) for p in text], "<u4")
-            rows.append((b, chunk["chunk"][0].as_py(), _zip(x[at], g[at], doc[at], start[at], n[at].astype("<u4"), many[at].astype("u1"), sizes, b"".join(text))))
+            # grams and hashes, which nothing compresses, are made again of the text
+            rows.append((b, chunk["chunk"][0].as_py(), _zip(p[at].astype("<u4"), doc[at], start[at], n[at].astype("<u4"), many[at].astype("u1"), sizes, b"".join(text))))
         return _rows(_SENT, rows)
 
     return work
@@ -294,6 +319,22 @@ def _refined(plan: Plan):
     """First occurrences of the windows of each cell, back to the chunks that need them."""
     w = plan.window
 
+    def units_in(pieces):
+        if not plan.words:
+            return np.frombuffer(b"".join(pieces), np.uint8)
+        buf = np.frombuffer(b"\n".join(pieces), np.uint8)
+        lo, hi = spans_of((buf != 32) & ((buf < 9) | (buf > 13)))
+        return word_hashes(buf, lo, hi)
+
+    def runs_of(sizes, most):
+        """Runs [first, after the last) of cells of about `most` bytes together, a cell at least."""
+        total = np.cumsum(sizes, dtype=np.int64)
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most)))
+            yield a, b
+            a = b
+
     def runs(doc, start, n, units, starts, ends):
         """For cells: (cell, first window, after the last, document, start) of runs of windows with first occurrences alike."""
         group = plan.refine(units, starts, ends, w)
@@ -315,12 +356,17 @@ def _refined(plan: Plan):
 
     def work(key, t):
         chunk_ids = t["chunk"].to_pylist()
-        got = [_unzip(x, "<u8", "<u8", "<i8", "<i8", "<u4", "u1", "<u4", None) for x in t["sent"].to_pylist()]
-        x, g, doc, start, n, many, sizes = (np.concatenate([y[k] for y in got]) for k in range(7))
-        data = b"".join(y[7] for y in got)
+        got = [_unzip(x, "<u4", "<i8", "<i8", "<u4", "u1", "<u4", None) for x in t["sent"].to_pylist()]
+        p, doc, start, n, many, sizes = (np.concatenate([y[k] for y in got]) for k in range(6))
+        data = b"".join(y[6] for y in got)
         chunk = np.repeat(np.arange(len(got)), [len(y[0]) for y in got])
         del got
         text_end = np.cumsum(sizes.astype(np.int64))
+        g, x = np.empty(len(n), np.uint64), np.empty(len(n), np.uint64)
+        for a, b in runs_of(sizes, PART):
+            units = units_in([data[i - k : i] for i, k in zip(text_end[a:b].tolist(), sizes[a:b].tolist(), strict=True)])
+            ends = np.cumsum(n[a:b].astype(np.int64) + w - 1)
+            g[a:b], x[a:b] = keys_of(plan, BYTE[units] if not plan.words else units, ends - n[a:b] - w + 1, ends, p[a:b].astype(np.int64))
         order = np.lexsort((start, doc, x, g))
         x, g, doc, start, n, many, chunk, at = x[order], g[order], doc[order], start[order], n[order].astype(np.int64), many[order].astype(bool), chunk[order], order
         first = np.concatenate(([True], (x[1:] != x[:-1]) | (g[1:] != g[:-1])))
@@ -337,13 +383,7 @@ def _refined(plan: Plan):
         found: list[list[np.ndarray]] = [[] for _ in range(5)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             some = one[a:b]
-            pieces = [data[int(text_end[i] - sizes[i]) : int(text_end[i])] for i in at[some].tolist()]
-            if plan.words:
-                buf = np.frombuffer(b"\n".join(pieces), np.uint8)
-                lo, hi = spans_of((buf != 32) & ((buf < 9) | (buf > 13)))
-                units = word_hashes(buf, lo, hi)
-            else:
-                units = np.frombuffer(b"".join(pieces), np.uint8)
+            units = units_in([data[int(text_end[i] - sizes[i]) : int(text_end[i])] for i in at[some].tolist()])
             ends = np.cumsum(n[some] + w - 1)
             for c, v in zip(found, runs(doc[some], start[some], n[some], units, ends - n[some] - w + 1, ends), strict=True):
                 c.append(v)
@@ -382,17 +422,16 @@ def _joined(plan: Plan, u: Units, at: np.ndarray, n: np.ndarray, doc: np.ndarray
     return list(zip(here[first].tolist(), begin.tolist(), end.tolist(), doc[first].tolist(), start[first].tolist(), strict=True))
 
 
-def marks(plan: Plan, chunk_blob: bytes, back: list[tuple[int, bytes]], matches: bool = False) -> Iterator[tuple[int, Units, np.ndarray | list[tuple], int, np.ndarray]]:
+def marks(plan: Plan, n_buckets: int, chunk_blob: bytes, back: list[tuple[int, bytes]], matches: bool = False) -> Iterator[tuple[int, Units, np.ndarray | list[tuple], int, np.ndarray]]:
     """For runs of texts: (first text, units, which units are covered or else the matches with earlier texts, after the last text, ids)."""
     ids, texts = read_chunk(chunk_blob)
-    known, hot = _known([b for kind, b in back if kind == 0])
     got = [_unzip(b, "<u8", "<u4", "<u4", "<u4", "<i8", "<i8") for kind, b in back if kind == 1]
     if got:
         x, count, lo, hi, bd, bs = (np.concatenate([y[k] for y in got]) for k in range(6))
         run_end = np.cumsum(count.astype(np.int64))
         order = np.argsort(x, kind="stable")
         x, run_at, count = x[order], (run_end - count)[order], count[order].astype(np.int64)
-    for a, b, u, s, e, _, _, h in _cells(plan, texts, known, hot):
+    for a, b, u, s, e, _, _, _, h in _cells(plan, texts, [b for kind, b in back if kind == 0], n_buckets):
         covered, found = np.zeros(len(u.values), bool), []
         if got and len(s):
             at = np.minimum(np.searchsorted(x, h), len(x) - 1)
@@ -437,7 +476,7 @@ def _tasks(sent: DataFrame, n_buckets: int):
 
 def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, names: list[tuple[str, pa.DataType]], chunk: int = CHUNK, hot: int = HOT, matches: bool = False) -> DataFrame:
     """finish(units, covered or matches, ids of these texts) -> rows, for each run of texts."""
-    table = materialise(chunks(docs, chunk))
+    table = materialise(chunks(docs, chunk), "chunk")  # the texts are not shuffled: what comes back to them is
     n_chunks = table.count()
     # a chunk sends a row to each bucket: buckets grow with the root of the corpus, so that rows don't become too small, but
     # not beyond what fits in memory
@@ -451,7 +490,7 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, names: list
     def last(key, chunk, back):
         rows: list[tuple] = []
         if chunk.num_rows:
-            for a, u, covered, b, ids in marks(plan, chunk["docs"][0].as_py(), list(zip(back["kind"].to_pylist(), back["back"].to_pylist(), strict=True)), matches):
+            for a, u, covered, b, ids in marks(plan, n_buckets, chunk["docs"][0].as_py(), list(zip(back["kind"].to_pylist(), back["back"].to_pylist(), strict=True)), matches):
                 rows += finish(u, covered, ids[a:b])
         return _rows(names, rows)
 

@@ -11,7 +11,7 @@ A byte is removed if a 50-byte string over it also starts in a document with a s
 
 Defined results: null texts are empty.  Null ids count as the largest.  Rows with the same id aren't
 each other's source.  Each row of documents gets one row; other columns aren't read.  A document of any length goes
-whole into one chunk; what a task holds of it is about 60 bytes a byte for at most a megabyte of text or one document.
+whole into one chunk; what a task holds of it is about 60 bytes a byte for at most a megabyte of text or one document, and about two bytes a byte of its chunk.
 """
 
 from __future__ import annotations
